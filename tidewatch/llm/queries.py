@@ -1,11 +1,14 @@
 """The registered queries of these operators and their SQL, by module."""
 
-from tidewatch.llm import exact_dedup, mixing, secret_scan
+from tidewatch.llm import decontaminate, exact_dedup, mixing, secret_scan, token_counts, warc
 
 QUERIES = {
     "op2_secret_scan": secret_scan.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_decontaminate": decontaminate.query,
+    "op7_warc": warc.query,
     "op8_mixing": mixing.query,
+    "op9_token_counts": token_counts.query,
 }
 ORACLE_SQL = {
     "op2_secret_scan": secret_scan.SQL,
