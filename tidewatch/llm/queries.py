@@ -1,6 +1,6 @@
 """The registered queries of these operators and their SQL, by module."""
 
-from tidewatch.llm import decontaminate, exact_dedup, mixing, secret_scan, token_counts, warc
+from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, secret_scan, token_counts, warc
 
 QUERIES = {
     "op2_secret_scan": secret_scan.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_warc": warc.query,
     "op8_mixing": mixing.query,
     "op9_token_counts": token_counts.query,
+    "op10_quality": kneser_ney.query,
 }
 ORACLE_SQL = {
     "op2_secret_scan": secret_scan.SQL,
