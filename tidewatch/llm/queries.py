@@ -1,11 +1,12 @@
 """The registered queries of these operators and their SQL, by module."""
 
-from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, secret_scan, token_counts, warc
+from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, order_minhash, secret_scan, token_counts, warc
 
 QUERIES = {
     "op2_secret_scan": secret_scan.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_decontaminate": decontaminate.query,
+    "op6_order_minhash": order_minhash.query,
     "op7_warc": warc.query,
     "op8_mixing": mixing.query,
     "op9_token_counts": token_counts.query,
