@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,9 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished steps; it does so when the driver's objects for them are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
