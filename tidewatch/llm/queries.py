@@ -1,8 +1,9 @@
 """The registered queries of these operators and their SQL, by module."""
 
-from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, order_minhash, secret_scan, token_counts, warc
+from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, order_minhash, secret_scan, suffix_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.query,
     "op2_secret_scan": secret_scan.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_decontaminate": decontaminate.query,
