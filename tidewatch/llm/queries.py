@@ -1,10 +1,11 @@
 """The registered queries of these operators and their SQL, by module."""
 
-from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, order_minhash, secret_scan, suffix_dedup, token_counts, warc
+from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, line_dedup, mixing, order_minhash, secret_scan, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.query,
     "op2_secret_scan": secret_scan.query,
+    "op3_line_dedup": line_dedup.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_decontaminate": decontaminate.query,
     "op6_order_minhash": order_minhash.query,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op2_secret_scan": secret_scan.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
 }
