@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tidewatch.packs import recruiting
 
@@ -89,7 +90,7 @@ def key_text(text: Column) -> Column:
     return F.when(bare == "", squeezed(text)).otherwise(bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 

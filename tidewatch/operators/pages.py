@@ -7,12 +7,14 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidewatch.functions import text as T
 from tidewatch.functions import urls
 from tidewatch.operators.snapshot import flagged
 from tidewatch.packs import recruiting
 
+_LINES = StructType([StructField(x, ArrayType(StringType())) for x in ("added", "removed")])
 MIN_CHARS, MIN_SHARE, SHRINK = 500, 0.0015, 0.4
 MAX_LINES, MAX_FLAGGED, LINE_CHARS, QUOTE_CHARS = 12, 10, 400, 160
 NO_OPENINGS = r"(?i)\bno\b.{0,40}\b(openings?|positions?|roles?|jobs?|events?|opportunit(y|ies))\b.{0,40}(available|at this time|currently|right now)?"
@@ -56,7 +58,7 @@ def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return many.select("page_id", "kind", F.explode(F.array_repeat("line", F.abs("more").cast("int"))).alias("line"))
 
 
-@F.pandas_udf("struct<added:array<string>,removed:array<string>>")
+@F.pandas_udf(_LINES)
 def ordered_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     """Lines added and removed in order; a moved line is both."""
     out = []

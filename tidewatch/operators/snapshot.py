@@ -114,7 +114,7 @@ def collapsed(changes: DataFrame, group: list[str], limit: int = 25, sizes: Data
     structural = over.where("over").join(names, group).select(
         *group,
         F.lit("changed").alias("kind"),
-        F.concat_ws(" ", F.concat_ws("/", *group), F.concat(F.lit(":"), F.lit(" "), F.col("total").cast("string"), F.lit(" rows changed at once"))).alias("key"),
+        F.concat(F.concat_ws("/", *group), F.lit(": "), F.col("total").cast("string"), F.lit(" rows changed at once")).alias("key"),
         F.lit(True).alias("structural"),
         "total",
         "samples",
