@@ -32,13 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.components import components
+from tidewatch.operators.components import components
 from tidewatch.llm.flat import chunks, mixed, normal_words, shingles, words
 from tidewatch.session import stored, work_folder
 
 K = 5
-SKETCHES = 16
-PICKS = 4
+SKETCHES = 40
+PICKS = 8
 SIMILARITY = 0.8
 
 
@@ -55,15 +55,28 @@ def labelled(prints: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(hashes: np.ndarray, k: int = K, n: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
-    """``n`` order sketches of one text's word hashes, as numbers; none without words."""
-    if not len(hashes):
+def least_places(ranks: np.ndarray, picks: int) -> np.ndarray:
+    """Places of the ``picks`` least ranks of each row. Ranks are uniform, so few below a bound hold them nearly always."""
+    n, size = ranks.shape
+    if size > 8 * picks:
+        rows, places = np.nonzero(ranks < np.uint64((1 << 64) * 3 * picks // size))
+        counts = np.bincount(rows, minlength=n)
+        if counts.min() >= picks:
+            order = np.lexsort((ranks[rows, places], rows))
+            first = np.cumsum(counts) - counts
+            return places[order[first[:, None] + np.arange(picks)]]
+    return np.argpartition(ranks, picks - 1, axis=1)[:, :picks] if picks < size else np.tile(np.arange(size), (n, 1))
+
+
+def sketches(prints: np.ndarray, n: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
+    """``n`` order sketches of one text's k-mer hashes, as numbers; none without words."""
+    if not len(prints):
         return np.zeros(0, np.int64)
-    mers = labelled(shingles(hashes, min(k, len(hashes))))
+    mers = labelled(prints)
     seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-    ranks = mixed(mers[None, :] ^ seeds[:, None])
     picks = min(picks, len(mers))
-    place = np.argpartition(ranks, picks - 1, axis=1)[:, :picks] if picks < len(mers) else np.tile(np.arange(len(mers)), (n, 1))
+    ranks = (mers[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))
+    place = least_places(ranks, picks)
     place.sort(axis=1)
     out = seeds.copy()
     for i in range(picks):
@@ -72,33 +85,33 @@ def sketches(hashes: np.ndarray, k: int = K, n: int = SKETCHES, picks: int = PIC
 
 
 def edits(a: list[str], b: list[str], most: int) -> int:
-    """Edit distance of two word lists if at most ``most``, else ``most + 1``: furthest cells on the band's diagonals."""
+    """Edit distance of two word lists if at most ``most``, else ``most + 1``.
+
+    Bit-parallel inside the band of diagonals that ``most`` edits can reach (Hyyro,
+    2003): bit r of a column's words is the cell ``most`` rows above the diagonal, plus r.
+    """
     n, m = len(a), len(b)
     if abs(n - m) > most:
         return most + 1
-    ids = {w: i for i, w in enumerate(dict.fromkeys(a + b))}
-    x, y = np.array([ids[w] for w in a], np.int32), np.array([ids[w] for w in b], np.int32)
-    stops: dict[int, np.ndarray] = {}
-
-    def slide(d: int, i: int) -> int:
-        """Where the run of equal words on diagonal d (j = i + d) that begins at i ends."""
-        if i >= n or i + d >= m:
-            return i
-        if d not in stops:
-            lo, hi = max(0, -d), min(n, m - d)
-            stops[d] = np.append(np.flatnonzero(x[lo:hi] != y[lo + d : hi + d]) + lo, hi)
-        return int(stops[d][np.searchsorted(stops[d], i)])
-
-    far = {0: slide(0, 0)}
-    for e in range(most + 1):
-        if far.get(m - n, -1) >= n:
-            return e
-        far = {
-            d: slide(d, max(min(far.get(d, -2) + 1, n, m - d), min(far.get(d - 1, -2), m - d, n), min(far.get(d + 1, -2) + 1, n)))
-            for d in range(-min(e + 1, n), min(e + 1, m) + 1)
-            if max(far.get(d, -2) + 1, far.get(d - 1, -2), far.get(d + 1, -2) + 1) >= max(0, -d)
-        }
-    return most + 1
+    if not most or not n or not m:
+        return max(n, m) if not n or not m else most + (a != b)
+    where: dict[str, int] = {}
+    for i, word in enumerate(a):
+        where[word] = where.get(word, 0) | 1 << i
+    band, top = (1 << 2 * most + 1) - 1, 1 << 2 * most
+    up, down, score = band ^ ((1 << most) - 1), 0, min(n, most)
+    for j, word in enumerate(b, 1):
+        same = where.get(word, 0)
+        same = (same << most + 1 - j if j <= most + 1 else same >> j - most - 1) & band
+        zero = ((((same & up) + up) ^ up) | same | down) & band
+        right, left = (down | ~(zero | up)) & band, zero & up
+        if j <= n - most:
+            score += not zero & top
+        else:
+            row = n - j + most
+            score += (right >> row & 1) - (left >> row & 1) if row >= 0 else 0
+        up, down = (left | ~(zero >> 1 | right)) & band, zero >> 1 & right
+    return min(score, most + 1)
 
 
 def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
@@ -116,7 +129,10 @@ def _sketched(texts: DataFrame, k: int, n: int, picks: int) -> DataFrame:
             found, size = [], []
             for _, data, offsets in chunks(batch.column(1)):
                 hashes, first = words(data, offsets)
-                found += [sketches(hashes[a:b], k, n, picks) for a, b in zip(first[:-1], first[1:], strict=True)]
+                prints = shingles(hashes, k)
+                for a, b in zip(first[:-1], first[1:], strict=True):
+                    own = prints[a : b - k + 1] if b - a >= k else shingles(hashes[a:b], max(1, b - a))
+                    found.append(sketches(own, n, picks))
                 size.append(np.diff(first))
             size = np.concatenate([np.zeros(0, np.int64), *size])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "found"])
