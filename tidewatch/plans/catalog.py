@@ -107,7 +107,7 @@ k AS (SELECT * FROM c WHERE kind IS NOT NULL),
 t AS (SELECT {group}, count(*) AS total FROM k GROUP BY {group}),
 o AS (SELECT t.*, {over} AS over FROM t {sizes}),
 r AS (SELECT k.*, o.total, row_number() OVER (PARTITION BY {kgroup} ORDER BY identity) AS n FROM k JOIN o USING ({group}) WHERE over)
-SELECT {group}, kind, key, false AS structural, NULL::BIGINT AS total, NULL AS samples FROM k JOIN o USING ({group}) WHERE NOT over
+SELECT {group}, kind, key, false AS structural, 0::BIGINT AS total, '' AS samples FROM k JOIN o USING ({group}) WHERE NOT over
 UNION ALL
 SELECT {group}, 'changed', {name} || ': ' || any_value(total) || ' rows changed at once', true, any_value(total), array_to_string(list(key ORDER BY n) FILTER (n <= 10), '; ')
 FROM r GROUP BY {group}"""
@@ -118,13 +118,14 @@ def collapse_proportional(spark, sf_dir):
     old, new = both_boards(spark, sf_dir)
     sizes = old.groupBy("source_id").agg(F.count(F.lit(1)).alias("old_rows")).join(new.groupBy("source_id").agg(F.count(F.lit(1)).alias("new_rows")), "source_id", "full_outer")
     out = SN.collapsed(SN.row_changes(old, new), ["source_id"], 25, sizes)
-    return out.withColumn("samples", F.array_join("samples", "; "))
+    return out.withColumns({"samples": F.coalesce(F.array_join("samples", "; "), F.lit("")), "total": F.coalesce("total", F.lit(0))})
 
 
 @query(f"WITH {BOARDS}, {CHANGES.replace('AS detail, coalesce', 'AS detail, coalesce(b.section, a.section) AS section, coalesce')}," + _COLLAPSE.format(group="source_id, section", kgroup="source_id, section", name="source_id || '/' || section", over="total > 25", sizes=""))
 def collapse_flat(spark, sf_dir):
     changes = SN.row_changes(*both_boards(spark, sf_dir)).withColumn("section", F.element_at(F.split("identity", " :: "), 1))
-    return SN.collapsed(changes, ["source_id", "section"], 25).withColumn("samples", F.array_join("samples", "; "))
+    out = SN.collapsed(changes, ["source_id", "section"], 25)
+    return out.withColumns({"samples": F.coalesce(F.array_join("samples", "; "), F.lit("")), "total": F.coalesce("total", F.lit(0))})
 
 
 @query(f"""WITH {BOARDS}, u AS (SELECT DISTINCT source_id, section FROM b WHERE length(source_id) = 7 AND section LIKE '3%')
