@@ -661,3 +661,112 @@ def candidate_triage(spark, sf_dir):
     known = c.where("key IN ('src7', 'src8')")
     priority = F.when(F.col("key").isin("src1", "src2"), " Low ").when(F.col("key") == "src3", "lowish")
     return PG.triaged(PG.fresh(c, known), c.where("key <> 'src5'").withColumn("priority", priority)).select("kind", "key", "status")
+
+
+# ---------------------------------------------------------------- feeds, tables and stored snapshots made of orders
+
+
+def _jobs(spark, sf_dir):
+    o = boards(spark, sf_dir, "new").where("ord % 4 = 0")
+    return o.withColumns({"title": F.concat(F.when(F.col("ord") % 3 == 0, F.lit("Summer Intern ")).otherwise(F.lit("Manager ")), F.col("key")), "place": F.when(F.col("ord") % 8 == 0, "London").when(F.col("ord") % 20 == 4, "").otherwise("Austin, TX")})
+
+
+def _feed_bodies(spark, sf_dir):
+    """Board feeds as JSON text, a page for each section of a board."""
+    job = F.struct(F.col("title"), F.struct(F.col("place").alias("name")).alias("location"), F.array(F.struct(F.col("section").alias("name"))).alias("departments"), F.col("url").alias("absolute_url"), F.lit("<p>Text &amp; more</p>").alias("content"))
+    by = _jobs(spark, sf_dir).groupBy("source_id", "section").agg(F.to_json(F.struct(F.array_sort(F.collect_list(job)).alias("jobs"))).alias("body"))
+    return by.withColumn("page_no", F.ascii("section"))
+
+
+@query(f"""WITH {BOARDS}, j AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 'Summer Intern ' ELSE 'Manager ' END || key AS title, CASE WHEN ord % 8 = 0 THEN 'London' WHEN ord % 20 = 4 THEN '' ELSE 'Austin, TX' END AS place FROM b WHERE ord % 4 = 0)
+SELECT source_id, section, title || CASE WHEN place <> '' THEN ' @ ' || place ELSE '' END AS key, 'URL=' || url AS value, url FROM j WHERE (ord % 3 = 0 OR regexp_matches(key, '\\b20(2[6-9]|3[0-9])\\b')) AND place <> 'London'""")
+def parse_feeds(spark, sf_dir):
+    from tidewatch.plans.jobs import board_snapshots
+
+    return board_snapshots(_feed_bodies(spark, sf_dir), "greenhouse")
+
+
+@query(f"""WITH {BOARDS}, j AS (SELECT source_id, section, count(*) AS n FROM b WHERE ord % 4 = 0 GROUP BY ALL)
+SELECT source_id, section, CASE ascii(section) % 5 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'the feed reports an error' WHEN 2 THEN 'no jobs' WHEN 3 THEN 'not a list' ELSE '' END AS error FROM j""")
+def feed_shape(spark, sf_dir):
+    from tidewatch.sources import feeds
+
+    k, body = F.ascii("section") % 5, F.col("body")
+    broken = F.when(k == 0, F.substring(body, 1, 20)).when(k == 1, F.regexp_replace(body, r"^\{", '{"error": "gone", ')).when(k == 2, F.regexp_replace(body, '^."jobs"', '{"postings"')).when(k == 3, F.lit('{"jobs": "none"}')).otherwise(body)
+    return _feed_bodies(spark, sf_dir).select("source_id", "section", feeds.shape_error(broken, "jobs").alias("error"))
+
+
+@query(f"""WITH {BOARDS}, j AS (SELECT source_id, section, count(*) AS n FROM b WHERE ord % 4 = 0 GROUP BY ALL), g AS (SELECT source_id, sum(n)::BIGINT AS got, sum(n)::BIGINT + CASE WHEN length(source_id) = 7 THEN 1 ELSE 0 END AS total FROM j GROUP BY source_id)
+SELECT source_id, got, total, CASE WHEN got < total THEN 'read ' || got || ' of ' || total ELSE '' END AS error FROM g""")
+def feed_paging(spark, sf_dir):
+    from tidewatch.sources import feeds
+
+    pages = _feed_bodies(spark, sf_dir).select("source_id", F.size(F.from_json("body", "jobs array<struct<title:string>>")["jobs"]).cast("long").alias("items"))
+    totals = pages.groupBy("source_id").agg((F.sum("items") + F.when(F.length("source_id") == 7, 1).otherwise(0)).alias("total"))
+    return feeds.paging_error(pages.join(totals, "source_id"))
+
+
+@query(f"""WITH {BOARDS}, t AS (SELECT *, row_number() OVER (PARTITION BY source_id, section ORDER BY ord) AS n FROM b WHERE ord % 4 = 0),
+r AS (SELECT source_id, section, CASE WHEN n % 5 = 2 THEN 'Firm ' || ((n - 1) % 7) ELSE 'Firm ' || (n % 7) END AS firm, key AS role, value AS status, url, ord FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_id, section, firm, role ORDER BY ord) AS m FROM r)
+SELECT source_id, section, firm || ' / ' || role || CASE WHEN m > 1 THEN ' #' || m ELSE '' END AS key, 'Company=' || firm || '; Role=' || role || '; Link=[apply](' || url || ')' AS value, url FROM k WHERE section <> '5-LOW'""")
+def parse_markdown_tables(spark, sf_dir):
+    from pyspark.sql import Window
+
+    from tidewatch.sources import tables
+
+    n = F.row_number().over(Window.partitionBy("source_id", "section").orderBy("ord"))
+    rows = boards(spark, sf_dir, "new").where("ord % 4 = 0").withColumn("n", n)
+    firm = F.when(F.col("n") % 5 == 2, "↳").otherwise(F.concat(F.lit("Firm "), (F.col("n") % 7).cast("string")))
+    line = F.concat_ws(" | ", F.lit("|").substr(1, 0), firm, F.concat(F.lit("**"), F.col("key"), F.lit("**")), "value", F.concat(F.lit('<a href="'), "url", F.lit('">apply</a>')), F.lit("|").substr(1, 0))
+    by = rows.groupBy("source_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.trim(line).alias("line")))), lambda x: x["line"]).alias("lines"))
+    head = F.array(F.concat(F.lit("## "), "section", F.lit(" (300 rows)")), F.lit(""), F.lit("| Company | Role | Status | Link |"), F.lit("|---|---|---|---|"))
+    docs = by.groupBy("source_id").agg(F.array_join(F.flatten(F.array_sort(F.collect_list(F.concat(head, "lines", F.array(F.lit("")))))), "\n").alias("text"))
+    return tables.listings(tables.markdown_tables(docs), ["Company"], ["Role"], ignored=["Status"], exclude="low")[0]
+
+
+@query(f"WITH {BOARDS} SELECT source_id, section, key, value, url FROM b WHERE length(source_id) = 8")
+def snapshot_round_trip(spark, sf_dir):
+    """Rows rendered to their stored text and parsed again."""
+    from tidewatch.sources import state
+
+    rows = boards(spark, sf_dir, "new").where("length(source_id) = 8").withColumn("value", F.concat_ws("\t", "value", "url"))
+    texts = state.render_snapshots(rows, rows.select("source_id", "section").distinct())
+    return state.parse_snapshots(texts)[0].withColumn("value", F.element_at(F.split("value", "\t"), 1))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query(f"WITH {_ATTEMPTS} SELECT source_id, failures, last_success, last_attempt FROM r")
+def stream_source_health(spark, sf_dir):
+    """The attempt log as a stream, run to its end; the last state of each source."""
+    from tidewatch.session import work_folder
+    from tidewatch.streaming import health
+
+    folder = work_folder(spark, "stream-health")
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the source wants a folder or one
+    log = events.select(F.col("event_id").alias("attempt_id"), F.concat(F.lit("src-"), F.col("user_id").cast("string")).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "signup").alias("quarantined"))
+
+    def keep(batch, n):
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")
+
+    run = health.source_health(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    last = F.max_by(F.struct("failures", "last_success", "last_attempt"), "batch").alias("x")
+    return spark.read.parquet(f"{folder}/out").groupBy("source_id").agg(last).select("source_id", "x.*")
+
+
+@query(ORACLE_SQL["diff_changes"])
+def stream_diff(spark, sf_dir):
+    """Two versions of the boards as two batches of a stream; the changes of the second."""
+    from tidewatch.session import work_folder
+    from tidewatch.streaming import diff
+
+    folder = work_folder(spark, "stream-diff")
+    columns = ["source_id", "section", "key", "value", "url"]
+    for n, version in enumerate(both_boards(spark, sf_dir)):
+        version.select(*columns).coalesce(1).write.parquet(f"{folder}/in/v={n}")
+        stream = spark.readStream.schema("source_id string, section string, key string, value string, url string").parquet(f"{folder}/in/v=*")
+        diff.diff_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/changes/version=1")
