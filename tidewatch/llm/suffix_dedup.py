@@ -43,7 +43,7 @@ MATCH = 400
 SEED = 128
 BATCHES = 4
 GROUP_RUNS = 2000
-_PIECE = 1 << 19
+PIECE = 1 << 19
 _A = np.uint64(0x9E3779B97F4A7C15)
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
 
@@ -61,13 +61,13 @@ def hashed(sums: np.ndarray, down: np.ndarray, at: np.ndarray, size: int) -> np.
     return mixed((sums[at + size] - sums[at]) * down[at])
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, match: int, extra: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, match: int, piece: int, extra: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """A long document alone in pieces that overlap, so that each window begins in one; other chunks as they are."""
-    if len(offsets) > 2 or len(data) <= 2 * _PIECE:
+    if len(offsets) > 2 or len(data) <= 2 * piece:
         yield 0, data, offsets
         return
-    for a in range(0, len(data) - match + 1, _PIECE):
-        part = data[a : a + _PIECE + match - 1 + extra]
+    for a in range(0, len(data) - match + 1, piece):
+        part = data[a : a + piece + match - 1 + extra]
         yield a, part, np.array([0, len(part)])
 
 
@@ -99,14 +99,14 @@ def runs(data: np.ndarray, offsets: np.ndarray, match: int, seed: int) -> tuple[
     return row, a - offsets[row], b - a + 1, anchor - a, head, seeds[anchor].view(np.int64), whole.view(np.int64)
 
 
-def sampled(rows: DataFrame, match: int, seed: int) -> DataFrame:
+def sampled(rows: DataFrame, match: int, seed: int, piece: int = PIECE) -> DataFrame:
     """row_id, first, n, skip (anchor after the first window), head, suffix, run of each run of windows of ``rows`` (row_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, part = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for row0, data, offsets in chunks(batch.column(2), _PIECE):
-                for at, some, where in pieces(data, offsets, match):
+            for row0, data, offsets in chunks(batch.column(2), piece):
+                for at, some, where in pieces(data, offsets, match, piece):
                     row, first, n, skip, head, suffix, run = runs(some, where, match, seed)
                     columns = [ids[row + row0], part[row + row0], first + at, n.astype(np.int32), skip.astype(np.int32), head, suffix, run]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row_id", "batch", "first", "n", "skip", "head", "suffix", "run"])
@@ -172,7 +172,7 @@ class Family:
         return every.groupBy("head", "suffix").agg((F.min("least") < F.max("most")).alias("contested"))
 
 
-def _windows(rows: DataFrame, match: int) -> DataFrame:
+def _windows(rows: DataFrame, match: int, piece: int) -> DataFrame:
     """The window hashes of the fetched runs (first, n, skip, suffix, solo in ``wanted``) of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +181,9 @@ def _windows(rows: DataFrame, match: int) -> DataFrame:
             flat, where = wanted.flatten(), np.concatenate([[0], np.cumsum(np.diff(wanted.offsets.to_numpy()))])
             first, n, skip, suffix, solo = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
             owner = np.repeat(np.arange(len(ids)), np.diff(where))
-            for row0, data, offsets in chunks(batch.column(1), _PIECE):
-                for at, some, off in pieces(data, offsets, match, extra=1024):
-                    pick = np.flatnonzero((owner >= row0) & (owner < row0 + len(offsets) - 1) & (first >= at) & ((first < at + _PIECE) | (len(offsets) > 2) | (len(data) <= 2 * _PIECE)))
+            for row0, data, offsets in chunks(batch.column(1), piece):
+                for at, some, off in pieces(data, offsets, match, piece, extra=1024):
+                    pick = np.flatnonzero((owner >= row0) & (owner < row0 + len(offsets) - 1) & (first >= at) & ((first < at + piece) | (len(offsets) > 2) | (len(data) <= 2 * piece)))
                     if not len(pick):
                         continue
                     sums, down = prefix_sums(some)
@@ -249,10 +249,10 @@ def _settled_apart(windows: DataFrame) -> DataFrame:
     return found.select("row_id", (F.col("first") + F.col("k")).alias("first"), F.lit(1).cast("long").alias("n"))
 
 
-def repeated_windows(rows: DataFrame, folder: str, match: int = MATCH, seed: int = SEED, batches: int = BATCHES, group_runs: int = GROUP_RUNS) -> DataFrame:
+def repeated_windows(rows: DataFrame, folder: str, match: int = MATCH, seed: int = SEED, batches: int = BATCHES, group_runs: int = GROUP_RUNS, piece: int = PIECE) -> DataFrame:
     """row_id, first, n: runs of ``n`` windows of ``match`` bytes from ``first`` that occur elsewhere too."""
     spark = rows.sparkSession
-    sampled(rows, match, seed).write.partitionBy("batch").parquet(f"{folder}/samples")
+    sampled(rows, match, seed, piece).write.partitionBy("batch").parquet(f"{folder}/samples")
     samples = spark.read.schema("row_id long, first long, n int, skip int, head long, suffix long, run long, batch int").parquet(f"{folder}/samples")
     family = Family(spark, f"{folder}/family")
     for k in range(batches):
@@ -269,7 +269,7 @@ def repeated_windows(rows: DataFrame, folder: str, match: int = MATCH, seed: int
     crowded = kinds.groupBy("suffix").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > group_runs).select("suffix", F.lit(True).alias("crowded"))
     wanted = kinds.select("one.row_id", F.struct("one.first", "one.n", "one.skip", "suffix", (F.col("c") == 1).alias("solo")).alias("x")).groupBy("row_id").agg(F.collect_list("x").alias("wanted"))
     fetched = rows.select("row_id", "text").join(wanted.hint("shuffle_hash"), "row_id")
-    windows = stored(_windows(fetched, match), f"{folder}/windows")
+    windows = stored(_windows(fetched, match, piece), f"{folder}/windows")
     released(spark)
     crowded = stored(crowded, f"{folder}/crowded")
     spans = plain.unionByName(copied)
@@ -308,14 +308,14 @@ def cut_out(texts: DataFrame, match: int) -> DataFrame:
     return texts.mapInArrow(cut, "row_id long, doc_id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary, kept_sha256 string")
 
 
-def substring_deduplicated(docs: DataFrame, match: int = MATCH, seed: int = SEED, batches: int = BATCHES, group_runs: int = GROUP_RUNS, folder: str | None = None) -> DataFrame:
+def substring_deduplicated(docs: DataFrame, match: int = MATCH, seed: int = SEED, batches: int = BATCHES, group_runs: int = GROUP_RUNS, piece: int = PIECE, folder: str | None = None) -> DataFrame:
     """Each row of ``docs`` without its repeated strings: see :func:`cut_out`."""
     if not 8 <= seed < match or match - seed + 1 >= 1024:
         raise ValueError("seed must be at least 8 and less than match, by less than 1024")
     folder = folder or work_folder(docs.sparkSession, "suffix")
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = numbered.select("row_id", F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int").alias("batch"), "text")
-    found = repeated_windows(rows, folder, match, seed, batches, group_runs)
+    found = repeated_windows(rows, folder, match, seed, batches, group_runs, piece)
     by_row = found.groupBy("row_id").agg(F.collect_list(F.struct("first", "n")).alias("windows"))
     return cut_out(numbered.join(by_row.hint("shuffle_hash"), "row_id", "left").select("row_id", "doc_id", "text", "windows"), match)
 
