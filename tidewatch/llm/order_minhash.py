@@ -3,8 +3,12 @@
 Texts become lower-case words; equal word sequences are one text from here on. A
 text's k-mers (``K`` words) are labelled with their occurrence number. Each of
 ``SKETCHES`` hash functions picks the ``PICKS`` least labelled k-mers and keeps them in
-text order (Marcais et al., 2019); two texts that agree in one such sketch are
-candidates. Order and labels make agreement follow edit similarity, not set overlap.
+text order (Marcais et al., 2019), with the least k-mer without labels; two texts that
+agree in one such sketch are candidates. Order and labels make agreement follow edit
+similarity, the plain k-mer keeps texts apart that share a line repeated many times and
+nothing else. Texts of up to ``SHORT`` k-mers have ``SHORT_SKETCHES`` more, of
+``SHORT_PICKS``. A pair whose 5-word shingles have Jaccard similarity 0.8 is a candidate
+with a probability over 0.999.
 
 Candidates are verified by alignment of their words inside the band that
 ``SIMILARITY`` allows: similar means ``1 - edits / longer length >= SIMILARITY``.
@@ -38,7 +42,8 @@ from tidewatch.session import stored, work_folder
 
 K = 5
 SKETCHES = 40
-PICKS = 8
+PICKS = 7
+SHORT, SHORT_SKETCHES, SHORT_PICKS = 64, 16, 2
 SIMILARITY = 0.8
 
 
@@ -73,17 +78,23 @@ def sketches(prints: np.ndarray, n: int = SKETCHES, picks: int = PICKS) -> np.nd
     if not len(prints):
         return np.zeros(0, np.int64)
     mers = labelled(prints)
-    seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(picks))
+    odd = seeds[:, None] | np.uint64(1)
     picks = min(picks, len(mers))
-    ranks = (mers[None, :] ^ seeds[:, None]) * (seeds[:, None] | np.uint64(1))
-    place = least_places(ranks, picks)
+    place = least_places((mers[None, :] ^ seeds[:, None]) * odd, picks)
     place.sort(axis=1)
-    out = seeds.copy()
+    out = seeds + ((prints[None, :] ^ seeds[:, None]) * odd).min(axis=1)
     for i in range(picks):
         out = mixed(out + mers[place[:, i]]) + np.uint64(i)
     return out.view(np.int64)
 
 
+def all_sketches(prints: np.ndarray, n: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
+    """A text's sketches, with those of fewer picks if it is short."""
+    long = sketches(prints, n, picks)
+    return np.concatenate([long, sketches(prints, SHORT_SKETCHES, SHORT_PICKS)]) if 0 < len(prints) <= SHORT else long
+
+
 def edits(a: list[str], b: list[str], most: int) -> int:
     """Edit distance of two word lists if at most ``most``, else ``most + 1``.
 
@@ -132,7 +143,7 @@ def _sketched(texts: DataFrame, k: int, n: int, picks: int) -> DataFrame:
                 prints = shingles(hashes, k)
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     own = prints[a : b - k + 1] if b - a >= k else shingles(hashes[a:b], max(1, b - a))
-                    found.append(sketches(own, n, picks))
+                    found.append(all_sketches(own, n, picks))
                 size.append(np.diff(first))
             size = np.concatenate([np.zeros(0, np.int64), *size])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "found"])
@@ -148,7 +159,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
             good = [similar(x, y, similarity) for x, y in zip(batch["wa"], batch["wb"], strict=True)]
             yield batch.loc[good, ["a", "b"]]
 
-    used = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    used = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
     some = texts.join(used.hint("shuffle_hash"), "node", "left_semi")
     left = pairs.hint("merge").join(some.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b")
     both = left.hint("merge").join(some.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
