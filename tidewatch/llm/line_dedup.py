@@ -41,43 +41,44 @@ def key_of(line: Column) -> Column:
     return F.substring(F.unhex(F.sha2(line.cast("binary"), 256)), 1, 16)
 
 
-def segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 1) and size of segment i of a line of that length: even parts, the longer ones last."""
+def coded(nodes: DataFrame) -> DataFrame:
+    """node, l (code points) and the line with four bytes a code point, so that cutting it doesn't count characters anew."""
+    return nodes.select("node", F.encode("line", "UTF-32").alias("code")).select("node", "code", F.expr("octet_length(code) div 4").cast("int").alias("l"))
+
+
+def keyed_parts(nodes: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> DataFrame:
+    """node, l, k: a key for each probe (how much shorter the indexed line is, segment, shift) of each line.
+
+    Segments are even parts, the longer ones last. The probes are exploded first and one
+    expression makes all keys: code for each of them would be too long to be compiled.
+    """
     parts = edits + 1
-    size = F.floor(length / parts).cast("int")
-    longer = length - size * parts
-    ahead = F.greatest(F.lit(0), longer - (parts - i))
-    return F.lit(1) + size * i + ahead, size + F.when(F.lit(i) >= parts - longer, 1).otherwise(0)
-
-
-def index_keys(line: Column, edits: int) -> Column:
-    length = F.length(line)
-    keys = []
-    for i in range(edits + 1):
-        start, size = segment(length, i, edits)
-        keys.append(F.xxhash64(length, F.lit(i), F.substring(line, start, size)))
-    return F.array(*keys)
-
-
-def probe_keys(line: Column, edits: int) -> Column:
-    keys = []
-    for less in range(edits + 1):
-        length = F.length(line) - less
-        for i in range(edits + 1):
-            start, size = segment(length, i, edits)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                at = start + shift
-                whole = (at >= 1) & (at + size - 1 <= F.length(line))
-                keys.append(F.when(whole, F.xxhash64(length, F.lit(i), F.substring(line, at, size))))
-    return F.array_distinct(F.array_compact(F.array(*keys)))
-
-
-def distance(a: Column, b: Column, edits: int) -> Column:
-    """Edit distance of two lines if at most ``edits``, else null: bit ``edits + d`` of word e says that
-    diagonal d (place in a less place in b) is reached with e edits."""
+    specs = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in probes])
+    each = coded(nodes).select("node", "l", "code", F.explode(specs).alias("p")).select("node", "l", "code", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
+    sized = each.select("*", F.expr(f"CAST(m div {parts} AS INT)").alias("even"), F.expr(f"m % {parts}").alias("longer"))
+    placed = sized.select("node", "l", "code", "m", "i", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
+    whole = placed.where("at >= 1 AND at + size - 1 <= l")
+    return whole.select("node", "l", F.expr("xxhash64(m, i, substring(code, at * 4 - 3, size * 4))").alias("k"))
+
+
+def index_probes(edits: int) -> list[tuple[int, int, int]]:
+    return [(0, i, 0) for i in range(edits + 1)]
+
+
+def search_probes(edits: int) -> list[tuple[int, int, int]]:
+    """The multi-match-aware bounds: a shift that leaves more edits on one side than the segments there allow can't be the first match."""
+    return [(less, i, s) for less in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
+
+
+def distance(x: Column, y: Column, edits: int) -> Column:
+    """Edit distance of two lines, as columns of arrays of characters, if at most ``edits``, else null.
+
+    Bit ``edits + d`` of word e says that diagonal d (place in x less place in y) is
+    reached with e edits. The arrays must be columns made by an earlier projection: an
+    expression would be evaluated anew for each character.
+    """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    x, y = F.split(a, ""), F.split(b, "")
     begin = F.array(*[F.lit(sum(1 << edits + d for d in range(e + 1))) for e in range(edits + 1)])
     numbered = F.transform(y, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
 
@@ -96,14 +97,14 @@ def distance(a: Column, b: Column, edits: int) -> Column:
         return F.array(*out)
 
     ends = F.aggregate(numbered, begin, step)
-    last = F.get(F.array(*[F.lit(1 << r) for r in range(width)]), F.lit(edits) + F.length(a) - F.length(b))
+    last = F.get(F.array(*[F.lit(1 << r) for r in range(width)]), F.lit(edits) + F.size(x) - F.size(y))
     return F.coalesce(*[F.when(F.get(ends, F.lit(e)).bitwiseAND(last) != 0, e) for e in range(edits + 1)])
 
 
 def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
     """a, b, edits: pairs of ``nodes`` (node, line; lines distinct) within the edit distance."""
-    index = nodes.select("node", F.length("line").alias("l"), F.explode(index_keys(F.col("line"), edits)).alias("k"))
-    probe = nodes.select(F.col("node").alias("other"), F.length("line").alias("l2"), F.explode(probe_keys(F.col("line"), edits)).alias("k"))
+    index = keyed_parts(nodes, index_probes(edits), edits)
+    probe = keyed_parts(nodes, search_probes(edits), edits).select(F.col("node").alias("other"), F.col("l").alias("l2"), "k")
     met = probe.hint("merge").join(index, "k").where((F.col("l") < F.col("l2")) | ((F.col("l") == F.col("l2")) & (F.col("node") < F.col("other"))))
     pairs = stored(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), f"{folder}/candidates")
     released(nodes.sparkSession)
@@ -111,7 +112,9 @@ def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
     texts = stored(texts, f"{folder}/texts")
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
     both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", distance(F.col("x"), F.col("y"), edits).alias("edits")).where("edits IS NOT NULL")
+    both = both.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
+    # written before it is filtered: a filter pushed below the arrays would make them anew for each character
+    return stored(both.select("a", "b", distance(F.col("x"), F.col("y"), edits).alias("edits")), f"{folder}/verified").where("edits IS NOT NULL")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, folder: str | None = None) -> DataFrame:
@@ -125,7 +128,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     nodes = stored(long.select("node", "line"), f"{folder}/nodes")
     released(docs.sparkSession)
     links = stored(near_pairs(nodes, folder, edits), f"{folder}/links")
-    removed(docs.sparkSession, f"{folder}/nodes", f"{folder}/candidates", f"{folder}/texts")
+    removed(docs.sparkSession, f"{folder}/nodes", f"{folder}/candidates", f"{folder}/texts", f"{folder}/verified")
     released(docs.sparkSession)
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links.select("a", "b"), f"{folder}/components")
