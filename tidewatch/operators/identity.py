@@ -33,7 +33,7 @@ def winners(grouped: DataFrame) -> DataFrame:
 
 def all_muted(names: Column, muted: Column) -> Column:
     """Every name of a ``|`` list is muted; an empty list never is."""
-    each = F.filter(F.transform(F.split(F.coalesce(names, F.lit("")), r"\|"), F.trim), lambda x: x != "")
+    each = F.filter(F.transform(F.split(F.coalesce(names, F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
     return (F.size(each) > 0) & (F.size(F.array_except(each, F.coalesce(muted, F.array().cast("array<string>")))) == 0)
 
 

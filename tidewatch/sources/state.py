@@ -74,8 +74,13 @@ def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempt_facts(attempts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Attempts with what their bodies are; no body is null, an empty one is ""."""
-    return attempts.join(bodies.select("source_id", "body", "size", "sha256"), "source_id", "left")
+    """source_id, body, size, sha256 of attempts (source_id, size): no body is null, one of no bytes is "".
+
+    Spark's file sources pass over files without bytes, so those follow from the attempt's own size.
+    """
+    empty_body = F.col("fetched") == 0
+    both = attempts.select("source_id", F.col("size").alias("fetched")).join(bodies.select("source_id", "body", "size", "sha256"), "source_id", "left")
+    return both.select("source_id", F.coalesce("body", F.when(empty_body, "")).alias("body"), F.coalesce("size", "fetched").alias("size"), F.coalesce("sha256", F.when(empty_body, F.sha2(F.lit("").cast("binary"), 256))).alias("sha256"))
 
 
 def write_stage(df: DataFrame, path: str, run_date: str, version: int) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.functions.text import clean_cell, key_text, squeezed, stable_heading, without_markers
+from tidewatch.functions.text import clean_cell, key_text, stable_heading, without_markers
 from tidewatch.functions.urls import first_url
 from tidewatch.operators.snapshot import carried_entity, with_ordinals
 
@@ -75,7 +75,7 @@ def listings(tables: DataFrame, entity: list[str], role: list[str], qualifiers:
     role_cell = F.when(F.col("r").isNotNull(), cell(F.col("r"))).otherwise("")
     rows = rows.withColumns({"ke": key_text(F.col("entity")), "kr": key_text(role_cell)}).where("ke <> '' OR kr <> ''")
     extra = [F.when(key_text(cell(F.lit(q))) != "", F.concat(F.lit(" @ "), key_text(cell(F.lit(q))))) for q in qualifiers]
-    key = squeezed(F.concat_ws("", F.concat_ws(" / ", F.when((F.col("ke") != "") | (F.col("kr") != ""), F.col("ke")), F.when(F.col("kr") != "", F.col("kr"))), *extra))
+    key = F.regexp_replace(F.concat_ws("", F.concat_ws(" / ", F.when((F.col("ke") != "") | (F.col("kr") != ""), F.col("ke")), F.when(F.col("kr") != "", F.col("kr"))), *extra), r"[\s\x{A0}]+", " ")
     resolved = lambda h: F.when(h == F.col("e"), F.col("entity")).otherwise(cell(h))
     shown = F.filter("headers", lambda h: (h != "") & ~h.isin(*ignored) & (F.coalesce(resolved(h), F.lit("")) != "")) if ignored else F.filter("headers", lambda h: (h != "") & (F.coalesce(resolved(h), F.lit("")) != ""))
     value = F.array_join(F.transform(shown, lambda h: F.concat(h, F.lit("="), resolved(h))), "; ")
