@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from tidewatch.llm import line_dedup as L
 
 
@@ -28,11 +26,11 @@ def test_distance_is_exact_within_the_band(spark):
     for _ in range(400):
         a = "".join(rng.choice("abé") for _ in range(rng.randint(5, 20)))
         pairs.append((a, edited(rng, a, rng.randint(0, 4))))
-    df = spark.createDataFrame(pairs, "a string, b string").where("abs(length(a) - length(b)) <= 2")
-    cut = df.select("a", "b", F.split("a", "").alias("x"), F.split("b", "").alias("y"))
-    for r in cut.select("a", "b", L.distance(F.col("x"), F.col("y"), 2).alias("d")).collect():
-        d = distance(r.a, r.b)
-        assert r.d == (d if d <= 2 else None), r
+    pairs += [(a * 8, edited(rng, a * 8, rng.randint(0, 4))) for a, _ in pairs[:60]]
+    kept = [(i, -i, a, b) for i, (a, b) in enumerate(pairs) if abs(len(a) - len(b)) <= 2]
+    for r in L.distances(spark.createDataFrame(kept, "a long, b long, x string, y string"), 2).collect():
+        d = distance(*pairs[r.a])
+        assert r.edits == (d if d <= 2 else None), pairs[r.a]
 
 
 def brute(texts, edits, least):

@@ -29,6 +29,7 @@ from tidewatch.session import released, removed, stored, work_folder
 
 EDITS = 2
 MIN_CHARS = 40
+HEAD = 48
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -70,23 +71,29 @@ def search_probes(edits: int) -> list[tuple[int, int, int]]:
     return [(less, i, s) for less in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)]
 
 
-def distance(x: Column, y: Column, edits: int) -> Column:
-    """Edit distance of two lines, as columns of arrays of characters, if at most ``edits``, else null.
+def distances(pairs: DataFrame, edits: int) -> DataFrame:
+    """a, b, edits of ``pairs`` (a, b and lines x, y): the distance if at most ``edits``, else null.
 
     Bit ``edits + d`` of word e says that diagonal d (place in x less place in y) is
-    reached with e edits. The arrays must be columns made by an earlier projection: an
-    expression would be evaluated anew for each character.
+    reached with e edits. What both lines begin with is left out, as it never needs an
+    edit, and the fold over the rest is given up when no bit is left after ``HEAD``
+    characters. Arrays are made by projections of their own: inside the fold they would be made anew
+    for each character.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    begin = F.array(*[F.lit(sum(1 << edits + d for d in range(e + 1))) for e in range(edits + 1)])
-    numbered = F.transform(y, lambda c, j: F.struct(c.alias("c"), j.alias("j")))
+    cut = pairs.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
+    differs = F.array_position(F.zip_with("x", "y", lambda p, q: F.coalesce(p != q, F.lit(True))), F.lit(True)).cast("int")
+    placed = cut.withColumn("at", F.when(differs == 0, F.size("x") + 1).otherwise(differs))
+    rest = lambda c: F.slice(c, F.col("at"), F.greatest(F.size(c) - F.col("at") + 1, F.lit(0)))
+    bare = placed.select("a", "b", rest("x").alias("x"), rest("y").alias("y"))
+    numbered = bare.select("a", "b", "x", F.transform("y", lambda c, j: F.struct(c.alias("c"), j.alias("j"))).alias("y"))
 
     def step(words: Column, at: Column) -> Column:
         same = F.lit(0)
         for r in range(width):
             place = at["j"] + (r - edits)
-            same = same + F.when((place >= 0) & (F.get(x, F.greatest(place, F.lit(0))) == at["c"]), 1 << r).otherwise(0)
+            same = same + F.when((place >= 0) & (F.get("x", F.greatest(place, F.lit(0))) == at["c"]), 1 << r).otherwise(0)
         out = []
         for e in range(edits + 1):
             word = F.get(words, F.lit(e)).bitwiseAND(same)
@@ -96,9 +103,14 @@ def distance(x: Column, y: Column, edits: int) -> Column:
             out.append(word)
         return F.array(*out)
 
-    ends = F.aggregate(numbered, begin, step)
-    last = F.get(F.array(*[F.lit(1 << r) for r in range(width)]), F.lit(edits) + F.size(x) - F.size(y))
-    return F.coalesce(*[F.when(F.get(ends, F.lit(e)).bitwiseAND(last) != 0, e) for e in range(edits + 1)])
+    begin = F.array(*[F.lit(sum(1 << edits + d for d in range(e + 1))) for e in range(edits + 1)])
+    headed = numbered.withColumn("head", F.aggregate(F.slice("y", 1, HEAD), begin, step))
+    alive = F.exists("head", lambda w: w != 0)
+    tail = F.aggregate(F.slice("y", F.lit(HEAD + 1), F.greatest(F.size("y") - HEAD, F.lit(0))), F.col("head"), step)
+    ended = headed.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.when(alive, tail).alias("ends"))
+    last = F.get(F.array(*[F.lit(1 << r) for r in range(width)]), F.lit(edits) + F.col("m") - F.col("n"))
+    found = F.coalesce(*[F.when(F.get("ends", F.lit(e)).bitwiseAND(last) != 0, e) for e in range(edits + 1)])
+    return ended.select("a", "b", found.alias("edits"))
 
 
 def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
@@ -112,9 +124,10 @@ def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
     texts = stored(texts, f"{folder}/texts")
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
     both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    both = both.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    # written before it is filtered: a filter pushed below the arrays would make them anew for each character
-    return stored(both.select("a", "b", distance(F.col("x"), F.col("y"), edits).alias("edits")), f"{folder}/verified").where("edits IS NOT NULL")
+    # few rows may come in few partitions, but each is some work; written before it is filtered, as a filter
+    # pushed below the arrays would make them anew for each character
+    dealt = both.select("a", "b", "x", "y").repartition(8 * nodes.sparkSession.sparkContext.defaultParallelism)
+    return stored(distances(dealt, edits), f"{folder}/verified").where("edits IS NOT NULL")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, folder: str | None = None) -> DataFrame:
