@@ -11,9 +11,11 @@ The join (Li et al., Pass-Join, 2011): a line of length l is cut into ``EDITS +
 segments, so one at least stands unedited in a line near it. Segments are indexed by
 length, number and content. A line probes the index of each length from its own
 down to ``EDITS`` less with the substrings that the multi-match-aware bounds allow for each
-segment. Candidates are verified by a banded bit-parallel automaton: a word for each
+segment. Candidates that Spark's bounded ``levenshtein`` finds too far apart go; the others
+are verified, with their distance, by a banded bit-parallel automaton: a word for each
 number of edits holds the reachable diagonals of the band, and reading a
-character moves all diagonals at once.
+character moves all diagonals at once. The automaton alone would be right, but as a fold in
+SQL it costs too much on long lines.
 
 Null text is one empty line. Repeated rows repeat each other's lines. An empty table
 gives no rows; other columns are not read.
@@ -124,10 +126,11 @@ def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
     texts = stored(texts, f"{folder}/texts")
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
     both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    # few rows may come in few partitions, but each is some work; written before it is filtered, as a filter
-    # pushed below the arrays would make them anew for each character
-    dealt = both.select("a", "b", "x", "y").repartition(8 * nodes.sparkSession.sparkContext.defaultParallelism)
-    return stored(distances(dealt, edits), f"{folder}/verified").where("edits IS NOT NULL")
+    # the built-in bounded distance, compiled code without arrays, settles the many candidates that are far apart
+    near = both.where(F.levenshtein("x", "y", edits) >= 0).select("a", "b", "x", "y")
+    near = stored(near, f"{folder}/near").repartition(nodes.sparkSession.sparkContext.defaultParallelism)
+    # written before it is filtered: a filter pushed below the arrays would make them anew for each character
+    return stored(distances(near, edits), f"{folder}/verified").where("edits IS NOT NULL")
 
 
 def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, folder: str | None = None) -> DataFrame:
