@@ -69,3 +69,26 @@ def test_long_text_empty_table_and_filter(docs_of):
     kept = M.deduplicated(docs)
     assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "None"]
     assert M.near_classes(docs_of([])).count() == 0
+
+
+def test_bounds_keep_similar_texts():
+    rng = random.Random(13)
+    for _ in range(300):
+        a = [rng.choice(WORDS) for _ in range(rng.randint(5, 120))]
+        b = edited(rng, a, rng.randint(0, len(a) // 4))
+        if M.similar(" ".join(a), " ".join(b)):
+            x, y = (M.bit_map(mixed(np.array([int(w[1:]) for w in t], np.uint64))).view(np.uint64) for t in (a, b))
+            assert max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) <= len(a) // 5
+
+
+def test_recall_at_the_link_test(docs_of):
+    """Pairs of scattered edits up to the link test's own bound, against brute-force alignment."""
+    rng = random.Random(14)
+    texts = []
+    for size in [10, 20, 40, 80, 150, 300] * 25:
+        base = [rng.choice(WORDS) for _ in range(size)]
+        texts += [" ".join(base), " ".join(edited(rng, base, rng.choice([size // 5, size // 8, size // 10])))]
+    want = [i for i in range(0, len(texts), 2) if M.similar(texts[i], texts[i + 1])]
+    got = {r.doc_id: r.class_id for r in M.near_classes(docs_of(texts)).collect()}
+    assert len(want) > 140 and sum(got[i] == got[i + 1] for i in want) >= 0.99 * len(want)
+    assert all(M.similar(texts[i], texts[got[i]]) for i in got)

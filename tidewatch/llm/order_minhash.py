@@ -6,13 +6,15 @@ text's k-mers (``K`` words) are labelled with their occurrence number. Each of
 text order (Marcais et al., 2019), with the least k-mer without labels; two texts that
 agree in one such sketch are candidates. Order and labels make agreement follow edit
 similarity, the plain k-mer keeps texts apart that share a line repeated many times and
-nothing else. Texts of up to ``SHORT`` k-mers have ``SHORT_SKETCHES`` more, of
-``SHORT_PICKS``. A pair whose 5-word shingles have Jaccard similarity 0.8 is a candidate
-with a probability over 0.999.
+nothing else. Texts of up to ``SHORT`` words have ``SHORT_SKETCHES`` more, of
+``SHORT_PICKS`` single words. Short k-mers and few picks make the candidates as wide as the
+link test: scattered edits of a fifth of the words leave a Jaccard similarity of 0.47
+of 2-word k-mers, and agreement in one of the sketches with a probability over 0.99.
 
 Candidates are verified by alignment of their words inside the band that
 ``SIMILARITY`` allows: similar means ``1 - edits / longer length >= SIMILARITY``.
-Bounds on length and on shared words settle most unequal pairs before.
+Exact bounds settle most unequal pairs before: on length and, with a bit map of each
+text's words, on the words that one text has and the other lacks, before texts are joined to pairs.
 
 Within a sketch's texts first each is verified against the least one, which joins
 groups of copies of any size in as many pairs as they have members. Where
@@ -33,18 +35,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.components import components
 from tidewatch.llm.flat import chunks, mixed, normal_words, shingles, words
 from tidewatch.session import stored, work_folder
 
-K = 5
-SKETCHES = 40
-PICKS = 7
-SHORT, SHORT_SKETCHES, SHORT_PICKS = 64, 16, 2
+K = 2
+SKETCHES = 56
+PICKS = 2
+SHORT, SHORT_SKETCHES, SHORT_PICKS = 24, 24, 3
 SIMILARITY = 0.8
+#: Longs in the bit map of a text's words.
+MAPS = 8
 
 
 def labelled(prints: np.ndarray) -> np.ndarray:
@@ -89,10 +93,17 @@ def sketches(prints: np.ndarray, n: int = SKETCHES, picks: int = PICKS) -> np.nd
     return out.view(np.int64)
 
 
-def all_sketches(prints: np.ndarray, n: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
-    """A text's sketches, with those of fewer picks if it is short."""
-    long = sketches(prints, n, picks)
-    return np.concatenate([long, sketches(prints, SHORT_SKETCHES, SHORT_PICKS)]) if 0 < len(prints) <= SHORT else long
+def all_sketches(hashes: np.ndarray, k: int = K, n: int = SKETCHES, picks: int = PICKS) -> np.ndarray:
+    """A text's sketches from its words' hashes, with those of single words if it is short."""
+    long = sketches(shingles(hashes, min(k, max(1, len(hashes)))), n, picks)
+    return np.concatenate([long, sketches(shingles(hashes, 1), SHORT_SKETCHES, SHORT_PICKS)]) if 0 < len(hashes) <= SHORT else long
+
+
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    """``MAPS`` longs with a bit for each word. A bit of one text alone is a word that the other lacks, so it costs an edit."""
+    bits = np.zeros(64 * MAPS, np.uint8)
+    bits[(hashes >> np.uint64(20)) % np.uint64(64 * MAPS)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def edits(a: list[str], b: list[str], most: int) -> int:
@@ -135,20 +146,35 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _sketched(texts: DataFrame, k: int, n: int, picks: int) -> DataFrame:
+    """node, size (words), maps (see ``bit_map``), found (sketches) of each text."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, size = [], []
+            found, maps, size = [], [], []
             for _, data, offsets in chunks(batch.column(1)):
                 hashes, first = words(data, offsets)
-                prints = shingles(hashes, k)
                 for a, b in zip(first[:-1], first[1:], strict=True):
-                    own = prints[a : b - k + 1] if b - a >= k else shingles(hashes[a:b], max(1, b - a))
-                    found.append(all_sketches(own, n, picks))
+                    found.append(all_sketches(hashes[a:b], k, n, picks))
+                    maps.append(bit_map(hashes[a:b]))
                 size.append(np.diff(first))
             size = np.concatenate([np.zeros(0, np.int64), *size])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(found, pa.list_(pa.int64()))], ["node", "size", "found"])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(maps, longs), pa.array(found, longs)], ["node", "size", "maps", "found"])
+
+    return texts.mapInArrow(cut, "node long, size long, maps array<long>, found array<long>")
+
+
+def _like(a: str, b: str, similarity: float) -> Column:
+    """Whether the bounds on length and words leave it open that two texts (size and map columns of these endings) are similar."""
+    longer = F.greatest(f"size_{a}", f"size_{b}")
+    most = F.floor(longer * (1 - similarity) + 1e-6)
+    lacks = lambda x, y: sum(F.bit_count(F.col(f"m{i}_{x}").bitwiseAND(F.bitwise_not(f"m{i}_{y}"))) for i in range(MAPS))
+    return (longer - F.least(f"size_{a}", f"size_{b}") <= most) & (lacks(a, b) <= most) & (lacks(b, a) <= most)
+
 
-    return texts.mapInArrow(cut, "node long, size long, found array<long>").select("node", "size", F.explode("found").alias("sketch"))
+def _bounds(profiles: DataFrame, end: str) -> DataFrame:
+    """Node, size and map columns with names of this ending."""
+    return profiles.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), *[F.get("maps", F.lit(i)).alias(f"m{i}_{end}") for i in range(MAPS)])
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -176,20 +202,23 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     nodes = stored(keys.groupBy("digest").agg(F.min("row_id").alias("node")), f"{folder}/nodes")
     chosen = rows.select(F.col("row_id").alias("node"), "words").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     texts = stored(chosen, f"{folder}/texts")
-    found = stored(_sketched(texts, k, n, picks), f"{folder}/sketches")
+    profiles = stored(_sketched(texts, k, n, picks), f"{folder}/sketches")
+    found = profiles.select("node", F.explode("found").alias("sketch"))
     heads = stored(found.groupBy("sketch").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{folder}/heads")
-    shared = stored(found.hint("merge").join(heads, "sketch").select("sketch", "head", "node", "size"), f"{folder}/shared")
-    first = stored(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), f"{folder}/first")
+    shared = stored(found.hint("merge").join(heads, "sketch").select("sketch", "head", "node"), f"{folder}/shared")
+    first = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    first = first.hint("merge").join(_bounds(profiles, "a"), "a").hint("merge").join(_bounds(profiles, "b"), "b")
+    first = stored(first.where(_like("a", "b", similarity)).select("a", "b"), f"{folder}/first")
     links = stored(verified(first, texts, similarity), f"{folder}/links1")
     roots = components(links, f"{folder}/stars")
-    # texts of one sketch that are still apart: all pairs across classes, of like size, not tried before
-    rooted = shared.hint("merge").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("sketch", "node", "size", F.coalesce("root", "node").alias("root"))
+    # texts of one sketch that are still apart: all pairs across classes that the bounds leave open, not tried before
+    rooted = shared.hint("merge").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("sketch", "node", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, f"{folder}/rooted")
     apart = rooted.groupBy("sketch").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sketch")
-    left = stored(rooted.hint("merge").join(apart, "sketch", "left_semi"), f"{folder}/left")
-    other = left.select("sketch", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("root").alias("root_b"))
-    like = F.least("size", "size_b") >= F.greatest("size", "size_b") * similarity - 1e-6
-    pairs = left.hint("merge").join(other, "sketch").where((F.col("root") < F.col("root_b")) & like).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    left = rooted.hint("merge").join(apart, "sketch", "left_semi")
+    left = stored(left.hint("merge").join(_bounds(profiles, "a"), F.col("node") == F.col("a")).drop("node"), f"{folder}/left")
+    other = left.select("sketch", F.col("root").alias("root_b"), *[F.col(c).alias(c[:-1] + "b") for c in left.columns if c == "a" or c.endswith("_a")])
+    pairs = left.hint("merge").join(other, "sketch").where((F.col("root") < F.col("root_b")) & _like("a", "b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs.hint("merge").join(first, ["a", "b"], "left_anti"), f"{folder}/second")
     more = stored(verified(pairs, texts, similarity), f"{folder}/links2")
     roots = components(links.unionByName(more), f"{folder}/classes")
