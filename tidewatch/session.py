@@ -28,11 +28,14 @@ def local_session(cores: int | str = 8, name: str = "tidewatch") -> SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in tests on one machine, a temporary folder is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset on one
+    machine, as in tests, a temporary folder is made and set.
     """
     folder = spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set(CHECKPOINT_DIR, folder)
     return folder.rstrip("/")
