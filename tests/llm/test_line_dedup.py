@@ -33,11 +33,11 @@ def test_distance_is_exact_within_the_band(spark):
         assert r.edits == (d if d <= 2 else None), pairs[r.a]
 
 
-def brute(texts, edits, least):
+def brute(texts, edits, per_edit):
     lines = [(i, n, x.strip(" \t\r")) for i, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if x[2]]
     nodes = list(dict.fromkeys(x[2] for x in lines))
-    near = {x: [y for y in nodes if y != x and min(len(x), len(y)) >= least and distance(x, y) <= edits] for x in nodes}
+    near = {x: [y for y in nodes if y != x and distance(x, y) <= min(edits, max(len(x), len(y)) // per_edit)] for x in nodes}
     root = {}
     for x in nodes:
         if x not in root:
@@ -56,11 +56,11 @@ def brute(texts, edits, least):
 
 def test_matches_brute_force(docs_of):
     rng = random.Random(2)
-    base = ["".join(rng.choice("ab c") for _ in range(rng.randint(8, 30))).strip() or "x" for _ in range(12)]
+    base = ["".join(rng.choice("ab c") for _ in range(rng.randint(5, 30))).strip() or "x" for _ in range(12)]
     texts = ["\n".join(edited(rng, rng.choice(base) + "z", rng.randint(0, 3)) for _ in range(rng.randint(1, 5))) for _ in range(25)]
     texts += ["", None, "\n\n \t\n", texts[0], "short\nshort\nshorn", "y" * 3000 + "\n" + "y" * 3001]
-    got = L.line_classes(docs_of(texts), edits=2, min_chars=8).collect()
-    assert sorted(tuple(r) for r in got) == brute(texts, 2, 8)
+    got = L.line_classes(docs_of(texts), edits=2, per_edit=10).collect()
+    assert sorted(tuple(r) for r in got) == brute(texts, 2, 10)
 
 
 def test_empty_table(docs_of):

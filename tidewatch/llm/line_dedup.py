@@ -1,43 +1,53 @@
 r"""Line dedup by a segment-partition edit join, in DataFrame functions only.
 
 Lines are what stands between ``\n``, without spaces, tabs and ``\r`` around; empty
-lines are left alone. Equal lines are one node. Two nodes of at least ``MIN_CHARS``
-code points are linked if their edit distance is at most ``EDITS``; shorter lines, whose
-few characters would nearly all be near each other, match only exactly. A line's class
-is its connected component of links, and the first line of a class (least doc_id,
-null last, then line number) is the one that stays.
+lines are left alone. Equal lines are one node. Two nodes are linked if their edit
+distance is at most ``EDITS`` and at most one for each ``PER_EDIT`` code points of the longer
+line: of the shortest lines, whose few characters would nearly all be near each
+other, only equal ones match. A line's class is its connected component of links, and
+the first line of a class (least doc_id, null last, then line number) is the one that stays.
 
 The join (Li et al., Pass-Join, 2011): a line of length l is cut into ``EDITS + 1``
 segments, so one at least stands unedited in a line near it. Segments are indexed by
 length, number and content. A line probes the index of each length from its own
 down to ``EDITS`` less with the substrings that the multi-match-aware bounds allow for each
-segment. Candidates that Spark's bounded ``levenshtein`` finds too far apart go; the others
-are verified, with their distance, by a banded bit-parallel automaton: a word for each
+segment. Lines of many texts that share a segment would all meet; counts of ten letters, carried with each
+key, part those that no two edits could make equal within the join. What is left is
+verified, with its distance, by a banded bit-parallel automaton: a word for each
 number of edits holds the reachable diagonals of the band, and reading a
-character moves all diagonals at once. The automaton alone would be right, but as a fold in
-SQL it costs too much on long lines.
+character moves all diagonals at once.
 
 Null text is one empty line. Repeated rows repeat each other's lines. An empty table
-gives no rows; other columns are not read.
+gives no rows; other columns are not read. A very long line is one node like others: its
+keys are hashes and its verification is given up where it has too many edits.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.flat import numbered
 from tidewatch.operators.components import components
 from tidewatch.session import released, removed, stored, work_folder
 
 EDITS = 2
-MIN_CHARS = 40
-HEAD = 48
+PER_EDIT = 10
+#: Common letters of Latin scripts. Any would be right; those that lines have part them best.
+LETTERS = "etanisrohd"
+#: Characters after which the automaton looks whether any state is left.
+STOP = 20
+PAIRS_A_TASK = 10_000
+#: Lengths of parts by which common beginnings are skipped.
+PARTS = (4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """line_id, doc_id, line_no, line; ids follow the order in which files are read."""
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return cut.select(F.monotonically_increasing_id().alias("line_id"), "doc_id", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
+def lines_of(docs: DataFrame, row_id: str) -> DataFrame:
+    """row_id, doc_id, line_no, line of each row."""
+    cut = docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    return cut.select("row_id", "doc_id", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
 
 
 def key_of(line: Column) -> Column:
@@ -45,23 +55,25 @@ def key_of(line: Column) -> Column:
 
 
 def coded(nodes: DataFrame) -> DataFrame:
-    """node, l (code points) and the line with four bytes a code point, so that cutting it doesn't count characters anew."""
-    return nodes.select("node", F.encode("line", "UTF-32").alias("code")).select("node", "code", F.expr("octet_length(code) div 4").cast("int").alias("l"))
+    """node, letters, l (code points) and the line with four bytes a code point, so that cutting it doesn't count characters anew."""
+    return nodes.select("node", "letters", F.encode("line", "UTF-32").alias("code")).select("node", "letters", "code", F.expr("octet_length(code) div 4").cast("int").alias("l"))
 
 
 def keyed_parts(nodes: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """node, l, k: a key for each probe (how much shorter the indexed line is, segment, shift) of each line.
+    """node, other, letters, k: a key for each probe (how much shorter the indexed line is, segment, shift) of each line.
+
+    ``other`` is the node too, or -1 less it where the indexed line is shorter.
 
     Segments are even parts, the longer ones last. The probes are exploded first and one
     expression makes all keys: code for each of them would be too long to be compiled.
     """
     parts = edits + 1
     specs = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in probes])
-    each = coded(nodes).select("node", "l", "code", F.explode(specs).alias("p")).select("node", "l", "code", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
+    each = coded(nodes).select("node", "letters", "l", "code", F.explode(specs).alias("p")).select("node", "letters", "l", "code", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
     sized = each.select("*", F.expr(f"CAST(m div {parts} AS INT)").alias("even"), F.expr(f"m % {parts}").alias("longer"))
-    placed = sized.select("node", "l", "code", "m", "i", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
+    placed = sized.select("node", "letters", "l", "code", "m", "i", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
     whole = placed.where("at >= 1 AND at + size - 1 <= l")
-    return whole.select("node", "l", F.expr("xxhash64(m, i, substring(code, at * 4 - 3, size * 4))").alias("k"))
+    return whole.select("node", F.expr("IF(m < l, -1 - node, node)").alias("other"), "letters", F.expr("xxhash64(m, i, substring(code, at * 4 - 3, size * 4))").alias("k"))
 
 
 def index_probes(edits: int) -> list[tuple[int, int, int]]:
@@ -74,89 +86,130 @@ def search_probes(edits: int) -> list[tuple[int, int, int]]:
 
 
 def distances(pairs: DataFrame, edits: int) -> DataFrame:
-    """a, b, edits of ``pairs`` (a, b and lines x, y): the distance if at most ``edits``, else null.
+    """a, b, n (code points of y), edits of ``pairs`` (a, b and lines x, y): the distance if at most ``edits``, else null.
 
     Bit ``edits + d`` of word e says that diagonal d (place in x less place in y) is
-    reached with e edits. What both lines begin with is left out, as it never needs an
-    edit, and the fold over the rest is given up when no bit is left after ``HEAD``
-    characters. Arrays are made by projections of their own: inside the fold they would be made anew
-    for each character.
+    reached with e edits. What both lines begin with never needs an edit: it is left out
+    by comparing halved parts. The fold runs over ``STOP`` characters, and
+    over the rest only where a bit is left. Arrays are made by projections of their own:
+    inside the fold they would be made anew for each character.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    cut = pairs.select("a", "b", F.split("x", "").alias("x"), F.split("y", "").alias("y"))
-    differs = F.array_position(F.zip_with("x", "y", lambda p, q: F.coalesce(p != q, F.lit(True))), F.lit(True)).cast("int")
-    placed = cut.withColumn("at", F.when(differs == 0, F.size("x") + 1).otherwise(differs))
-    rest = lambda c: F.slice(c, F.col("at"), F.greatest(F.size(c) - F.col("at") + 1, F.lit(0)))
-    bare = placed.select("a", "b", rest("x").alias("x"), rest("y").alias("y"))
-    numbered = bare.select("a", "b", "x", F.transform("y", lambda c, j: F.struct(c.alias("c"), j.alias("j"))).alias("y"))
-
-    def step(words: Column, at: Column) -> Column:
-        same = F.lit(0)
-        for r in range(width):
-            place = at["j"] + (r - edits)
-            same = same + F.when((place >= 0) & (F.get("x", F.greatest(place, F.lit(0))) == at["c"]), 1 << r).otherwise(0)
-        out = []
-        for e in range(edits + 1):
-            word = F.get(words, F.lit(e)).bitwiseAND(same)
-            if e:
-                before = F.get(words, F.lit(e - 1))
-                word = word.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(F.lit(mask)))
-            out.append(word)
-        return F.array(*out)
+    cut = pairs.select("a", "b", "x", "y", F.length("x").alias("m"), F.length("y").alias("n"), F.lit(0).alias("p"))
+    for size in PARTS:
+        part = lambda c: F.substring(c, F.col("p") + 1, F.lit(size))  # noqa: B023, E731
+        cut = cut.withColumn("p", F.when(part("x") == part("y"), F.col("p") + size).otherwise(F.col("p")))
+
+    def letters(text: Column) -> Column:
+        return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
+
+    def placed(text: Column) -> Column:
+        return F.transform(letters(text), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
+
+    def step(x: str):
+        def read(words: Column, at: Column) -> Column:
+            same = F.lit(0)
+            for r in range(width):
+                place = at["j"] + (r - edits)
+                same = same + F.when((place >= 0) & (F.get(x, F.greatest(place, F.lit(0))) == at["c"]), 1 << r).otherwise(0)
+            out = []
+            for e in range(edits + 1):
+                word = F.get(words, F.lit(e)).bitwiseAND(same)
+                if e:
+                    before = F.get(words, F.lit(e - 1))
+                    word = word.bitwiseOR(before).bitwiseOR(F.shiftright(before, 1)).bitwiseOR(F.shiftleft(out[-1], 1).bitwiseAND(F.lit(mask)))
+                out.append(word)
+            return F.array(*out)
+
+        return read
 
     begin = F.array(*[F.lit(sum(1 << edits + d for d in range(e + 1))) for e in range(edits + 1)])
-    headed = numbered.withColumn("head", F.aggregate(F.slice("y", 1, HEAD), begin, step))
+    at = F.col("p") + 1
+    cut = cut.withColumns({"head_x": letters(F.substring("x", at, F.lit(STOP + edits))), "head_y": placed(F.substring("y", at, F.lit(STOP)))})
+    headed = cut.withColumn("head", F.aggregate("head_y", begin, step("head_x")))
     alive = F.exists("head", lambda w: w != 0)
-    tail = F.aggregate(F.slice("y", F.lit(HEAD + 1), F.greatest(F.size("y") - HEAD, F.lit(0))), F.col("head"), step)
-    ended = headed.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.when(alive, tail).alias("ends"))
+    rest = lambda c: F.substring(c, at, F.length(c))
+    headed = headed.withColumns({"all_x": F.when(alive, letters(rest("x"))), "all_y": F.when(alive, placed(rest("y")))})
+    tail = F.slice("all_y", F.lit(STOP + 1), F.greatest(F.size("all_y") - STOP, F.lit(0)))
+    ended = headed.select("a", "b", "m", "n", F.aggregate(tail, F.col("head"), step("all_x")).alias("ends"))
     last = F.get(F.array(*[F.lit(1 << r) for r in range(width)]), F.lit(edits) + F.col("m") - F.col("n"))
     found = F.coalesce(*[F.when(F.get("ends", F.lit(e)).bitwiseAND(last) != 0, e) for e in range(edits + 1)])
-    return ended.select("a", "b", found.alias("edits"))
-
-
-def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
-    """a, b, edits: pairs of ``nodes`` (node, line; lines distinct) within the edit distance."""
-    index = keyed_parts(nodes, index_probes(edits), edits)
-    probe = keyed_parts(nodes, search_probes(edits), edits).select(F.col("node").alias("other"), F.col("l").alias("l2"), "k")
-    met = probe.hint("merge").join(index, "k").where((F.col("l") < F.col("l2")) | ((F.col("l") == F.col("l2")) & (F.col("node") < F.col("other"))))
-    pairs = stored(met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), f"{folder}/candidates")
-    released(nodes.sparkSession)
-    texts = nodes.select("node", "line").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("shuffle_hash"), "node", "left_semi")
-    texts = stored(texts, f"{folder}/texts")
+    return ended.select("a", "b", "n", found.alias("edits"))
+
+
+def letter_counts(line: Column) -> Column:
+    """Counts of ``LETTERS`` in a line, six bits each and modulo 64."""
+    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x)))).cast("long").bitwiseAND(F.lit(63)) for x in LETTERS]
+    return reduce(lambda a, b: F.shiftleft(a, 6).bitwiseOR(b), counts)
+
+
+def counts_within(a: Column, b: Column, edits: int) -> Column:
+    """Whether letter counts leave it open that two lines are within ``edits``: each edit changes two counts by one at most."""
+    apart = []
+    for k in range(len(LETTERS)):
+        d = F.abs(F.shiftright(a, 6 * k).bitwiseAND(F.lit(63)) - F.shiftright(b, 6 * k).bitwiseAND(F.lit(63)))
+        apart.append(F.least(d, F.lit(64) - d))
+    return reduce(lambda x, y: x + y, apart) <= 2 * edits
+
+
+def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
+    """a, b, edits: pairs of ``nodes`` (node, line; lines distinct, nodes not negative) within the edits that their length allows.
+
+    The segments are joined one after the other, so that only the keys of one are on disk.
+    """
+    spark = nodes.sparkSession
+    counted = stored(nodes.select("node", "line", letter_counts(F.col("line")).alias("letters")), f"{folder}/counted")
+    for i in range(edits + 1):
+        index = keyed_parts(counted, [x for x in index_probes(edits) if x[1] == i], edits).select("k", "node", F.col("letters").alias("index_letters"))
+        probe = keyed_parts(counted, [x for x in search_probes(edits) if x[1] == i], edits).select("k", "other", "letters")
+        # lines of equal length meet in both orders, of which one is taken; a probe of a shorter length has a number below 0
+        met = probe.hint("merge").join(index, "k").where(((F.col("other") < 0) | (F.col("node") < F.col("other"))) & counts_within(F.col("letters"), F.col("index_letters"), edits))
+        met.select(F.col("node").alias("a"), F.when(F.col("other") < 0, -1 - F.col("other")).otherwise(F.col("other")).alias("b")).distinct().write.parquet(f"{folder}/candidates/segment={i}")
+        released(spark)
+    pairs = stored(spark.read.parquet(f"{folder}/candidates").select("a", "b").distinct(), f"{folder}/pairs")
+    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
+    texts = stored(nodes.select("node", "line").join(ends.hint("shuffle_hash"), "node", "left_semi"), f"{folder}/texts")
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
     both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
-    # the built-in bounded distance, compiled code without arrays, settles the many candidates that are far apart
-    near = both.where(F.levenshtein("x", "y", edits) >= 0).select("a", "b", "x", "y")
-    near = stored(near, f"{folder}/near").repartition(nodes.sparkSession.sparkContext.defaultParallelism)
+    # small in bytes but not in work: the number of tasks follows the number of pairs
+    n = max(spark.sparkContext.defaultParallelism, pairs.count() // PAIRS_A_TASK)
+    dealt = both.select("a", "b", "x", "y").repartition(n, "a", "b")
     # written before it is filtered: a filter pushed below the arrays would make them anew for each character
-    return stored(distances(near, edits), f"{folder}/verified").where("edits IS NOT NULL")
+    found = stored(distances(dealt, edits), f"{folder}/verified").where("edits IS NOT NULL")
+    return found.where(F.col("edits") <= F.floor(F.col("n") / per_edit)).select("a", "b", "edits")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, folder: str | None = None) -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT, folder: str | None = None) -> DataFrame:
     """doc_id, line_no, n_links, class_doc_id, class_line_no, kept for each line that isn't empty."""
-    if min_chars <= 2 * edits:
+    if per_edit <= 2 * edits:
         raise ValueError("lines must be longer than twice the edits")
     folder = folder or work_folder(docs.sparkSession, "lines")
-    lines = lines_of(docs)
-    keyed = stored(lines.where("line <> ''").select("line_id", "doc_id", "line_no", key_of(F.col("line")).alias("key")), f"{folder}/keyed")
-    long = lines.where(F.length("line") >= min_chars).groupBy("line").agg(F.min("line_id").alias("node"))
-    nodes = stored(long.select("node", "line"), f"{folder}/nodes")
-    released(docs.sparkSession)
-    links = stored(near_pairs(nodes, folder, edits), f"{folder}/links")
-    removed(docs.sparkSession, f"{folder}/nodes", f"{folder}/candidates", f"{folder}/texts", f"{folder}/verified")
+    docs, row_id = numbered(docs)
+    lines = lines_of(docs, row_id).where("line <> ''")
+    keyed = stored(lines.select("row_id", "doc_id", "line_no", key_of(F.col("line")).alias("key")), f"{folder}/keyed")
+    # written before they are numbered, so that each later scan gives a line the same number
+    distinct = stored(lines.where(F.length("line") >= per_edit - edits).select("line").distinct(), f"{folder}/nodes")
     released(docs.sparkSession)
+    held, node = numbered(distinct)
+    nodes = held.select(F.col(node).alias("node"), "line")
+    links = stored(near_pairs(nodes, folder, edits, per_edit), f"{folder}/links")
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links.select("a", "b"), f"{folder}/components")
-    first = keyed.groupBy("key").agg(F.min("line_id").alias("node"))
-    classed = first.hint("merge").join(counts, "node", "left").hint("merge").join(roots, "node", "left")
-    classed = stored(classed.select("key", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "node").alias("root")), f"{folder}/classed")
+    linked = counts.hint("merge").join(roots, "node")
+    keys = stored(nodes.join(roots.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", key_of(F.col("line")).alias("key")), f"{folder}/keys")
+    classes = linked.hint("merge").join(keys, "node").hint("merge").join(keys.select(F.col("node").alias("root"), F.col("key").alias("root_key")), "root")
+    classes = stored(classes.select("key", "n_links", "root_key"), f"{folder}/classes")
+    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("nodes", "counted", "candidates", "texts", "verified")])
+    released(docs.sparkSession)
     # one line may be a third of all lines: merge joins, whose large partitions Spark splits; minima are summed before they are dealt
-    marked = stored(keyed.hint("merge").join(classed, "key").select("line_id", "doc_id", "line_no", "n_links", "root"), f"{folder}/marked")
-    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line_no", "line_id")
+    marked = keyed.hint("merge").join(classes, "key", "left").select("row_id", "doc_id", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root_key", "key").alias("root"))
+    marked = stored(marked, f"{folder}/marked")
+    order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "line_no", "row_id")
     heads = marked.groupBy("root").agg(F.min(order).alias("head"))
     out = marked.hint("merge").join(heads, "root")
-    return out.select("doc_id", "line_no", "n_links", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), (F.col("line_id") == F.col("head.line_id")).alias("kept"))
+    kept = (F.col("row_id") == F.col("head.row_id")) & (F.col("line_no") == F.col("head.line_no"))
+    return out.select("doc_id", "line_no", "n_links", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"), kept.alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -171,7 +224,7 @@ filled AS (SELECT * FROM lines WHERE line <> ''),
 nodes AS (SELECT line, row_number() OVER (ORDER BY line) AS node, length(line) AS l FROM (SELECT DISTINCT line FROM filled)),
 links AS (
   SELECT x.node AS a, y.node AS b FROM nodes x JOIN nodes y ON y.l BETWEEN x.l AND x.l + {EDITS} AND x.node <> y.node AND (x.l < y.l OR x.node < y.node)
-  WHERE x.l >= {MIN_CHARS} AND levenshtein(x.line, y.line) <= {EDITS}),
+  WHERE y.l >= {PER_EDIT} AND levenshtein(x.line, y.line) <= least({EDITS}, y.l // {PER_EDIT})),
 sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
 reach AS (SELECT node, node AS r FROM nodes UNION SELECT reach.node, sides.b FROM reach JOIN sides ON reach.r = sides.a),
 roots AS (SELECT node, min(r) AS root FROM reach GROUP BY node),
