@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.flat import chunks, normal_words, shingles, words
+from tidewatch.llm.flat import chosen, chunks, normal_words, numbered, shingles, words
 from tidewatch.session import stored, work_folder
 
 MIN_WORDS = 5
@@ -147,9 +147,10 @@ def _judged(docs: DataFrame, items: list[tuple], coverage: float, k: int) -> Dat
     return docs.mapInArrow(judge, "row_id long, doc_id long, items array<long>, coverage double")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, folder: str | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, folder: str | None = None, row_id: str | None = None) -> DataFrame:
     """row_id, doc_id, contaminated, items, coverage (null if clean) for each row of ``docs``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("words"))
+    docs, row_id = numbered(docs, row_id)
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), normal_words(F.col("text")).alias("words"))
     parts = [_judged(rows, items, coverage, min_words) for items in item_blocks(benchmark, block_words)] or [_judged(rows, [], coverage, min_words)]
     if len(parts) == 1:
         out = parts[0]
@@ -164,10 +165,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without contaminated rows, columns as they were."""
-    marks = stored(contamination(docs, benchmark, **options), work_folder(docs.sparkSession, "marks"))
-    bad = marks.where("contaminated").select(F.col("row_id").alias("__row"))
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    return numbered.join(bad.hint("shuffle_hash"), "__row", "left_anti").drop("__row")
+    docs, row_id = numbered(docs)
+    marks = stored(contamination(docs, benchmark, row_id=row_id, **options), work_folder(docs.sparkSession, "marks"))
+    return chosen(docs, row_id, marks.where("contaminated"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ Texts are equal when identical after deleting ``[\\x20\\x09-\\x0D]``. The row wi
 the most code points stays, then the smallest ``doc_id`` (null last), then the
 row read first. Null texts count as empty; empty texts are one group. An empty
 table gives no rows. Columns besides ``doc_id`` and ``text`` are not read, so
-clashing names do no harm.
+clashing names do no harm. A long text is one value of its task, hashed in one pass.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.flat import chosen, numbered
 from tidewatch.session import stored, work_folder
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -32,11 +33,11 @@ _GAMMA = 2.0
 _BIT_BYTES = 32
 
 
-def digested(docs: DataFrame) -> DataFrame:
+def digested(docs: DataFrame, row_id: str) -> DataFrame:
     """row_id, doc_id, digest, n_chars for each row."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col(row_id).alias("row_id"),
         "doc_id",
         F.unhex(F.sha2(F.translate(text, SPACES, "").cast("binary"), 256)).alias("digest"),
         F.length(text).cast("long").alias("n_chars"),
@@ -145,7 +146,7 @@ def grouped(history: DataFrame, arrivals: DataFrame, folder: str) -> DataFrame:
     return slots.hint("merge").join(checked.select("digest"), "digest", "left_anti").unionByName(news_part)
 
 
-def exact_groups(docs: DataFrame, is_history=None, folder: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, is_history=None, folder: str | None = None, row_id: str | None = None) -> DataFrame:
     """Each row of ``docs`` with its group: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
     is_history: a condition on ``doc_id`` that names the rows seen before; without
@@ -153,7 +154,8 @@ def exact_groups(docs: DataFrame, is_history=None, folder: str | None = None) ->
     """
     folder = folder or work_folder(docs.sparkSession, "exact")
     old = F.coalesce(is_history, F.lit(False)) if is_history is not None else F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
-    rows = stored(digested(docs).withColumn("old", old), f"{folder}/rows")
+    docs, row_id = numbered(docs, row_id)
+    rows = stored(digested(docs, row_id).withColumn("old", old), f"{folder}/rows")
     groups = stored(grouped(rows.where("old"), rows.where("NOT old"), folder), f"{folder}/groups")
     # a digest may stand on a third of the rows: a merge join, whose large partitions Spark splits
     joined = rows.hint("merge").join(groups, "digest")
@@ -169,8 +171,9 @@ def exact_groups(docs: DataFrame, is_history=None, folder: str | None = None) ->
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated texts, columns as they were."""
-    kept = exact_groups(docs.select("doc_id", "text")).where("kept").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).hint("merge").join(kept, "__row", "left_semi").drop("__row")
+    docs, row_id = numbered(docs)
+    marks = stored(exact_groups(docs, row_id=row_id).select("row_id", "kept"), work_folder(docs.sparkSession, "marks"))
+    return chosen(docs, row_id, marks.where("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -6,14 +6,74 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.session import stored, work_folder
+
+MAX_FILES = 100_000
 CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _powers: list[np.ndarray] = []
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
+def numbered(docs: DataFrame, row_id: str | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a number for each row, and the number's column; as it is if that column is named.
+
+    Each scan must give a row the same number, also one that is split otherwise or
+    runs with fewer executors. So the number is the file's place in the sorted list of files and
+    the row's index in it. A DataFrame that isn't a plain scan, or one of more than
+    ``MAX_FILES`` files, whose list would be too long for every task, is numbered once and written.
+    """
+    if row_id is not None:
+        return docs, row_id
+    name = free_name(docs, "row_id")
+    files = docs.inputFiles()
+    try:
+        meta = docs.metadataColumn("_metadata")
+        docs.select(meta["row_index"])
+        plain = _is_scan(docs) and 0 < len(files) <= MAX_FILES
+    except AnalysisException:
+        plain = False
+    if not plain:
+        made = docs.withColumn(name, F.monotonically_increasing_id())
+        return stored(made, work_folder(docs.sparkSession, "numbered")), name
+    path, place = free_name(docs, "path_of_file"), free_name(docs, "place_of_file")
+    places = docs.sparkSession.createDataFrame([(x, k) for k, x in enumerate(sorted({_path(x) for x in files}))], f"{path} string, {place} long")
+    indexed = docs.withColumns({path: F.regexp_replace(meta["file_path"], r"^(\w+):/+", "$1:/"), name: meta["row_index"]})
+    known = F.coalesce(F.col(place), F.raise_error(F.concat(F.lit("a file that was not listed: "), F.col(path))).cast("long"))
+    number = F.shiftleft(known, 40) + F.col(name)
+    return indexed.join(F.broadcast(places), path, "left").withColumn(name, number).drop(path, place), name
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether only projections and filters stand above one scan, so that a row of ``docs`` is a row of a file."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().apply(0)
+    return node.nodeName() == "LogicalRelation"
+
+
+def _path(uri: str) -> str:
+    scheme, _, rest = uri.partition(":")
+    return f"{scheme}:/{rest.lstrip('/')}"
+
+
+def chosen(docs: DataFrame, row_id: str, rows: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows of ``docs`` whose numbers are (``left_semi``) or aren't (``left_anti``) in ``rows`` (row_id), without the number."""
+    some = rows.select(F.col("row_id").alias(row_id)).hint("shuffle_hash")
+    return docs.join(some, row_id, how).drop(row_id)
+
+
 def normal_words(text: Column) -> Column:
     """Lower-case words of letters, marks and digits with one space between; null gives ''."""
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " "))

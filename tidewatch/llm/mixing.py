@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewatch.llm.flat import numbered
 from tidewatch.session import stored, work_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -107,8 +108,9 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 def mixed(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), epochs: float = 1.5, cap: float = 2.0, folder: str | None = None) -> DataFrame:
     """row_id, doc_id, size, source_size, target, taken for each row of ``docs``."""
     folder = folder or work_folder(docs.sparkSession, "mixing")
+    docs, row_id = numbered(docs)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row_id"),
+        F.col(row_id).alias("row_id"),
         "doc_id",
         "source",
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),

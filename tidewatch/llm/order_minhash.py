@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.components import components
-from tidewatch.llm.flat import chunks, mixed, normal_words, shingles, words
+from tidewatch.llm.flat import chosen, chunks, mixed, normal_words, numbered, shingles, words
 from tidewatch.session import stored, work_folder
 
 K = 2
@@ -193,11 +193,12 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return dealt.mapInPandas(keep, "a long, b long")
 
 
-def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n: int = SKETCHES, picks: int = PICKS, folder: str | None = None) -> DataFrame:
+def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n: int = SKETCHES, picks: int = PICKS, folder: str | None = None, row_id: str | None = None) -> DataFrame:
     """row_id, doc_id, class_id, class_size, first (one row of each class) for each row of ``docs``."""
     folder = folder or work_folder(docs.sparkSession, "near")
     text = normal_words(F.col("text"))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("words"))
+    docs, row_id = numbered(docs, row_id)
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("words"))
     keys = stored(rows.select("row_id", "doc_id", F.sha2(F.col("words").cast("binary"), 256).alias("digest")), f"{folder}/keys")
     nodes = stored(keys.groupBy("digest").agg(F.min("row_id").alias("node")), f"{folder}/nodes")
     chosen = rows.select(F.col("row_id").alias("node"), "words").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
@@ -231,9 +232,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, columns as they were."""
-    marks = stored(near_classes(docs, **options), work_folder(docs.sparkSession, "marks"))
-    kept = marks.where("first").select(F.col("row_id").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept.hint("shuffle_hash"), "__row", "left_semi").drop("__row")
+    docs, row_id = numbered(docs)
+    marks = stored(near_classes(docs, row_id=row_id, **options), work_folder(docs.sparkSession, "marks"))
+    return chosen(docs, row_id, marks.where("first"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

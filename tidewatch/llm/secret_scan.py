@@ -12,7 +12,8 @@ are the starts. All counts are code points, ends exclusive.
 
 Null text counts as empty and has no findings; a null path stays a path of its
 own. Repeated rows share one blob and each get its findings. Empty tables give no
-rows; other columns are not read.
+rows; other columns are not read. A very long text is scanned whole in one task; its
+findings are gathered in portions of ``PORTION``, so their number squared is never copied.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.llm.flat import numbered
 from tidewatch.session import stored, work_folder
 
 #: Kind, version, hint that every match holds (lower case), pattern, group to measure, least length of it.
@@ -32,6 +34,7 @@ RULES = [
 ]
 BASE = ("assign", "access", "hex")
 ORDER = {kind: k for k, (kind, *_) in enumerate(RULES)}
+PORTION = 512
 FINDING = "array<struct<start:bigint,k:int,kind:string,end:bigint>>"
 SCANS = f"blob string, rules array<string>, found {FINDING}"
 
@@ -61,8 +64,17 @@ def matches(text: Column, rule) -> Column:
         one = F.array(F.struct(begin.alias("start"), F.lit(ORDER[kind]).alias("k"), F.lit(kind).alias("kind"), end.alias("end"))).cast(FINDING)
         return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["found"], one)).otherwise(acc["found"]).alias("found"))
 
+    def gather(acc: Column, portion: Column) -> Column:
+        return F.struct(portion["at"].alias("at"), F.concat(acc["found"], portion["found"]).alias("found"))
+
+    def folded(hits: Column) -> Column:
+        fold = lambda acc, at: F.aggregate(F.slice(hits, at, F.lit(PORTION)), F.struct(acc["at"].alias("at"), _none().alias("found")), step)
+        begins = F.sequence(F.lit(1), F.greatest(F.size(hits), F.lit(1)), F.lit(PORTION))
+        # a portion is bound by a lambda of its own, as an expression that stands twice is evaluated twice
+        return F.aggregate(begins, start, lambda acc, at: F.get(F.transform(F.array(fold(acc, at)), lambda x: gather(acc, x)), F.lit(0)))
+
     likely = text.rlike(pattern) if hint is None else F.contains(text, F.lit(hint)) & text.rlike(pattern)
-    return F.when(likely, F.aggregate(parts, start, step)["found"]).otherwise(_none())
+    return F.when(likely, F.get(F.transform(F.array(parts), folded), F.lit(0))["found"]).otherwise(_none())
 
 
 class Ledger:
@@ -98,8 +110,9 @@ class Ledger:
 
 
 def versions_of(docs: DataFrame) -> DataFrame:
+    docs, row_id = numbered(docs)
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("blob"))
+    return docs.select(F.col(row_id).alias("row_id"), "doc_id", text.alias("text"), F.sha2(text.cast("binary"), 256).alias("blob"))
 
 
 def scanned(docs: DataFrame, folder: str, increments: int = 2, rules=RULES) -> DataFrame:

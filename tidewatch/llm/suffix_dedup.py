@@ -22,8 +22,7 @@ counted by hash over all tasks and joined back.
 Null texts are empty. Texts shorter than ``match`` keep all bytes. Repeated rows are
 documents of their own and repeat each other. An empty table gives no rows; other
 columns are not read. Text is read in pieces, so a document's length doesn't bound memory
-beyond its own bytes. Row numbers are those of a file scan; pass a DataFrame read from
-files.
+beyond its own bytes.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.flat import chunks, mixed, powers
+from tidewatch.llm.flat import chunks, mixed, numbered, powers
 from tidewatch.session import released, removed, stored, work_folder
 
 MATCH = 400
@@ -313,13 +312,16 @@ def substring_deduplicated(docs: DataFrame, match: int = MATCH, seed: int = SEED
     if not 8 <= seed < match or match - seed + 1 >= 1024:
         raise ValueError("seed must be at least 8 and less than match, by less than 1024")
     folder = folder or work_folder(docs.sparkSession, "suffix")
-    numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = numbered.select("row_id", F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int").alias("batch"), "text")
+    docs, row_id = numbered(docs)
+    texts = docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.select("row_id", F.pmod(F.xxhash64("row_id"), F.lit(batches)).cast("int").alias("batch"), "text")
     found = repeated_windows(rows, folder, match, seed, batches, group_runs, piece)
     by_row = found.groupBy("row_id").agg(F.collect_list(F.struct("first", "n")).alias("windows"))
-    return cut_out(numbered.join(by_row.hint("shuffle_hash"), "row_id", "left").select("row_id", "doc_id", "text", "windows"), match)
+    return cut_out(texts.join(by_row.hint("shuffle_hash"), "row_id", "left").select("row_id", "doc_id", "text", "windows"), match)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = substring_deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    # a cut may part a character; what is left of it shows as U+FFFD in the remaining text
+    text = F.make_valid_utf8(F.col("kept").cast("string"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", text.alias("text"), (F.col("n_removed") > 0).alias("repeated"), "spans")

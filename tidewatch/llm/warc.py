@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.flat import file_at
+from tidewatch.llm.flat import file_at, numbered
 from tidewatch.session import stored, work_folder
 
 BLOCK_LINES = 500
@@ -89,7 +89,8 @@ def _number(x):
 def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write the records; a row for each: row_id, page_id, key, file, offset, length, digest, kind."""
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.monotonically_increasing_id().alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n_bytes"))
+    pages, row_id = numbered(pages)
+    rows = pages.select(F.col(row_id).alias("row_id"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha1"), F.octet_length(html).alias("n_bytes"))
     rank = F.struct("page_id", F.bitwise_not("row_id").alias("r_row"))
     best = rows.where(F.col("n_bytes") >= least).groupBy("sha1").agg(F.max(rank).alias("best"))
     # the side without payloads is held in memory; one payload may be that of a third of the pages, whose partition Spark splits
