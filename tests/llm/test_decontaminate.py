@@ -22,7 +22,7 @@ def brute(text, item, k=5):
                 if n > best[0]:
                     best = (n, d, i)
         n, d, i = best
-        if n < k:
+        if n < min(k, max(1, len(item))):
             return covered / len(item) if item else 0
         for x in range(n):
             a[d + x] = b[i + x] = True
@@ -43,7 +43,7 @@ def test_matches_brute_force(docs_of, items):
     w = texts[0].split()
     docs = [
         f"{noise(20)} {texts[0].upper()}, {noise(9)}", f"{noise(4)} {' '.join(w[15:])}! {noise(6)} {' '.join(w[:15])}", " ".join(w[:20]), " ".join(w[:24]) + " x", noise(300), None, "", texts[3],
-        f"{texts[1]} {texts[2]}", " ".join(w[:8] * 5), ("- ".join(w[:10])) + " " + " ".join(w[5:30]), f"{noise(30000)} {texts[2]} {noise(10)}",
+        f"{texts[1]} {texts[2]}", f"x {texts[3]}", texts[3].rsplit(" ", 1)[0], " ".join(w[:8] * 5), ("- ".join(w[:10])) + " " + " ".join(w[5:30]), f"{noise(30000)} {texts[2]} {noise(10)}",
     ]
     got = {r.doc_id: r for r in D.contamination(docs_of(docs), bench).collect()}
     for i, t in enumerate(docs[:-1]):
@@ -66,3 +66,19 @@ def test_filter_keeps_columns(docs_of, items):
     docs = docs_of([texts[0], "clean text", None])
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
+
+
+def test_repeated_words_of_a_very_long_text(docs_of, spark):
+    bench = spark.createDataFrame([(0, "a " * 400), (1, "a b " * 200), (2, "b a " * 30 + "c d e f g " * 20)], "item_id long, text string")
+    got = D.contamination(docs_of(["a " * 1_000_000, "b " + "a b " * 100_000, "a " * 399]), bench).collect()
+    assert [r["items"] for r in sorted(got)] == [[0], [1], [0]]
+
+
+def test_portions_make_the_same_matches(monkeypatch):
+    rng = random.Random(3)
+    items = [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))) for k in range(30)]
+    seeds = D.Seeds(items)
+    hashes, _ = D.words(*(lambda x: (D.np.frombuffer(x.encode(), D.np.uint8), D.np.array([0, len(x)])))(" ".join(rng.choice("abc") for _ in range(400))))
+    whole = seeds.covered(hashes, D.shingles(hashes, 5), 0.5)
+    monkeypatch.setattr(D, "PAIRS", 7)
+    assert seeds.covered(hashes, D.shingles(hashes, 5), 0.5) == whole and len(whole) > 3

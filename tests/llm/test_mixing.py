@@ -56,11 +56,22 @@ def test_fit_is_the_best_subset():
         budget = int(rng.integers(0, int((lengths * counts).sum()) + 2))
         taken = M.fit(lengths, counts, budget)
         assert (taken >= 0).all() and (taken <= counts).all()
-        base = np.floor(counts * min(1, budget / (lengths * counts).sum())).astype(int)
-        best = max(s for c in product(*[range(b, n + 1) for b, n in zip(base, counts, strict=True)]) if (s := int((lengths * c).sum())) <= budget)
+        best = max(s for c in product(*[range(n + 1) for n in counts]) if (s := int((lengths * c).sum())) <= budget)
         assert (lengths * taken).sum() == best
 
 
+def test_lengths_are_taken_alike():
+    for each in (1, 3):
+        lengths, counts = np.arange(1, 3001), np.full(3000, each)
+        budget = int((lengths * counts).sum()) // 2
+        shares = np.zeros(3)
+        for seed in range(10):
+            taken = M.fit(lengths, counts, budget, seed)
+            assert (lengths * taken).sum() == budget and (taken <= counts).all() and (taken >= 0).all()
+            shares += taken.reshape(3, 1000).sum(1) / counts.reshape(3, 1000).sum(1) / 10
+        assert (abs(shares - 0.5) < 0.03).all(), shares
+
+
 def test_empty_tables(docs_of):
     assert M.mixed(docs_of([])).count() == 0
     assert [r.taken for r in M.mixed(docs_of(["", None])).collect()] == [0, 0]

@@ -32,3 +32,14 @@ def test_flat_files_decode_back(docs_of, spark, tmp_path):
 def test_empty_table_and_width(docs_of):
     assert T.token_counts(docs_of([])).count() == 0
     assert (T.id_type(50256), T.id_type(70000)) == ("<u2", "<u4")
+
+
+def test_long_white_space_makes_the_same_tokens():
+    with open(T.VOCABULARY, "rb") as f:
+        encoding = T._encoding(f.read(), T.SPLIT)
+    for space in (" ", "\n", "\t ", "\u3000", " \x85"):
+        for n in (499, 500, 501, 3000):
+            run = (space * n)[:n]
+            for text in (run, f"a{run}", f"{run}b", f"a{run}b", f"a {run}9{run}.x", f"a{run}'s", f"{run}\x1c{run}b"):
+                assert T.tokens_of(encoding, text) == encoding.encode_ordinary(text), (space, n, text[:3])
+    assert len(T.tokens_of(encoding, "a" + " " * 1_000_000 + "b")) > 2

@@ -12,8 +12,9 @@ The benchmark goes to the tasks in blocks of at most ``BLOCK_WORDS`` words, each
 against all documents, so what is broadcast has a bound whatever the benchmark's size.
 Documents aren't shuffled for a single block.
 
-Null and empty texts are clean. Items of fewer than ``MIN_WORDS`` words have no seed
-and are in no document. Items with equal texts are each reported; null item ids are
+Null and empty texts are clean. Items of fewer than ``MIN_WORDS`` words are in a document
+that has all their words in a row; items without words are in none. A very long text is
+matched in portions, so that its memory is its words and its matches. Items with equal texts are each reported; null item ids are
 left out of the list but still contaminate. Repeated documents are judged each for
 itself. An empty benchmark leaves all documents clean; an empty table gives no rows.
 Other columns are not read.
@@ -35,18 +36,19 @@ from tidewatch.session import stored, work_folder
 MIN_WORDS = 5
 COVERAGE = 0.8
 BLOCK_WORDS = 2_000_000
+#: Pairs of equal seeds that are made at a time.
+PAIRS = 1 << 21
 _FILTER = 1 << 20
 
 
-def runs(item_at: np.ndarray, doc_at: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Maximal matches (length, item position, document position) from the positions of shared seeds of k words."""
-    order = np.lexsort((item_at, doc_at - item_at))
-    i, d = item_at[order], doc_at[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (d[1:] - i[1:] != d[:-1] - i[:-1]) | (i[1:] != i[:-1] + 1)
+def joined(item: np.ndarray, item_at: np.ndarray, doc_at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Matches of n seeds, item by item, with those that follow each other on a diagonal made one."""
+    order = np.lexsort((item_at, doc_at - item_at, item))
+    x, i, d, n = item[order], item_at[order], doc_at[order], n[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (d[1:] - i[1:] != d[:-1] - i[:-1]) | (i[1:] != i[:-1] + n[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(i)) - 1
-    return [(int(i[b] - i[a]) + k, int(i[a]), int(d[a])) for a, b in zip(first, last, strict=True)]
+    return x[first], i[first], d[first], np.add.reduceat(n, first) if len(n) else n
 
 
 def tiles(matches: list[tuple[int, int, int]], n_item: int, least: int) -> list[tuple[int, int, int]]:
@@ -54,13 +56,16 @@ def tiles(matches: list[tuple[int, int, int]], n_item: int, least: int) -> list[
     heap = [(-n, d, i) for n, i, d in matches]
     heapq.heapify(heap)
     item, doc, out = np.zeros(n_item, bool), {}, []
-    while heap:
+    room = n_item >= least
+    while heap and room:
         n, d, i = heapq.heappop(heap)
         taken = item[i : i - n] | np.fromiter((d + x in doc for x in range(-n)), bool, -n)
         if not taken.any():
             item[i : i - n] = True
             doc.update((d + x, True) for x in range(-n))
             out.append((-n, i, d))
+            free = np.flatnonzero(np.diff(np.concatenate(([1], item.astype(np.int8), [1]))))
+            room = bool((free[1::2] - free[::2] >= least).any())
             continue
         edge = np.flatnonzero(np.diff(np.concatenate(([1], taken.astype(np.int8), [1]))))
         for a, b in zip(edge[::2], edge[1::2], strict=True):
@@ -75,15 +80,19 @@ class Seeds:
     def __init__(self, items: list[tuple], k: int = MIN_WORDS):
         texts = pa.array([x[1] for x in items], pa.large_string())
         prints, item, at, self.n_words = [], [], [], []
+        short: dict[int, list[tuple]] = {}
         for _, data, offsets in chunks(texts):
             hashes, first = words(data, offsets)
             for a, b in zip(first[:-1], first[1:], strict=True):
+                if 0 < b - a < k:  # fewer words than a seed has: the item is found as a whole
+                    short.setdefault(int(b - a), []).append((shingles(hashes[a:b], int(b - a))[0], len(self.n_words)))
                 got = shingles(hashes[a:b], k)
                 prints.append(got)
                 item.append(np.full(len(got), len(self.n_words)))
                 at.append(np.arange(len(got)))
                 self.n_words.append(int(b - a))
         self.ids, self.k = [x[0] for x in items], k
+        self.short = {n: (np.array([x[0] for x in some], np.uint64), [x[1] for x in some]) for n, some in short.items()}
         prints = np.concatenate([np.zeros(0, np.uint64), *prints])
         order = np.argsort(prints, kind="stable")
         self.prints, self.item, self.at = prints[order], np.concatenate([np.zeros(0, np.int64), *item])[order], np.concatenate([np.zeros(0, np.int64), *at])[order]
@@ -92,24 +101,42 @@ class Seeds:
 
     def covered(self, hashes: np.ndarray, prints: np.ndarray, coverage: float) -> list[tuple[int, float]]:
         """Items that tiles cover well enough, with how much of them."""
-        place = np.flatnonzero(self.filter[prints & np.uint64(_FILTER - 1)])
-        a, b = np.searchsorted(self.prints, prints[place]), np.searchsorted(self.prints, prints[place], "right")
-        n = b - a
-        if not n.sum():
-            return []
-        doc_at = np.repeat(place, n)
-        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
-        item, item_at, out = self.item[entry], self.at[entry], []
+        out = [(item, 1.0) for n, (whole, items) in self.short.items() for item, hit in zip(items, np.isin(whole, shingles(hashes, n)), strict=True) if hit]
+        item, item_at, doc_at, n = self._matches(prints)
         for x in np.unique(item):
             some, size = item == x, self.n_words[x]
             # no tiling covers more words than all seeds together
-            if len(np.unique((np.unique(item_at[some])[:, None] + np.arange(self.k)).ravel())) < coverage * size:
+            if np.count_nonzero(np.cumsum(np.bincount(item_at[some], minlength=size + 1) - np.bincount(item_at[some] + n[some] + self.k - 1, minlength=size + 1)) > 0) < coverage * size:
                 continue
-            got = sum(t[0] for t in tiles(runs(item_at[some], doc_at[some], self.k), size, self.k)) / size
+            length = n[some] + self.k - 1
+            if length.max() == size:  # the longest match there can be is the first tile, and no word is left
+                out.append((int(x), 1.0))
+                continue
+            got = sum(t[0] for t in tiles(list(zip(length.tolist(), item_at[some].tolist(), doc_at[some].tolist(), strict=True)), size, self.k)) / size
             if got >= coverage:
                 out.append((int(x), got))
         return out
 
+    def _matches(self, prints: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Items, places in item and document, and seeds in a row, of all maximal matches.
+
+        Pairs of equal seeds are many where words repeat, matches are few: pairs are made for
+        ``PAIRS`` at a time and become matches at once.
+        """
+        place = np.flatnonzero(self.filter[prints & np.uint64(_FILTER - 1)])
+        a, b = np.searchsorted(self.prints, prints[place]), np.searchsorted(self.prints, prints[place], "right")
+        found, ends = [], np.cumsum(b - a)
+        begin = 0
+        while begin < len(place):
+            before = int(ends[begin - 1]) if begin else 0
+            stop = max(begin + 1, int(np.searchsorted(ends, before + PAIRS, "right")))
+            n = (b - a)[begin:stop]
+            entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a[begin:stop], n)
+            found.append(joined(self.item[entry], self.at[entry], np.repeat(place[begin:stop], n), np.ones(len(entry), np.int64)))
+            begin = stop
+        none = np.zeros(0, np.int64)
+        return joined(*[np.concatenate([none, *x]) for x in zip(*found, strict=True)]) if found else (none,) * 4
+
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple]]:
     """The items in blocks of about ``block_words`` words; the driver holds one block at a time."""
@@ -139,7 +166,7 @@ def _judged(docs: DataFrame, items: list[tuple], coverage: float, k: int) -> Dat
                 at = set(rows.tolist())
                 for row in range(len(offsets) - 1):
                     a, b = first[row], first[row + 1]
-                    got = seeds.covered(hashes[a:b], prints[a : max(a, b - k + 1)], coverage) if row in at else []
+                    got = seeds.covered(hashes[a:b], prints[a : max(a, b - k + 1)], coverage) if row in at or seeds.short else []
                     found.append(sorted(seeds.ids[i] for i, _ in got if seeds.ids[i] is not None))
                     most.append(max((c for _, c in got), default=None))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64())), pa.array(most, pa.float64())], ["row_id", "doc_id", "items", "coverage"])

@@ -8,19 +8,21 @@ up to the total, found by one pass over the sources in order of ``cap * size / w
 
 Each source takes whole copies of everything as often as its target allows. For
 what is left, documents are counted by exact length, each length gives its share
-rounded down, and a bounded-knapsack dynamic programme over the lengths chooses the
-counts that fill the rest as closely as possible. Which documents of a length are
+rounded up or down by a seeded draw, and a bounded-knapsack dynamic programme over the
+lengths chooses the counts that fill the last ``FIT_WORDS`` words as closely as possible. Which documents of a length are
 taken follows from a seeded hash of ``doc_id`` (ties by text hash), found by a
-histogram of hash buckets; only the bucket in which the count ends is ranked. So
-nothing sorts a whole source.
+histogram of hash buckets and the ranks within each. So nothing sorts a whole source.
 
 Null sources are one source, ordered last. Documents of size 0 take nothing. An
-empty table gives no rows; other columns pass through ``mixed`` unread. Rows that
-agree in all of doc_id, source and text are taken in an unspecified order of equals.
+empty table gives no rows; other columns are neither read nor returned. Rows that
+agree in all of doc_id, source and text are taken in the order of their files. A very long
+text is one length like others.
 """
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -31,8 +33,8 @@ from tidewatch.session import stored, work_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
-#: The dynamic programme's table is bounded: what is above goes by whole documents, longest first.
-DP_WORDS = 1 << 16
+#: The dynamic programme fits this many words and what the last document given back is above them.
+FIT_WORDS = 1 << 12
 
 
 def n_words(text) -> Column:
@@ -61,26 +63,42 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), epochs: float = 1.5, cap: float
     return stepped.withColumn("first", first).select("source", "source_size", F.when(F.col("first").isNull(), full).otherwise(F.least(full, F.col("first.level") * F.col("w"))).alias("target"))
 
 
-def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take, so that their words come nearest to the budget from below."""
+def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0) -> np.ndarray:
+    """How many documents of each length to take, so that their words come nearest to the budget from below.
+
+    Each length takes its share rounded up or down by a draw of its own, so that lengths which few
+    documents have are taken as often as others. What the draws are off is evened out by
+    single documents in a drawn order of lengths, and so are ``FIT_WORDS`` words given back, which
+    the programme fits.
+    """
     taken = np.zeros(len(lengths), np.int64)
     total = int((lengths * counts).sum())
     if budget <= 0 or not total:
         return taken
     if budget >= total:
         return counts.copy()
-    taken = np.floor(counts * (budget / total)).astype(np.int64)
+    draw = np.random.default_rng(seed)
+    share = counts * (budget / total)
+    taken = np.minimum(np.floor(share + draw.random(len(lengths))).astype(np.int64), counts)
     left = budget - int((lengths * taken).sum())
-    for i in np.argsort(-lengths, kind="stable"):  # few words stay for the exact part
-        if left <= DP_WORDS:
-            break
-        more = min(int(counts[i] - taken[i]), (left - DP_WORDS) // int(lengths[i]) + 1, left // int(lengths[i]))
-        taken[i] += more
-        left -= more * int(lengths[i])
+    order = draw.permutation(len(lengths))
+    more = True
+    while left > 0 and more:
+        more = False
+        for i in order:
+            if lengths[i] <= left and taken[i] < counts[i]:
+                taken[i] += 1
+                left -= int(lengths[i])
+                more = True
+    while left < FIT_WORDS and taken.any():
+        for i in order:
+            if left < FIT_WORDS and taken[i]:
+                taken[i] -= 1
+                left += int(lengths[i])
     free = counts - taken
     reach, by, parts = np.zeros(left + 1, bool), np.full(left + 1, -1, np.int64), []
     reach[0] = True
-    for i in np.argsort(lengths, kind="stable"):
+    for i in order:
         size, n, step = int(lengths[i]), int(min(free[i], left // int(lengths[i]))), 1
         while n > 0 and not reach[left]:  # n copies as powers of two
             part = min(step, n)
@@ -99,10 +117,15 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
-def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One source's counts by length; as many rows as there are lengths, not documents."""
-    n = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["left"].iloc[0]))
-    return pdf[["key", "size"]].assign(n_take=n)
+def _fitted(seed: int):
+    def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
+        """One source's counts by length; as many rows as there are lengths, not documents."""
+        pdf = pdf.sort_values("size")
+        own = zlib.crc32(f"{seed} {pdf['key'].iloc[0]}".encode("utf-8", "surrogatepass"))
+        n = fit(pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64), int(pdf["left"].iloc[0]), own)
+        return pdf[["key", "size"]].assign(n_take=n)
+
+    return fit_source
 
 
 def mixed(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), epochs: float = 1.5, cap: float = 2.0, folder: str | None = None) -> DataFrame:
@@ -123,7 +146,7 @@ def mixed(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), epochs: float = 1.
     sizes = counts.groupBy("key", "source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     aims = stored(_keyed_targets(sizes, weights, epochs, cap), f"{folder}/aims")
     lengths = counts.where("size > 0").groupBy("key", "size").agg(F.sum("n").alias("n"))
-    fitted = lengths.hint("merge").join(aims.select("key", "left"), "key").groupBy("key").applyInPandas(_fit_source, "key string, size long, n_take long")
+    fitted = lengths.hint("merge").join(aims.select("key", "left"), "key").groupBy("key").applyInPandas(_fitted(seed), "key string, size long, n_take long")
     before = F.sum("n").over(Window.partitionBy("key", "size").orderBy("bucket")) - F.col("n")
     plan = counts.withColumn("before", before).hint("merge").join(fitted, ["key", "size"], "left")
     plan = plan.select("key", "size", "bucket", F.greatest(F.lit(0), F.least(F.col("n"), F.coalesce("n_take", F.lit(0)) - F.col("before"))).alias("take"))

@@ -12,12 +12,14 @@ place, the last separator before it where the first document began.
 
 Null texts are empty and have 0 tokens; a text that spells the end-of-document token is
 ordinary text. Empty tables give no rows; other columns are not read; repeated rows
-and null ids each get their count.
+and null ids each get their count. A very long text is encoded whole in its task, also one of
+white space alone.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +36,8 @@ from tidewatch.session import stored, work_folder
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary splits texts before merging.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Runs of the pattern's ``\\s`` of more than this many characters are cut out before splitting.
+LONG_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{500,}")
 BLOCK_TOKENS = 1 << 20
 
 
@@ -45,6 +49,21 @@ def _encoding(ranks: bytes, split: str):
     return tiktoken.Encoding("vocabulary", pat_str=split, mergeable_ranks=table, special_tokens={})
 
 
+def tokens_of(encoding, text: str) -> list[int]:
+    """The tokens of a text. Long runs of white space, on which the splitting pattern would overflow its stack, are pieces cut out before.
+
+    The pattern makes one piece of all white space but the last character before a word, and of
+    all of it at the text's end, so these tokens are those of the uncut text.
+    """
+    out, at = [], 0
+    for run in LONG_SPACE.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += encoding._core_bpe.encode_single_piece(text[run.start() : end].encode())
+        at = end
+    return out + encoding.encode_ordinary(text[at:]) if at else encoding.encode_ordinary(text)
+
+
 def id_type(end_id: int) -> str:
     return "<u2" if end_id < 1 << 16 else "<u4"
 
@@ -56,7 +75,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, spl
     kind = id_type(end_id)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks, split).encode_ordinary
+        encoding = _encoding(ranks, split)
         task = TaskContext.get()
         name = f"{folder}/tokens/part-{task.partitionId():06d}-{task.taskAttemptId()}.bin"
         fs, path = file_at(name)
@@ -68,7 +87,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, spl
                 for a in range(0, len(texts), 256):
                     some = []
                     for text in texts.slice(a, 256).to_pylist():
-                        some += encode(text or "")
+                        some += tokens_of(encoding, text or "")
                         some.append(end_id)
                     size += out.write(np.array(some, kind).tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts)), pa.array(range(place, place + len(texts)), pa.int64()), batch.column(0), pa.array([None] * len(texts), pa.int64())], ["file", "place", "doc_id", "n_bytes"])

@@ -5,7 +5,7 @@ with equal payloads of at least ``least`` bytes the one with the largest ``page_
 (then the row read first) is a response, others are revisits of it.
 
 The index: lines sorted by reversed-host key and page id, range-partitioned over
-files; each file is a row of gzip blocks of ``BLOCK_LINES`` lines. A directory has one
+files of about ``PART_LINES``; each file is a row of gzip blocks of ``BLOCK_LINES`` lines. A directory has one
 entry for each block: its first key, offset and length. A lookup finds the index part
 among the parts' first keys, the block by binary search in that part's directory, and
 reads one block, then one record, by range.
@@ -14,7 +14,7 @@ Null html is an empty payload, a null url is written as ``urn:page:<id>``, a nul
 page_id loses ties and refers as null. Repeated rows are records of their own. Empty
 tables give no rows; other columns are not read. Control characters in urls are
 percent-encoded in headers. Files belong to one task attempt and count only through
-the tables that name them.
+the tables that name them. A very long payload is one record, held whole by its task.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ from tidewatch.llm.flat import file_at, numbered
 from tidewatch.session import stored, work_folder
 
 BLOCK_LINES = 500
+#: Lines of an index part, and so lookups that one task holds.
+PART_LINES = 200_000
 RANGE_BYTES = 32 << 20
 DATE = "2000-01-01T00:00:00Z"
 _SPACE = uuid.UUID("8c0d4c1e-7c55-4d5f-9f0e-3f5a5f0f5b11")
@@ -127,7 +129,7 @@ def line_key(key, page_id, row_id):
 
 def build_index(records: DataFrame, folder: str, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write index files; the directory has a row for each block: part, file, first, offset, length."""
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(records.sparkSession.sparkContext.defaultParallelism, -(-records.count() // PART_LINES))
     lines = records.select(line_key(F.col("key"), F.col("page_id"), F.col("row_id")).alias("line"), "file", "offset", "length", "digest", "kind")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,7 +197,7 @@ def located(wanted: DataFrame, directory: DataFrame) -> DataFrame:
     return directory.groupBy("part").cogroup(asked).applyInPandas(search, "row_id long, file string, offset long, length long")
 
 
-def read_records(places: DataFrame) -> DataFrame:
+def read_records(places: DataFrame, tasks: int) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of records at file, offset, length."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,7 +215,7 @@ def read_records(places: DataFrame) -> DataFrame:
                         out.append((_number(head["X-Page-Id"] or None), got["n_bytes"], digest, kind, _number(head.get("X-Refers-To-Page") or None)))
             yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    near = places.repartition("file", F.floor(F.col("offset") / F.lit(RANGE_BYTES))).sortWithinPartitions("file", "offset")
+    near = places.repartition(tasks, "file", F.floor(F.col("offset") / F.lit(RANGE_BYTES))).sortWithinPartitions("file", "offset")
     return near.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
@@ -223,7 +225,10 @@ def archived(pages: DataFrame, folder: str | None = None, least: int = 0) -> Dat
     records = write_archives(pages, folder, least)
     directory = build_index(records, folder)
     wanted = records.select("row_id", line_key(F.col("key"), F.col("page_id"), F.col("row_id")).alias("line"))
-    return read_records(located(wanted, directory))
+    # index rows are small but stand for payloads: the number of tasks follows the bytes that they name
+    n_bytes = records.agg(F.sum("length")).first()[0] or 0
+    tasks = max(pages.sparkSession.sparkContext.defaultParallelism, -(-n_bytes // RANGE_BYTES))
+    return read_records(located(wanted, directory), tasks)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
