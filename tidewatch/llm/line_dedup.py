@@ -154,15 +154,14 @@ def counts_within(a: Column, b: Column, edits: int) -> Column:
 
 
 def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """a, b, edits: pairs of ``nodes`` (node, line; lines distinct, nodes not negative) within the edits that their length allows.
+    """a, b, edits: pairs of ``nodes`` (node, line, letters; lines distinct, nodes not negative) within the edits that their length allows.
 
     The segments are joined one after the other, so that only the keys of one are on disk.
     """
     spark = nodes.sparkSession
-    counted = stored(nodes.select("node", "line", letter_counts(F.col("line")).alias("letters")), f"{folder}/counted")
     for i in range(edits + 1):
-        index = keyed_parts(counted, [x for x in index_probes(edits) if x[1] == i], edits).select("k", "node", F.col("letters").alias("index_letters"))
-        probe = keyed_parts(counted, [x for x in search_probes(edits) if x[1] == i], edits).select("k", "other", "letters")
+        index = keyed_parts(nodes, [x for x in index_probes(edits) if x[1] == i], edits).select("k", "node", F.col("letters").alias("index_letters"))
+        probe = keyed_parts(nodes, [x for x in search_probes(edits) if x[1] == i], edits).select("k", "other", "letters")
         # lines of equal length meet in both orders, of which one is taken; a probe of a shorter length has a number below 0
         met = probe.hint("merge").join(index, "k").where(((F.col("other") < 0) | (F.col("node") < F.col("other"))) & counts_within(F.col("letters"), F.col("index_letters"), edits))
         met.select(F.col("node").alias("a"), F.when(F.col("other") < 0, -1 - F.col("other")).otherwise(F.col("other")).alias("b")).distinct().write.parquet(f"{folder}/candidates/segment={i}")
@@ -189,10 +188,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT,
     lines = lines_of(docs, row_id).where("line <> ''")
     keyed = stored(lines.select("row_id", "doc_id", "line_no", key_of(F.col("line")).alias("key")), f"{folder}/keyed")
     # written before they are numbered, so that each later scan gives a line the same number
-    distinct = stored(lines.where(F.length("line") >= per_edit - edits).select("line").distinct(), f"{folder}/nodes")
+    distinct = stored(lines.where(F.length("line") >= per_edit - edits).select("line").distinct().withColumn("letters", letter_counts(F.col("line"))), f"{folder}/nodes")
     released(docs.sparkSession)
     held, node = numbered(distinct)
-    nodes = held.select(F.col(node).alias("node"), "line")
+    nodes = held.select(F.col(node).alias("node"), "line", "letters")
     links = stored(near_pairs(nodes, folder, edits, per_edit), f"{folder}/links")
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links.select("a", "b"), f"{folder}/components")
@@ -200,7 +199,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT,
     keys = stored(nodes.join(roots.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", key_of(F.col("line")).alias("key")), f"{folder}/keys")
     classes = linked.hint("merge").join(keys, "node").hint("merge").join(keys.select(F.col("node").alias("root"), F.col("key").alias("root_key")), "root")
     classes = stored(classes.select("key", "n_links", "root_key"), f"{folder}/classes")
-    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("nodes", "counted", "candidates", "texts", "verified")])
+    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("nodes", "candidates", "texts", "verified")])
     released(docs.sparkSession)
     # one line may be a third of all lines: merge joins, whose large partitions Spark splits; minima are summed before they are dealt
     marked = keyed.hint("merge").join(classes, "key", "left").select("row_id", "doc_id", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root_key", "key").alias("root"))
