@@ -112,8 +112,9 @@ def test_page_floors_and_exemptions(spark):
     got = {r.page_id: r.error for r in P.floors(df.withColumn("final", F.when(F.col("final") == "u", F.col("requested")).otherwise(F.col("final")))).collect()}
     assert got == {1: "almost no text in its markup", 2: "7 characters of text: Blocked", 3: "lost most of its text", 4: "", 5: "redirected to an error page"}
     lines = "a array<string>, b array<string>"
-    cases = [(["{x", "y"], ["{x"]), (["a"], ["No events available"]), (["No events available", "a"], ["No events available"]), (["a"], ["b"])]
-    assert values(spark, P.shrink_exempt(F.col("a"), F.col("b")), cases, lines) == [True, True, False, False]
+    cases = [(["a"], ["No events available"]), (["No events available", "a"], ["No events available"]), (["a"], ["b"]), (["a"], ["There are no events like the positions we hold"])]
+    cases += [(['{"jobs": [1,', "2]}"], ['{"jobs": []}']), (['{"jobs": [1]}'], ['{"error": "blocked"}']), (["[1, 2]"], ["[]"]), (["{x", "y"], ["{x"])]
+    assert values(spark, P.shrink_exempt(F.col("a"), F.col("b")), cases, lines) == [True, False, False, False, True, False, True, False]
 
 
 def test_page_changes(spark):

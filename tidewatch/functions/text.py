@@ -11,11 +11,18 @@ from pyspark.sql.types import StringType
 
 from tidewatch.packs import recruiting
 
-_ENTITIES = [("&#x27;", "'"), ("&amp;", "&"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " ")]
+# Named entities; numeric ones follow from their number.
+_ENTITIES = [
+    ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&apos;", "'"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"), ("&hellip;", "\u2026"),
+    ("&lsquo;", "\u2018"), ("&rsquo;", "\u2019"), ("&ldquo;", "\u201c"), ("&rdquo;", "\u201d"), ("&bull;", "\u2022"), ("&middot;", "\u00b7"), ("&eacute;", "\u00e9"), ("&amp;", "&"),
+]
+# What a judge writes where a posting doesn't say.
+UNSTATED = ("", "-", "n/a", "na", "none", "null", "unknown", "not specified", "not stated", "unspecified", "not listed", "tbd")
 _DROPPED = r"(?is)<({0})\b[^>]*>.*?</\1>"
 _BLOCK_END = r"(?is)</(p|div|li|tr|h[1-6]|section|article|header|footer|nav)\s*>|<br\s*/?>"
 _COUNT_UNIT = r"(?i)^(days?|hours?|hrs?|minutes?|mins?|seconds?|secs?)$"
-STOP_WORDS = ("a", "an", "and", "at", "by", "for", "in", "of", "on", "or", "the", "to", "with")
+# Words that titles of any two postings share.
+STOP_WORDS = ("intern", "internship", "internships", "summer", "the", "and", "for", "with", "2027", "2026", "program", "programme", "co-op", "coop")
 
 
 def squeezed(text: Column) -> Column:
@@ -23,8 +30,17 @@ def squeezed(text: Column) -> Column:
 
 
 def entities(text: Column) -> Column:
-    for name, char in _ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    """Text without character references. The ampersand is last, so that what it makes isn't read again."""
+    number = r"&#(?:[xX]([0-9a-fA-F]{1,5})|([0-9]{1,6}));"
+    whole, hexes, decimals = (F.regexp_extract_all(text, F.lit(number), F.lit(k)) for k in (0, 1, 2))
+    code = lambda x: F.coalesce(F.conv(F.nullif(x["h"], F.lit("")), 16, 10).cast("int"), F.try_to_number(F.nullif(x["d"], F.lit("")), F.lit("999999")).cast("int"))
+    # four bytes big-endian are the character; references outside Unicode stay
+    char = lambda x: F.when((code(x) > 0) & (code(x) < 0xD800) | (code(x) > 0xDFFF) & (code(x) <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32"))
+    found = F.array_distinct(F.arrays_zip(whole.alias("w"), hexes.alias("h"), decimals.alias("d")))
+    numbers = F.aggregate(found, text, lambda acc, x: F.replace(acc, x["w"], F.coalesce(char(x), x["w"])))
+    text = F.when(F.contains(text, F.lit("&#")), numbers).otherwise(text)
+    for name, char_ in _ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char_))
     return text
 
 
@@ -59,17 +75,17 @@ def countdowns(lines: Column) -> Column:
 
 
 def without_tracking(text: Column) -> Column:
-    return F.regexp_replace(text, r"[?&](utm_[a-z]+|ref|src|gh_src|source)=[^\s&)\"'<>]*", "")
+    return F.regexp_replace(text, r"[?&](utm_[a-z]+|ref)=[^\s&)]*", "")
 
 
 def clean_cell(cell: Column) -> Column:
     """A table cell as text: comments and images go, anchors become ``[text](url)``."""
-    text = F.regexp_replace(cell, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", ""), r"(?i)<img\b[^>]*>", "")
+    text = F.regexp_replace(cell, r"(?s)<!--.*?-->", " ")
+    text = F.regexp_replace(F.regexp_replace(text, r"!\[[^\]]*\]\([^)]*\)", " "), r"(?i)<img\b[^>]*>", " ")
     text = F.regexp_replace(text, r"(?is)<a\b[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>", "[$2]($1)")
-    text = F.regexp_replace(text, r"(?i)<br\s*/?>", " ")
-    text = entities(F.regexp_replace(text, r"<[^>]+>", ""))
-    return squeezed(F.replace(without_tracking(text), F.lit("**"), F.lit("")))
+    text = entities(F.regexp_replace(text, r"<[^>]+>", " "))
+    bare = squeezed(F.replace(without_tracking(text), F.lit("**"), F.lit("")))
+    return F.btrim(bare, F.lit(" |"))
 
 
 def stable_heading(text: Column) -> Column:
@@ -129,8 +145,29 @@ def slug(text: Column, most: int = 40) -> Column:
 
 def unstated(text: Column) -> Column:
     """Empty where the value only says that there is none."""
-    return F.when(F.lower(F.trim(text)).isin("not stated", "unknown", "n/a", "na", "none", "null", "unspecified", "not specified", "-"), "").otherwise(F.trim(text))
+    bare = squeezed(text)
+    return F.when(F.btrim(F.lower(bare), F.lit(" .")).isin(*UNSTATED), "").otherwise(bare)
 
 
 def escaped_cell(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\|", r"\\|"), r"\s*\n\s*", " ")
+
+
+def unlinked(text: Column) -> Column:
+    """Markdown links down to their labels."""
+    return F.regexp_replace(text, r"\[([^\]]*)\]\([^)]*\)", "$1")
+
+
+def employer_position(key: Column, company: Column, is_list: Column) -> Column:
+    """company, position of a row. A list's rows (``is_list``) name the employer before the first " / ", others only by a link there.
+
+    Else the company is the given one, whose name is taken off the key's beginning.
+    """
+    linked, plain = r"^\[([^\]]+)\]\([^)]*\)\s*/\s*(.+)$", r"^(.+?)\s+/\s+(.+)$"
+    pair = lambda pattern: F.struct(*[F.trim(unlinked(F.regexp_extract(key, pattern, k))).alias(n) for k, n in ((1, "company"), (2, "position"))])
+    bare, name = unlinked(key), F.coalesce(company, F.lit(""))
+    named = (name != "") & F.startswith(F.lower(bare), F.lower(name))
+    rest = F.btrim(F.when(named, F.regexp_replace(F.substring(bare, F.length(name) + 1, F.length(bare)), r"^[ \-\u2013\u2014:\u00b7,]+", "")).otherwise(bare))
+    rest = F.when(F.startswith(rest, F.lit("(")) & named, F.concat(F.lit("page updated "), rest)).otherwise(rest)
+    other = F.struct(name.alias("company"), F.when(rest == "", "page updated").otherwise(rest).alias("position"))
+    return F.when(key.rlike(linked), pair(linked)).when(F.coalesce(is_list, F.lit(False)) & key.rlike(plain), pair(plain)).otherwise(other)

@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.components import components
 from tidewatch.operators.identity import identity_edges
+from tidewatch.operators.snapshot import flagged
+from tidewatch.packs import recruiting
 from tidewatch.session import work_folder
 
 
+def comparable(rows: DataFrame, title: str = "title", place: str = "location", abroad: str = recruiting.ABROAD, home: str = recruiting.HOME) -> DataFrame:
+    """The rows that coverage compares: student work for undergraduates, not clearly abroad."""
+    text, where = F.coalesce(title, F.lit("")), F.coalesce(place, F.lit(""))
+    near = flagged(where, home) | ~flagged(where, abroad)
+    return rows.where(flagged(text, recruiting.COVERAGE_STUDENT) & ~flagged(text, recruiting.COVERAGE_GRADUATE) & near)
+
+
 def overlap_pairs(rows: DataFrame, share: float = 0.75) -> DataFrame:
     """a, b, common of rows (row, block, words) in one block whose words overlap by ``share`` of the smaller set.
 
@@ -20,14 +29,14 @@ def overlap_pairs(rows: DataFrame, share: float = 0.75) -> DataFrame:
     some = rows.where(F.size("words") > 0)
     long = some.select("row", "block", F.size("words").alias("n"), F.explode("words").alias("word"))
     rare = long.groupBy("block", "word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = long.join(rare, ["block", "word"]).withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("df", "word")))
+    ranked = long.hint("merge").join(rare, ["block", "word"]).withColumn("k", F.row_number().over(Window.partitionBy("row").orderBy("df", "word")))
     probe = ranked.where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * share) + 1)
     left = probe.select(F.col("row").alias("s"), "block", "word", F.col("n").alias("n_s"))
     right = long.select(F.col("row").alias("t"), "block", "word", F.col("n").alias("n_t"))
     smaller = (F.col("n_s") < F.col("n_t")) | ((F.col("n_s") == F.col("n_t")) & (F.col("s") < F.col("t")))
     met = left.hint("merge").join(right, ["block", "word"]).where(smaller).select("s", "t").distinct()
     words = some.select("row", "words")
-    both = met.join(words.withColumnRenamed("row", "s").withColumnRenamed("words", "x"), "s").join(words.withColumnRenamed("row", "t").withColumnRenamed("words", "y"), "t")
+    both = met.hint("merge").join(words.withColumnRenamed("row", "s").withColumnRenamed("words", "x"), "s").hint("merge").join(words.withColumnRenamed("row", "t").withColumnRenamed("words", "y"), "t")
     common = F.size(F.array_intersect("x", "y"))
     good = both.where(common >= F.size("x") * share)
     return good.select(F.least("s", "t").alias("a"), F.greatest("s", "t").alias("b"), common.alias("common"))

@@ -17,12 +17,19 @@ from tidewatch.packs import recruiting
 _LINES = StructType([StructField(x, ArrayType(StringType())) for x in ("added", "removed")])
 MIN_CHARS, MIN_SHARE, SHRINK = 500, 0.0015, 0.4
 MAX_LINES, MAX_FLAGGED, LINE_CHARS, QUOTE_CHARS = 12, 10, 400, 160
-NO_OPENINGS = r"(?i)\bno\b.{0,40}\b(openings?|positions?|roles?|jobs?|events?|opportunit(y|ies))\b.{0,40}(available|at this time|currently|right now)?"
+# Fixed value: a whole line that says that a listing is empty.
+NO_OPENINGS = (
+    r"(?i)^(?:there\s+are\s+)?(?:currently\s+)?no\s+(?:upcoming\s+|current\s+|open\s+|available\s+)?"
+    r"(?:events?|positions?|openings?|jobs?|opportunities|postings?|programs?)"
+    r"(?:\s+(?:are\s+)?(?:available|found|posted|scheduled|listed|open|currently|at\s+this\s+time))*\s*[.!]?$"
+)
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
     """page_id, pos, line: normalised lines in order."""
-    return pages.select("page_id", F.posexplode(T.countdowns(T.page_lines(F.coalesce("html", F.lit(""))))).alias("pos", "line"))
+    # a column of its own: the masking looks up the line before, and would clean the page anew for each
+    cleaned = pages.select("page_id", T.page_lines(F.coalesce("html", F.lit(""))).alias("lines"))
+    return cleaned.select("page_id", F.posexplode(T.countdowns(F.col("lines"))).alias("pos", "line"))
 
 
 def floors(pages: DataFrame) -> DataFrame:
@@ -44,16 +51,19 @@ def floors(pages: DataFrame) -> DataFrame:
 
 
 def shrink_exempt(old_lines: Column, new_lines: Column) -> Column:
-    """A feed on both sides, or a page that newly says, in a line of its own, that nothing is open."""
-    feed = lambda x: F.coalesce(F.substring(F.get(x, F.lit(0)), 1, 1).isin("{", "["), F.lit(False))
-    says = F.exists(new_lines, lambda x: (F.length(x) < 120) & x.rlike(NO_OPENINGS) & ~F.array_contains(old_lines, x))
-    return (feed(old_lines) & feed(new_lines)) | F.coalesce(says, F.lit(False))
+    """The same JSON feed on both sides (objects of equal keys, or arrays), or a page that newly says, in a line of its own, that nothing is open."""
+    old, new = (F.array_join(x, "\n") for x in (old_lines, new_lines))
+    keys = lambda x: F.array_sort(F.json_object_keys(x))
+    objects = F.coalesce(keys(old) == keys(new), F.lit(False))
+    arrays = F.json_array_length(old).isNotNull() & F.json_array_length(new).isNotNull()
+    says = F.exists(new_lines, lambda x: x.rlike(NO_OPENINGS) & ~F.array_contains(old_lines, x))
+    return objects | arrays | F.coalesce(says, F.lit(False))
 
 
 def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """page_id, kind, line: lines (page_id, line) on one side more often than on the other; moved lines don't show."""
-    count = lambda df, name: df.groupBy("page_id", "line").agg(F.count(F.lit(1)).alias(name))
-    both = count(old, "a").join(count(new, "b"), ["page_id", "line"], "full_outer").withColumn("more", F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0)))
+    signed = lambda df, sign: df.select("page_id", "line", F.lit(sign).alias("n"))
+    both = signed(old, -1).unionByName(signed(new, 1)).groupBy("page_id", "line").agg(F.sum("n").alias("more"))
     many = both.where("more <> 0").withColumn("kind", F.when(F.col("more") > 0, "added").otherwise("removed"))
     return many.select("page_id", "kind", F.explode(F.array_repeat("line", F.abs("more").cast("int"))).alias("line"))
 

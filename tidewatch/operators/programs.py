@@ -71,9 +71,9 @@ def repositories(found: DataFrame, as_of: Column, stars: int = 25, days: int = 1
 
 
 def due(last_run: Column, as_of: Column, days: int = 7) -> Column:
-    """On Mondays or after a week; without a readable last run it isn't due."""
+    """On every Monday; else a week after the last run, if that can be read."""
     since = F.datediff(as_of, F.try_to_date(last_run, "yyyy-MM-dd"))
-    return since.isNotNull() & (((F.dayofweek(as_of) == 2) & (since > 0)) | (since >= days))
+    return (F.dayofweek(as_of) == 2) | F.coalesce(since >= days, F.lit(False))
 
 
 def problems(entries: DataFrame) -> DataFrame:

@@ -195,7 +195,7 @@ def live_ids(spark, sf_dir):
 _PINS = """
 p AS (SELECT substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id, source_id, section AS company, key AS position,
              CASE ord % 5 WHEN 0 THEN 'rolling' WHEN 1 THEN '2024-01-19' WHEN 2 THEN '2024-02-30' ELSE '2024-03-01' END AS deadline, '2024-01-01' AS first_pinned, '2024-01-10' AS last_seen FROM a WHERE ord % 3 = 0),
-f AS (SELECT substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id, source_id, section AS company, key AS position, '2024-03-05' AS deadline FROM b WHERE ord % 4 = 0),
+f AS (SELECT substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id, source_id, section AS company, key AS position, '2024-03-05' AS deadline FROM b),
 k AS (SELECT DISTINCT source_id FROM b WHERE cast(substr(source_id, 7) AS INT) % 4 <> 0),
 l AS (SELECT source_id, substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id FROM b SEMI JOIN k USING (source_id)
       UNION SELECT source_id, substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) FROM a ANTI JOIN k USING (source_id))"""
@@ -343,12 +343,14 @@ FROM n JOIN o USING (page_id)""")
 def page_floors(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     cut = F.when(F.col("page_id") % 11 == 0, F.substring("html", F.lit(1), F.floor(F.length("html") * 0.3).cast("int"))).when(F.col("page_id") % 13 == 0, "<html><p>Sorry</p></html>").otherwise(F.col("html"))
-    both = pages.select(
+    joined = lambda html: F.array_join(text.page_lines(html), "\n")
+    cleaned = pages.select("page_id", "html", cut.alias("cut"), joined(F.col("html")).alias("old"))
+    both = cleaned.select(
         "page_id",
-        F.array_join(text.page_lines(cut), "\n").alias("text"),
-        F.length(cut).alias("html_chars"),
+        F.when(F.col("cut") == F.col("html"), F.col("old")).otherwise(joined(F.col("cut"))).alias("text"),
+        F.length("cut").alias("html_chars"),
         F.lit(False).alias("rendered"),
-        F.length(F.array_join(text.page_lines(F.col("html")), "\n")).alias("old_chars"),
+        F.length("old").alias("old_chars"),
         F.lit(False).alias("exempt"),
         F.lit("https://example.com/jobs").alias("requested"),
         F.when(F.col("page_id") % 17 == 0, "https://example.com/404").otherwise("https://example.com/jobs/").alias("final"),
@@ -357,7 +359,10 @@ def page_floors(spark, sf_dir):
 
 
 def _versions(spark, sf_dir):
-    lines = table(spark, sf_dir, "pages").select("page_id", text.page_lines(F.col("html")).alias("lines"))
+    from tidewatch.session import stored, work_folder
+
+    # both versions follow from the cleaned pages, which are made once
+    lines = stored(table(spark, sf_dir, "pages").select("page_id", text.page_lines(F.col("html")).alias("lines")), work_folder(spark, "lines"))
     rest = F.when(F.col("page_id") % 5 == 0, F.filter("lines", lambda x: x != F.get("lines", F.lit(1)))).otherwise(F.col("lines"))
     return lines, lines.select("page_id", F.when(F.col("page_id") % 7 == 0, F.concat(F.array(F.lit("Insight programme now open")), rest)).otherwise(rest).alias("lines"))
 
@@ -472,13 +477,25 @@ def dedupe_winners(spark, sf_dir):
     return I.winners(I.posting_groups(postings(spark, sf_dir).select("row", "ids", "is_aggregator")))
 
 
-_WORDS = r"w AS (SELECT doc_id, source, list_filter(list_distinct(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:10], ' ')), '[a-z0-9]{2,}')), lambda x: x NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'in', 'of', 'on', 'or', 'the', 'to', 'with')) AS words FROM documents)"
+_WORDS = r"w AS (SELECT p_partkey AS doc_id, p_brand || '/' || p_size AS source, list_filter(list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type || ' the summer programme'), '[a-z0-9]{2,}')), lambda x: x NOT IN ('intern', 'internship', 'internships', 'summer', 'the', 'and', 'for', 'with', '2027', '2026', 'program', 'programme', 'co-op', 'coop')) AS words FROM part)"
+_PARTS = "i AS (SELECT p_partkey AS doc_id, p_name AS text, p_partkey % 4 = 0 AS is_reference, p_partkey % 5 < 2 AS is_aggregator, [md5(p_name || cast(p_partkey // 3 AS VARCHAR))] AS ids FROM part)"
 _PAIRS = "SELECT x.doc_id AS a, y.doc_id AS b, len(list_intersect(x.words, y.words)) AS common FROM w x JOIN w y ON x.source = y.source AND x.doc_id < y.doc_id WHERE len(x.words) > 0 AND len(y.words) > 0 AND len(list_intersect(x.words, y.words)) >= 0.75 * least(len(x.words), len(y.words))"
 
 
 def titled(spark, sf_dir):
-    title = F.array_join(F.slice(F.split("text", " "), 1, 10), " ")
-    return postings(spark, sf_dir).withColumns({"block": F.col("source"), "words": text.title_words(title)})
+    """Parts as postings, with whole titles; a firm's parts of one size are a block."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    title = F.concat_ws(" ", "p_name", "p_type", F.lit("the summer programme"))
+    identity = F.array(F.md5(F.concat("p_name", F.floor(k / 3).cast("string")).cast("binary")))
+    return p.select(
+        k.alias("row"),
+        identity.alias("ids"),
+        F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("block"),
+        text.title_words(title).alias("words"),
+        (k % 4 == 0).alias("is_reference"),
+        (k % 5 < 2).alias("is_aggregator"),
+        F.col("p_name").alias("text"),
+    )
 
 
 @query(f"WITH {_WORDS} {_PAIRS}")
@@ -486,14 +503,13 @@ def title_overlap_pairs(spark, sf_dir):
     return C.overlap_pairs(titled(spark, sf_dir).select("row", "block", "words"))
 
 
-@query(f"""WITH RECURSIVE {_IDS}, {_WORDS}, t AS ({_PAIRS}), {_ROOTS.format(more=' UNION SELECT a, b FROM t UNION SELECT b, a FROM t')},
-k AS (SELECT component, bool_or(source <> 'src19') AS ours, bool_or(source = 'src19') AS theirs, bool_or(source IN ('src0', 'src1')) AS listed, bool_or(true) AS s_all, bool_or(coalesce(regexp_matches(text, '(?i)license'), false)) AS s_license FROM g JOIN i USING (doc_id) GROUP BY component),
-s AS (SELECT *, 'all' AS scope FROM k UNION ALL SELECT *, 'license' FROM k WHERE s_license)
+@query(f"""WITH RECURSIVE {_PARTS}, {_WORDS}, t AS ({_PAIRS}), {_ROOTS.format(more=' UNION SELECT a, b FROM t UNION SELECT b, a FROM t')},
+k AS (SELECT component, bool_or(NOT is_reference) AS ours, bool_or(is_reference) AS theirs, bool_or(NOT is_reference AND is_aggregator) AS listed, bool_or(true) AS s_all, bool_or(text LIKE '%ring%') AS s_ring FROM g JOIN i USING (doc_id) GROUP BY component),
+s AS (SELECT *, 'all' AS scope FROM k UNION ALL SELECT *, 'ring' FROM k WHERE s_ring)
 SELECT scope, count(*) FILTER (ours) AS ours, count(*) FILTER (theirs) AS theirs, count(*) FILTER (ours AND NOT theirs) AS only_ours, count(*) FILTER (ours AND NOT theirs AND NOT listed) AS only_ours_direct,
        CASE WHEN count(*) FILTER (theirs) > 0 THEN count(*) FILTER (ours AND NOT theirs) / count(*) FILTER (theirs) ELSE 0.0 END AS lead FROM s GROUP BY scope""")
 def coverage_scopes(spark, sf_dir):
-    rows = titled(spark, sf_dir).withColumn("is_reference", F.col("source") == "src19")
-    return C.coverage(rows, {"all": F.lit(True), "license": F.col("text").rlike("(?i)license")})
+    return C.coverage(titled(spark, sf_dir), {"all": F.lit(True), "ring": F.col("text").contains("ring")})
 
 
 @query(f"""WITH RECURSIVE x AS (SELECT doc_id, source, CASE WHEN doc_id % 6 = 0 THEN 'removed' ELSE 'added' END AS kind, CASE doc_id % 5 WHEN 0 THEN 'p1|p2' WHEN 1 THEN 'p1' WHEN 2 THEN '' ELSE 'p3' END AS programs FROM documents),
@@ -667,7 +683,7 @@ def candidate_triage(spark, sf_dir):
 
 
 def _jobs(spark, sf_dir):
-    o = boards(spark, sf_dir, "new").where("ord % 4 = 0")
+    o = boards(spark, sf_dir, "new")
     return o.withColumns({"title": F.concat(F.when(F.col("ord") % 3 == 0, F.lit("Summer Intern ")).otherwise(F.lit("Manager ")), F.col("key")), "place": F.when(F.col("ord") % 8 == 0, "London").when(F.col("ord") % 20 == 4, "").otherwise("Austin, TX")})
 
 
@@ -678,7 +694,7 @@ def _feed_bodies(spark, sf_dir):
     return by.withColumn("page_no", F.ascii("section"))
 
 
-@query(f"""WITH {BOARDS}, j AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 'Summer Intern ' ELSE 'Manager ' END || key AS title, CASE WHEN ord % 8 = 0 THEN 'London' WHEN ord % 20 = 4 THEN '' ELSE 'Austin, TX' END AS place FROM b WHERE ord % 4 = 0)
+@query(f"""WITH {BOARDS}, j AS (SELECT *, CASE WHEN ord % 3 = 0 THEN 'Summer Intern ' ELSE 'Manager ' END || key AS title, CASE WHEN ord % 8 = 0 THEN 'London' WHEN ord % 20 = 4 THEN '' ELSE 'Austin, TX' END AS place FROM b)
 SELECT source_id, section, title || CASE WHEN place <> '' THEN ' @ ' || place ELSE '' END AS key, 'URL=' || url AS value, url FROM j WHERE (ord % 3 = 0 OR regexp_matches(key, '\\b20(2[6-9]|3[0-9])\\b')) AND place <> 'London'""")
 def parse_feeds(spark, sf_dir):
     from tidewatch.plans.jobs import board_snapshots
@@ -686,7 +702,7 @@ def parse_feeds(spark, sf_dir):
     return board_snapshots(_feed_bodies(spark, sf_dir), "greenhouse")
 
 
-@query(f"""WITH {BOARDS}, j AS (SELECT source_id, section, count(*) AS n FROM b WHERE ord % 4 = 0 GROUP BY ALL)
+@query(f"""WITH {BOARDS}, j AS (SELECT source_id, section, count(*) AS n FROM b GROUP BY ALL)
 SELECT source_id, section, CASE ascii(section) % 5 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'the feed reports an error' WHEN 2 THEN 'no jobs' WHEN 3 THEN 'not a list' ELSE '' END AS error FROM j""")
 def feed_shape(spark, sf_dir):
     from tidewatch.sources import feeds
@@ -696,7 +712,7 @@ def feed_shape(spark, sf_dir):
     return _feed_bodies(spark, sf_dir).select("source_id", "section", feeds.shape_error(broken, "jobs").alias("error"))
 
 
-@query(f"""WITH {BOARDS}, j AS (SELECT source_id, section, count(*) AS n FROM b WHERE ord % 4 = 0 GROUP BY ALL), g AS (SELECT source_id, sum(n)::BIGINT AS got, sum(n)::BIGINT + CASE WHEN length(source_id) = 7 THEN 1 ELSE 0 END AS total FROM j GROUP BY source_id)
+@query(f"""WITH {BOARDS}, j AS (SELECT source_id, section, count(*) AS n FROM b GROUP BY ALL), g AS (SELECT source_id, sum(n)::BIGINT AS got, sum(n)::BIGINT + CASE WHEN length(source_id) = 7 THEN 1 ELSE 0 END AS total FROM j GROUP BY source_id)
 SELECT source_id, got, total, CASE WHEN got < total THEN 'read ' || got || ' of ' || total ELSE '' END AS error FROM g""")
 def feed_paging(spark, sf_dir):
     from tidewatch.sources import feeds
@@ -706,7 +722,7 @@ def feed_paging(spark, sf_dir):
     return feeds.paging_error(pages.join(totals, "source_id"))
 
 
-@query(f"""WITH {BOARDS}, t AS (SELECT *, row_number() OVER (PARTITION BY source_id, section ORDER BY ord) AS n FROM b WHERE ord % 4 = 0),
+@query(f"""WITH {BOARDS}, t AS (SELECT *, row_number() OVER (PARTITION BY source_id, section ORDER BY ord) AS n FROM b),
 r AS (SELECT source_id, section, CASE WHEN n % 5 = 2 THEN 'Firm ' || ((n - 1) % 7) ELSE 'Firm ' || (n % 7) END AS firm, key AS role, value AS status, url, ord FROM t),
 k AS (SELECT *, row_number() OVER (PARTITION BY source_id, section, firm, role ORDER BY ord) AS m FROM r)
 SELECT source_id, section, firm || ' / ' || role || CASE WHEN m > 1 THEN ' #' || m ELSE '' END AS key, 'Company=' || firm || '; Role=' || role || '; Link=[apply](' || url || ')' AS value, url FROM k WHERE section <> '5-LOW'""")
@@ -716,7 +732,7 @@ def parse_markdown_tables(spark, sf_dir):
     from tidewatch.sources import tables
 
     n = F.row_number().over(Window.partitionBy("source_id", "section").orderBy("ord"))
-    rows = boards(spark, sf_dir, "new").where("ord % 4 = 0").withColumn("n", n)
+    rows = boards(spark, sf_dir, "new").withColumn("n", n)
     firm = F.when(F.col("n") % 5 == 2, "↳").otherwise(F.concat(F.lit("Firm "), (F.col("n") % 7).cast("string")))
     line = F.concat_ws(" | ", F.lit("|").substr(1, 0), firm, F.concat(F.lit("**"), F.col("key"), F.lit("**")), "value", F.concat(F.lit('<a href="'), "url", F.lit('">apply</a>')), F.lit("|").substr(1, 0))
     by = rows.groupBy("source_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.trim(line).alias("line")))), lambda x: x["line"]).alias("lines"))
@@ -725,12 +741,12 @@ def parse_markdown_tables(spark, sf_dir):
     return tables.listings(tables.markdown_tables(docs), ["Company"], ["Role"], ignored=["Status"], exclude="low")[0]
 
 
-@query(f"WITH {BOARDS} SELECT source_id, section, key, value, url FROM b WHERE length(source_id) = 8")
+@query(f"WITH {BOARDS} SELECT source_id, section, key, value, url FROM b")
 def snapshot_round_trip(spark, sf_dir):
     """Rows rendered to their stored text and parsed again."""
     from tidewatch.sources import state
 
-    rows = boards(spark, sf_dir, "new").where("length(source_id) = 8").withColumn("value", F.concat_ws("\t", "value", "url"))
+    rows = boards(spark, sf_dir, "new").withColumn("value", F.concat_ws("\t", "value", "url"))
     texts = state.render_snapshots(rows, rows.select("source_id", "section").distinct())
     return state.parse_snapshots(texts)[0].withColumn("value", F.element_at(F.split("value", "\t"), 1))
 
@@ -770,3 +786,6 @@ def stream_diff(spark, sf_dir):
         stream = spark.readStream.schema("source_id string, section string, key string, value string, url string").parquet(f"{folder}/in/v=*")
         diff.diff_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/changes/version=1")
+
+
+from tidewatch.plans import catalog_text  # noqa: E402, F401  its queries register themselves

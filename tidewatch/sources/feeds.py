@@ -115,7 +115,7 @@ def posting_rows(found: DataFrame) -> DataFrame:
     return with_ordinals(rows, order).select("source_id", "section", "key", "value", "url")
 
 
-def reference_postings(raw: DataFrame, home: str = recruiting.HOME, abroad: str = recruiting.ABROAD, graduate: str = recruiting.GRADUATE_ONLY) -> DataFrame:
+def reference_postings(raw: DataFrame, home: str = recruiting.HOME, abroad: str = recruiting.ABROAD, graduate: str = recruiting.COVERAGE_GRADUATE) -> DataFrame:
     """company, title, url of a published list (JSON array in ``body``): active, visible, with some place at home, open to undergraduates."""
     schema = "array<struct<title:string,company_name:string,url:string,active:boolean,is_visible:boolean,locations:array<string>,category:string>>"
     x = raw.select(F.explode(F.from_json("body", schema)).alias("x")).select("x.*")
