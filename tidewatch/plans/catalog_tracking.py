@@ -212,3 +212,26 @@ def unsupported_vendors(spark, sf_dir):
     k = F.col("page_id")
     link = F.when(k % 4 == 0, "https://acme.wd5.MyWorkdayJobs.com/x https://x.icims.com").when(k % 4 == 1, "https://jobs-acme.icims.com/a").when(k % 4 == 2, "https://apply.workable.com/acme").otherwise("")
     return T.unsupported(table(spark, sf_dir, "pages").select(k, F.concat_ws(" ", "html", link).alias("html")), recruiting.UNSUPPORTED)
+
+
+@query(f"""WITH {_HEALTH}
+SELECT 0 AS part, 0 AS block, 0 AS ord, 'no credentials' AS line
+UNION ALL SELECT 1, 0, k, id || ' | SOURCE BLIND: ' || run || ' failures running | not quiet, blind. Last success ' || since || '. timeout' FROM s WHERE NOT ok AND run >= 3
+UNION ALL SELECT 2, 0, 0, count(*) || ' sources checked, ' || count(*) FILTER (ok) || ' healthy' || CASE WHEN count(*) FILTER (NOT ok) > 0 THEN ', ' || count(*) FILTER (NOT ok) || ' failing' ELSE '' END FROM s
+UNION ALL SELECT 2, 1, 0, count(*) || ' sources were not fetched at all' FROM s WHERE waits HAVING count(*) > 0
+UNION ALL SELECT 2, 2, k, 'not fetched: ' || id FROM s WHERE waits
+UNION ALL SELECT 2, 3, k, id || ': ' || run || CASE WHEN run = 1 THEN ' consecutive failure' ELSE ' consecutive failures' END || ', last success ' || since || '. timeout' FROM s WHERE NOT ok
+UNION ALL SELECT 2, 4, k, id || ': first run, recorded ' || n || ' rows as the baseline.' FROM s WHERE k % 7 = 1
+UNION ALL SELECT 2, 5, k, id || ': now at another address' FROM s WHERE k % 11 = 2
+UNION ALL SELECT 2, 6, k, id || ': ' || n || ' rows changed at once and were collapsed into one item' FROM s WHERE k % 13 = 3
+UNION ALL SELECT 3, 0, o_orderkey, o_orderpriority FROM orders WHERE month(o_orderdate) = month(DATE '{AS_OF}')
+UNION ALL SELECT 3, 1, n_nationkey, n_name FROM nation""")
+def digest_surroundings(spark, sf_dir):
+    """The note, blind sources, health lines and reminders around a digest of all parts."""
+    from tidewatch.plans import jobs
+
+    results, states = _health(spark, sf_dir)
+    judged = parts(spark, sf_dir).select(F.lit(False).alias("classified"), F.lit("no credentials").alias("why"))
+    months = table(spark, sf_dir, "orders").select(F.month("o_orderdate").alias("month"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority").alias("reminder"))
+    always = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_name").alias("reminder"))
+    return jobs.digest_lines(judged, results, states, months, always, F.lit(AS_OF).cast("date"))

@@ -16,6 +16,7 @@ from tidewatch.operators import programs as PG
 from tidewatch.operators import rank as R
 from tidewatch.operators import screens as S
 from tidewatch.operators import snapshot as SN
+from tidewatch.operators import tracking as T
 from tidewatch.session import stored, work_folder
 from tidewatch.sources import feeds
 
@@ -77,6 +78,21 @@ def digest_rows(rows: DataFrame, header: int = 1000, footer: int = 6789) -> Data
     return R.fitted(sized, ["n"], "length", ["digest"], header, footer)
 
 
+def digest_lines(judgments: DataFrame, results: DataFrame, states: DataFrame, by_month: DataFrame, always: DataFrame, as_of: Column) -> DataFrame:
+    """part, block, ord, line of what stands around a digest's rows: the run's note, blind sources, health, then reminders.
+
+    judgments: classified, why; the others as in ``health.health_lines`` and ``tracking.reminders``.
+    """
+    line = lambda df, part, block, order, text: df.select(F.lit(part).alias("part"), block.alias("block"), order.cast("long").alias("ord"), text.alias("line"))
+    zero = F.lit(0)
+    note = line(T.run_note(judgments).where("note IS NOT NULL"), 0, zero, zero, F.col("note"))
+    blind = HL.blind(results, states).join(results.select("source_id", "ord").hint("merge"), "source_id")
+    top = line(blind, 1, zero, F.col("ord"), F.concat_ws(" | ", "source_id", "position", "note"))
+    health = line(HL.health_lines(results, states), 2, F.col("block"), F.col("ord"), F.col("line"))
+    months = line(T.reminders(by_month, always, as_of), 3, F.col("every"), F.col("ord"), F.col("reminder"))
+    return note.unionByName(top).unionByName(health).unionByName(months)
+
+
 def measure_coverage(rows: DataFrame, reference: DataFrame, scopes: dict[str, Column], date: str, folder: str | None = None) -> DataFrame:
     """Coverage by scope of one date. rows: row, url, company, title, is_aggregator; reference: row, company, title, url."""
     from tidewatch.functions.text import first_letters, title_words, without_zero_width
