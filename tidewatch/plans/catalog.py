@@ -782,7 +782,7 @@ def stream_diff(spark, sf_dir):
     folder = work_folder(spark, "stream-diff")
     columns = ["source_id", "section", "key", "value", "url"]
     for n, version in enumerate(both_boards(spark, sf_dir)):
-        version.select(*columns).coalesce(1).write.parquet(f"{folder}/in/v={n}")
+        version.select(*columns).write.parquet(f"{folder}/in/v={n}")
         stream = spark.readStream.schema("source_id string, section string, key string, value string, url string").parquet(f"{folder}/in/v=*")
         diff.diff_stream(stream, folder, f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/changes/version=1")
