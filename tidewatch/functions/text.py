@@ -18,6 +18,7 @@ _ENTITIES = [
 ]
 # What a judge writes where a posting doesn't say.
 UNSTATED = ("", "-", "n/a", "na", "none", "null", "unknown", "not specified", "not stated", "unspecified", "not listed", "tbd")
+# What has no readable text, what ends a line, and the units of a countdown.
 _DROPPED = r"(?is)<({0})\b[^>]*>.*?</\1>"
 _BLOCK_END = r"(?is)</(p|div|li|tr|h[1-6]|section|article|header|footer|nav)\s*>|<br\s*/?>"
 _COUNT_UNIT = r"(?i)^(days?|hours?|hrs?|minutes?|mins?|seconds?|secs?)$"
@@ -36,7 +37,8 @@ def entities(text: Column) -> Column:
     code = lambda x: F.coalesce(F.conv(F.nullif(x["h"], F.lit("")), 16, 10).cast("int"), F.try_to_number(F.nullif(x["d"], F.lit("")), F.lit("999999")).cast("int"))
     # four bytes big-endian are the character; references outside Unicode stay
     char = lambda x: F.when((code(x) > 0) & (code(x) < 0xD800) | (code(x) > 0xDFFF) & (code(x) <= 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32"))
-    found = F.array_distinct(F.arrays_zip(whole.alias("w"), hexes.alias("h"), decimals.alias("d")))
+    # a struct with written names: those of aliases are lost where ``text`` is a variable of ``transform``
+    found = F.array_distinct(F.transform(whole, lambda x, i: F.named_struct(F.lit("w"), x, F.lit("h"), F.get(hexes, i), F.lit("d"), F.get(decimals, i))))
     numbers = F.aggregate(found, text, lambda acc, x: F.replace(acc, x["w"], F.coalesce(char(x), x["w"])))
     text = F.when(F.contains(text, F.lit("&#")), numbers).otherwise(text)
     for name, char_ in _ENTITIES:

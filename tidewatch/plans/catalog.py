@@ -195,7 +195,7 @@ def live_ids(spark, sf_dir):
 _PINS = """
 p AS (SELECT substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id, source_id, section AS company, key AS position,
              CASE ord % 5 WHEN 0 THEN 'rolling' WHEN 1 THEN '2024-01-19' WHEN 2 THEN '2024-02-30' ELSE '2024-03-01' END AS deadline, '2024-01-01' AS first_pinned, '2024-01-10' AS last_seen FROM a WHERE ord % 3 = 0),
-f AS (SELECT substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id, source_id, section AS company, key AS position, '2024-03-05' AS deadline FROM b),
+f AS (SELECT substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id, source_id, section AS company, key AS position, '2024-03-05' AS deadline FROM b WHERE ord % 4 = 0),
 k AS (SELECT DISTINCT source_id FROM b WHERE cast(substr(source_id, 7) AS INT) % 4 <> 0),
 l AS (SELECT source_id, substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) AS change_id FROM b SEMI JOIN k USING (source_id)
       UNION SELECT source_id, substr(sha1(source_id || '|' || section || ' :: ' || key), 1, 12) FROM a ANTI JOIN k USING (source_id))"""
@@ -741,6 +741,28 @@ def parse_markdown_tables(spark, sf_dir):
     return tables.listings(tables.markdown_tables(docs), ["Company"], ["Role"], ignored=["Status"], exclude="low")[0]
 
 
+@query(f"""WITH {BOARDS}, t AS (SELECT *, 'list-' || (ord // 2000) AS list, row_number() OVER (PARTITION BY ord // 2000, section ORDER BY ord) AS n FROM b),
+r AS (SELECT list AS source_id, section, 'Firm & Sons ' || (CASE WHEN n % 5 = 2 THEN (n - 1) % 7 ELSE n % 7 END) AS firm, key || ' – ' || substr(value, 1, 1) AS role, url, ord FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY source_id, section, firm, role ORDER BY ord) AS m FROM r)
+SELECT source_id, section, firm || ' / ' || role || CASE WHEN m > 1 THEN ' #' || m ELSE '' END AS key, 'Company=' || firm || '; Role=' || role || '; Link=[apply](' || url || ')' AS value, url FROM k WHERE section <> '5-LOW'""")
+def parse_html_tables(spark, sf_dir):
+    """Lists of some two thousand orders as HTML tables under headings, parsed to rows."""
+    from pyspark.sql import Window
+
+    from tidewatch.sources import tables
+
+    lists = boards(spark, sf_dir, "new").withColumn("source_id", F.concat(F.lit("list-"), F.floor(F.col("ord") / 2000).cast("string")))
+    rows = lists.withColumn("n", F.row_number().over(Window.partitionBy("source_id", "section").orderBy("ord")))
+    firm = F.when(F.col("n") % 5 == 2, "↳").otherwise(F.concat(F.lit("Firm &amp; <b>Sons</b> "), (F.col("n") % 7).cast("string")))
+    role = F.concat("key", F.lit(" &#x2013; "), F.substring("value", 1, 1))
+    link = F.concat(F.lit('<a class="b" href="'), "url", F.lit('?utm_source=list">apply</a>'))
+    line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in (firm, role, link)], F.lit("</tr>"))
+    by = rows.groupBy("source_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
+    table_ = F.concat(F.lit("## "), "section", F.lit(" (40 rows)\n<table><tr><th>Company</th><th>Role</th><th>Link</th></tr>\n"), "body", F.lit("</table>\n"))
+    docs = by.groupBy("source_id").agg(F.array_join(F.array_sort(F.collect_list(table_)), "\n").alias("text"))
+    return tables.listings(tables.html_tables(docs), ["Company"], ["Role"], exclude="low")[0]
+
+
 @query(f"WITH {BOARDS} SELECT source_id, section, key, value, url FROM b")
 def snapshot_round_trip(spark, sf_dir):
     """Rows rendered to their stored text and parsed again."""
