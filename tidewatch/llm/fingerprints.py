@@ -10,8 +10,9 @@ order of its own, the same for all documents, until one is occupied. The first
 ``PROBES`` bins of that order are drawn by hash; after them comes the occupied bin whose
 hash with the empty one is least, which is the first in a random order of all bins.
 
-A fingerprint is the low ``BITS`` bits of each bin's value, packed in 64-bit words and
-written in hex. Two bins agree by chance with probability ``2^-BITS``, which
+A fingerprint is the low ``BITS`` bits of each bin's value, hashed with its bin once more,
+packed in 64-bit words and written in hex; without that hash, bins that borrow the same
+two values would all agree by chance or none. Two bins agree by chance with probability ``2^-BITS``, which
 :func:`likeness` takes out again: (agreeing - chance) / (1 - chance), between 0 and 1.
 
 Words are maximal runs of characters outside ``[\x20\x09-\x0D]``, as they are written.
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm.flat import numbered
 
 WORDS = 5
-BIN_BITS, BITS, PROBES = 9, 4, 24
+BIN_BITS, BITS, KEPT, PROBES = 9, 4, 16, 24
 BINS = 1 << BIN_BITS
 PER_WORD = 64 // BITS
 BLOCK_ROWS, MOST_BLOCKS, SAMPLE = 256, 16384, 20
@@ -71,13 +72,14 @@ def least_of_bins(hashes: Column) -> Column:
 
 
 def densified(bins: Column) -> Column:
-    """The low bits of each bin's value (at least one has one), an empty bin's from an occupied one."""
-    low = (1 << BITS) - 1
+    """The low bits of each bin's value (at least one has one), an empty bin's from an occupied one. ``KEPT`` bits stand for a value."""
+    low = (1 << KEPT) - 1
     probe = lambda i, t: F.pmod(F.xxhash64(F.lit(t), i), F.lit(BINS)).cast("int")
     # occupied bins as one number each, its place above the low bits; the least hash of the places brings its low bits with it
     placed = lambda b: F.filter(F.transform(b, lambda x, i: x + (i * (low + 1)).cast("long")), lambda p: p.isNotNull())
-    first = lambda i, held: F.array_min(F.transform(held, lambda p: F.xxhash64(i, F.shiftright(p, BITS)).bitwiseAND(F.lit(~low)).bitwiseOR(p.bitwiseAND(F.lit(low))))).bitwiseAND(F.lit(low))
-    one = lambda b, held: F.transform(b, lambda x, i: F.coalesce(x, *[F.get(b, probe(i, t)) for t in range(PROBES)], first(i, held)))
+    first = lambda i, held: F.array_min(F.transform(held, lambda p: F.xxhash64(i, F.shiftright(p, KEPT)).bitwiseAND(F.lit(~low)).bitwiseOR(p.bitwiseAND(F.lit(low))))).bitwiseAND(F.lit(low))
+    full = lambda b, held, x, i: F.coalesce(x, *[F.get(b, probe(i, t)) for t in range(PROBES)], first(i, held))
+    one = lambda b, held: F.transform(b, lambda x, i: F.xxhash64(full(b, held, x, i), i).bitwiseAND(F.lit((1 << BITS) - 1)))
     return bound(F.transform(bins, lambda x: x.bitwiseAND(F.lit(low))), lambda b: bound(placed(b), lambda held: one(b, held)))
 
 
