@@ -77,7 +77,7 @@ def health_counts(states: DataFrame, escalate: int = AFTER) -> DataFrame:
 def board_health(boards: DataFrame, most: float = 0.5) -> DataFrame:
     """By source: boards, unreadable ones, and whether too many of them fail the source."""
     counts = boards.groupBy("source_id").agg(F.count(F.lit(1)).alias("boards"), F.count_if(F.col("error") != "").alias("unreadable"))
-    return counts.withColumn("failed", F.col("unreadable") > F.col("boards") * most)
+    return counts.withColumns({"share": F.col("unreadable") / F.col("boards"), "failed": F.col("unreadable") > F.col("boards") * most})
 
 
 def metrics(sources: DataFrame, changes: DataFrame) -> DataFrame:
@@ -119,9 +119,10 @@ def health_lines(results: DataFrame, states: DataFrame) -> DataFrame:
     """source_id, block, ord, line: what the health part of a digest has to say, in order of block and ord.
 
     Block 0 counts all sources, 1 those that were not fetched, 2 names each of them, 3 has
-    a line for each failing source, 4 first runs, 5 pages that redirect, 6 collapses.
+    a line for each failing source, 4 first runs, 5 pages that redirect, 6 collapses, 7
+    sums the postings that the role and place screens took out.
     results: source_id, ord, ok, quarantined, error, baseline, rows, redirected,
-    collapsed; states: source_id, failures, last_success (text).
+    collapsed, and not_wanted and not_home where postings were screened; states: source_id, failures, last_success (text).
     """
     known = states.select("source_id", F.col("failures").alias("run"), F.col("last_success").alias("since"))
     failing = ~F.coalesce("ok", F.lit(False))
@@ -138,9 +139,10 @@ def health_lines(results: DataFrame, states: DataFrame) -> DataFrame:
         row(6, F.coalesce(F.col("collapsed") > 0, F.lit(False)), text(F.col("source_id"), ": ", F.col("collapsed"), " rows changed at once and were collapsed into one item")),
     ))
     lines = joined.select("source_id", "ord", F.explode(said).alias("x")).select("source_id", "x.block", "ord", "x.line")
-    sums = results.agg(F.count(F.lit(1)).alias("n"), F.count_if(failing).alias("bad"), F.count_if(waits).alias("out"))
+    screened = lambda c: F.coalesce(F.sum(c), F.lit(0)) if c in results.columns else F.lit(0)
+    sums = results.agg(F.count(F.lit(1)).alias("n"), F.count_if(failing).alias("bad"), F.count_if(waits).alias("out"), screened("not_wanted").alias("roles"), screened("not_home").alias("places"))
     first = text(F.col("n"), " sources checked, ", F.col("n") - F.col("bad"), " healthy", F.when(F.col("bad") > 0, text(", ", F.col("bad"), " failing")).otherwise(""))
-    heads = F.array_compact(F.array(row(0, F.lit(True), first), row(1, F.col("out") > 0, text(F.col("out"), " sources were not fetched at all"))))
+    heads = F.array_compact(F.array(row(0, F.lit(True), first), row(1, F.col("out") > 0, text(F.col("out"), " sources were not fetched at all")), row(7, (F.col("roles") > 0) | (F.col("places") > 0), text("screened out: ", F.col("roles"), " postings of other roles, ", F.col("places"), " in other places"))))
     top = sums.select(F.lit("").alias("source_id"), F.explode(heads).alias("x")).select("source_id", "x.block", F.lit(0).cast(lines.schema["ord"].dataType).alias("ord"), "x.line")
     return top.unionByName(lines)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewatch.functions.text import clipped, unstated
 
 SCHEMA = "relevant boolean, why string, confidence string, class_year string, location string, deadline string, employer_size string, bad string"
-SIZES = ("small", "medium", "large")
+# The sizes of an employer that a judge may state.
+SIZES = ("small", "large")
 
 
 def parsed(rows: DataFrame, body: str = "body") -> DataFrame:

@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tidewatch.functions import text as T
 from tidewatch.functions import urls
+from tidewatch.operators.lines import ordered_diff
 from tidewatch.operators.snapshot import flagged
 from tidewatch.packs import recruiting
 
-_LINES = StructType([StructField(x, ArrayType(StringType())) for x in ("added", "removed")])
 MIN_CHARS, MIN_SHARE, SHRINK = 500, 0.0015, 0.4
 MAX_LINES, MAX_FLAGGED, LINE_CHARS, QUOTE_CHARS = 12, 10, 400, 160
 # Fixed value: a whole line that says that a listing is empty.
@@ -68,17 +64,6 @@ def multiset_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     return many.select("page_id", "kind", F.explode(F.array_repeat("line", F.abs("more").cast("int"))).alias("line"))
 
 
-@F.pandas_udf(_LINES)
-def ordered_diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-    """Lines added and removed in order; a moved line is both."""
-    out = []
-    for a, b in zip(old, new, strict=True):
-        a, b = list(a if a is not None else []), list(b if b is not None else [])
-        ops = [x for x in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes() if x[0] != "equal"]
-        out.append(([y for x in ops for y in b[x[3] : x[4]]], [y for x in ops for y in a[x[1] : x[2]]]))
-    return pd.DataFrame(out, columns=["added", "removed"])
-
-
 def page_change(added: Column, removed: Column) -> dict[str, Column]:
     """Key, detail and flags of a page's one change from its lines; a page with very many new lines gets no flags."""
     some = lambda x, sign: F.transform(F.slice(x, 1, MAX_LINES), lambda y: F.concat(F.lit(sign), T.clipped(y, LINE_CHARS, note=True)))
@@ -92,11 +77,15 @@ def page_change(added: Column, removed: Column) -> dict[str, Column]:
     }
 
 
-def changes(old: DataFrame, new: DataFrame) -> DataFrame:
+def changes(old: DataFrame, new: DataFrame, folder: str | None = None) -> DataFrame:
     """At most one change a page from (page_id, lines) of two versions; first sights and equal pages give none."""
-    both = old.withColumnRenamed("lines", "a").join(new.withColumnRenamed("lines", "b"), "page_id").where(~F.col("a").eqNullSafe(F.col("b")))
-    d = both.withColumn("d", ordered_diff("a", "b"))
-    return d.select("page_id", *[c.alias(n) for n, c in page_change(F.col("d.added"), F.col("d.removed")).items()], "d.added", "d.removed")
+    both = old.withColumnRenamed("lines", "a").hint("merge").join(new.withColumnRenamed("lines", "b"), "page_id").where(~F.col("a").eqNullSafe(F.col("b")))
+    one = lambda c: both.select("page_id", F.posexplode(c).alias("pos", "line"))
+    lines = ordered_diff(one("a"), one("b"), folder)
+    at = F.struct("pos", "line")
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, at))), lambda x: x["line"]).alias(kind)
+    d = lines.groupBy("page_id").agg(of("added"), of("removed"))
+    return d.select("page_id", *[c.alias(n) for n, c in page_change(F.col("added"), F.col("removed")).items()], "added", "removed")
 
 
 def previous_line(lines: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.keys import days_until
+from tidewatch.operators.places import placed, summed
+from tidewatch.session import stored, work_folder
 
 URGENT_DAYS = 21
 MAX_CHARS = 65_536
@@ -42,9 +44,17 @@ def digest_order(rows: DataFrame) -> list[Column]:
     return [block.asc(), reason.asc(), (F.coalesce(F.lower("employer_size"), F.lit("")) != "small").asc(), F.col("ord").asc()]
 
 
-def within_budget(rows: DataFrame, order: list[Column], most: int = MAX_JUDGED, group: list[str] | None = None) -> DataFrame:
+def judging_order() -> list[Column]:
+    """What a judge reads first when a day has more than the budget: rolling firms, discovery programmes, then input order."""
+    return [F.coalesce("rolling", F.lit(False)).desc(), F.coalesce("discovery", F.lit(False)).desc(), F.col("ord").asc()]
+
+
+def within_budget(rows: DataFrame, order: list[Column], most: int = MAX_JUDGED, group: list[str] | None = None, folder: str | None = None) -> DataFrame:
     """Adds ``judged``: the first ``most`` rows in order, by group if one is given; others are labelled, not dropped."""
-    return rows.withColumn("judged", F.row_number().over(Window.partitionBy(*(group or [])).orderBy(*order)) <= most)
+    if group:
+        return rows.withColumn("judged", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) <= most)
+    found = placed(rows, [], order, folder or work_folder(rows.sparkSession, "budget"), "__place")
+    return found.withColumn("judged", F.col("__place") < most).drop("__place")
 
 
 def fitted(rows: DataFrame, order: list[str], length: str, group: list[str], header: int, footer: int, most: int = MAX_CHARS) -> DataFrame:
@@ -57,6 +67,20 @@ def fitted(rows: DataFrame, order: list[str], length: str, group: list[str], hea
     return rows.withColumn("shown", used + header + footer <= room)
 
 
+def fitted_one(rows: DataFrame, order: list[Column], length: str, header: int, footer: int, most: int = MAX_CHARS, folder: str | None = None) -> DataFrame:
+    """Adds ``n``, the row's number in order, and ``shown`` as :func:`fitted` does, for one message of any number of rows.
+
+    Places come by range and sums by blocks of places, so no task sees all rows; two numbers reach the driver.
+    """
+    folder = folder or work_folder(rows.sparkSession, "fitted")
+    found = stored(placed(rows, [], order, f"{folder}/order", "__place").withColumn("__used", (F.col(length) + 1).cast("long")), f"{folder}/placed")
+    sums = found.agg(F.sum("__used").alias("total"), F.count(F.lit(1)).alias("n")).first()
+    note = len(f"{sums['n']} more rows did not fit.") + 1
+    room = most if (sums["total"] or 0) + header + footer <= most else most - note
+    ran = summed(found, "__place", ["__used"])
+    return ran.withColumns({"n": F.col("__place") + 1, "shown": F.col("__used") + header + footer <= room}).drop("__place", "__used")
+
+
 def withheld(fit: DataFrame, group: list[str]) -> DataFrame:
     return fit.groupBy(*group).agg(F.count_if("shown").alias("shown"), F.count_if(~F.col("shown")).alias("withheld"))
 

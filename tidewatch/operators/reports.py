@@ -11,14 +11,12 @@ MAX_SAMPLES = 5
 def filter_report(rows: DataFrame, removed: Column, filter_id: str, reason: str, sources: DataFrame | None = None, key: str = "key", order: str = "ord", samples: int = MAX_SAMPLES) -> DataFrame:
     """source_id, filter_id, considered, removed, reason, samples. Unknown (null) never removes; ``sources`` adds those without rows."""
     marked = rows.withColumn("__out", F.coalesce(removed, F.lit(False)))
-    n = F.row_number().over(Window.partitionBy("source_id", "__out").orderBy(order))
-    ranked = marked.withColumn("__n", n)
-    first = F.when(F.col("__out") & (F.col("__n") <= samples), F.struct("__n", F.col(key).alias("k")))
-    report = ranked.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("considered"),
-        F.count_if("__out").alias("removed"),
-        F.transform(F.array_sort(F.collect_list(first)), lambda x: x["k"]).alias("samples"),
-    )
+    counts = marked.groupBy("source_id").agg(F.count(F.lit(1)).alias("considered"), F.count_if("__out").alias("removed"))
+    # Spark makes a limit for each group of this rank before it deals rows out, so no task gets all rows of a source
+    n = F.row_number().over(Window.partitionBy("source_id").orderBy(order))
+    first = marked.where("__out").select("source_id", order, F.col(key).alias("k")).withColumn("__n", n).where(F.col("__n") <= samples)
+    names = first.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("__n", "k"))), lambda x: x["k"]).alias("samples"))
+    report = counts.hint("merge").join(names, "source_id", "left")
     if sources is not None:
         report = sources.select("source_id").distinct().join(report, "source_id", "left")
     return report.select("source_id", F.lit(filter_id).alias("filter_id"), F.coalesce("considered", F.lit(0)).alias("considered"), F.coalesce("removed", F.lit(0)).alias("removed"), F.lit(reason).alias("reason"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

@@ -6,12 +6,18 @@ key. Sections are a table of their own, since an empty section is a fact.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import keys
 from tidewatch.packs import recruiting
 
+# Headers of the two blocks of a stored snapshot.
+SECTIONS, ROWS = "# sections", "# rows"
 KIND_ORDER = {"section": 0, "added": 1, "removed": 2, "changed": 3}
 
 
@@ -139,10 +145,31 @@ def overlaid(stored: DataFrame, today: DataFrame) -> DataFrame:
     return stored.join(today.select("source_id").distinct(), "source_id", "left_anti").unionByName(today)
 
 
-def snapshot_hash(rows: DataFrame) -> DataFrame:
-    """source_id, hash: one hash of a source's rows that does not depend on their order.
+def snapshot_hash(rows: DataFrame, sections: DataFrame) -> DataFrame:
+    """source_id, hash: the SHA-256 of each source's stored text, its headers, sorted sections and sorted rows.
 
-    Sums the rows' hashes, so a source of any size is added up map-side.
+    The distinct lines of a source come sorted as a stream, so a source of any size is hashed in
+    constant memory and without its text being made.
     """
-    one = F.xxhash64("section", "key", "value").cast("decimal(38,0)")
-    return rows.groupBy("source_id").agg(F.sha2(F.concat_ws("|", F.count(F.lit(1)).cast("string"), F.sum(one).cast("string")).cast("binary"), 256).alias("hash"))
+    line = F.concat_ws("\t", "section", "key", "value")
+    every = rows.select("source_id").unionByName(sections.select("source_id"))
+    heads = every.distinct().select("source_id", F.explode(F.array(*[F.struct(F.lit(k).alias("block"), F.lit(x).alias("line")) for k, x in ((0, SECTIONS), (2, ROWS))])).alias("x")).select("source_id", "x.*")
+    body = sections.select("source_id", F.lit(1).alias("block"), F.col("section").alias("line")).unionByName(rows.select("source_id", F.lit(3).alias("block"), line.alias("line")))
+    lines = heads.unionByName(body.distinct()).repartition("source_id").sortWithinPartitions("source_id", "block", "line")
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        done = lambda found: pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([h for _, h in found], pa.string())], names=["source_id", "hash"])
+        for batch in batches:
+            found = []
+            for source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if source != now or state is None:
+                    if state is not None:
+                        found.append((now, state.hexdigest()))
+                    now, state = source, hashlib.sha256()
+                state.update(text.encode() + b"\n")
+            yield done(found)
+        if state is not None:
+            yield done([(now, state.hexdigest())])
+
+    return lines.select("source_id", "line").mapInArrow(stream, "source_id string, hash string")

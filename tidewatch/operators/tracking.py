@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions import keys
-from tidewatch.operators.snapshot import flagged
 
 # The states a tracked program may be in.
 STATUSES = ("dormant", "open", "closed", "unknown")
@@ -121,7 +120,12 @@ def notes(deadline: Column, rolling: Column, class_year: Column, location: Colum
     return F.when(F.size(said) > 0, said).otherwise(F.array(F.struct(F.lit("").alias("label"), plain.alias("value"))))
 
 
-def unsupported(pages: DataFrame, vendors: dict[str, str], text: str = "html") -> DataFrame:
-    """page_id, vendor of pages that name a vendor which nothing reads yet: the first of ``vendors`` (name to pattern) that matches."""
-    first = F.coalesce(*[F.when(flagged(F.col(text), pattern), name) for name, pattern in vendors.items()])
+def unsupported(pages: DataFrame, vendors: dict[str, str], text: str = "html", method: str = "page_text") -> DataFrame:
+    """page_id, vendor of pages watched as text that name a vendor's board: the first of ``vendors`` (name to pattern, as written) that matches.
+
+    Pages (page_id, text, and method if there is one) read by another method are passed over.
+    """
+    first = F.coalesce(*[F.when(F.col(text).rlike(pattern), name) for name, pattern in vendors.items()])
+    if "method" in pages.columns:
+        pages = pages.where(F.coalesce("method", F.lit("")) == method)
     return pages.select("page_id", first.alias("vendor")).where("vendor IS NOT NULL")

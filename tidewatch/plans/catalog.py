@@ -286,7 +286,7 @@ def next_source_state(spark, sf_dir):
 
 
 @query("""WITH b AS (SELECT 'src-' || (user_id % 12) AS source_id, user_id, CASE WHEN arg_max(event_type, (ts, event_id)) IN ('error', 'view', 'click') THEN 'unreadable' ELSE '' END AS error FROM events GROUP BY user_id)
-SELECT source_id, count(*) AS boards, count(*) FILTER (error <> '') AS unreadable, count(*) FILTER (error <> '') > count(*) * 0.5 AS failed FROM b GROUP BY source_id""")
+SELECT source_id, count(*) AS boards, count(*) FILTER (error <> '') AS unreadable, count(*) FILTER (error <> '') / count(*) AS share, count(*) FILTER (error <> '') > count(*) * 0.5 AS failed FROM b GROUP BY source_id""")
 def board_health(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     last = F.max_by("event_type", F.struct("ts", "event_id"))
@@ -776,22 +776,29 @@ def snapshot_round_trip(spark, sf_dir):
 # ---------------------------------------------------------------- streams
 
 
-@query(f"WITH {_ATTEMPTS} SELECT source_id, failures, last_success, last_attempt FROM r")
+@query(f"WITH {_ATTEMPTS} SELECT source_id, failures, last_success, last_attempt, 0 AS late FROM r")
 def stream_source_health(spark, sf_dir):
-    """The attempt log as a stream, run to its end; the last state of each source."""
+    """The attempt log as a stream of several batches in no order; the last state of each source."""
     from tidewatch.session import work_folder
     from tidewatch.streaming import health
 
     folder = work_folder(spark, "stream-health")
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern, as the source wants a folder or one
-    log = events.select(F.col("event_id").alias("attempt_id"), F.concat(F.lit("src-"), F.col("user_id").cast("string")).alias("source_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "signup").alias("quarantined"))
+    log = attempts(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    log.repartition(8, "attempt_id").write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
 
     def keep(batch, n):
-        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")
-
-    run = health.source_health(log).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    run.awaitTermination()
-    last = F.max_by(F.struct("failures", "last_success", "last_attempt"), "batch").alias("x")
+        batch.where("kind <> 'retry'").withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/n={n}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, health.STATE_STORE)
+    try:
+        run = health.source_health(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    last = F.max_by(F.struct("failures", "last_success", "last_attempt", "late"), "batch").alias("x")
     return spark.read.parquet(f"{folder}/out").groupBy("source_id").agg(last).select("source_id", "x.*")
 
 
@@ -810,4 +817,4 @@ def stream_diff(spark, sf_dir):
     return spark.read.parquet(f"{folder}/changes/version=1")
 
 
-from tidewatch.plans import catalog_text, catalog_tracking  # noqa: E402, F401  their queries register themselves
+from tidewatch.plans import catalog_daily, catalog_text, catalog_tracking  # noqa: E402, F401  their queries register themselves

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import keys, urls
@@ -17,6 +17,7 @@ from tidewatch.operators import rank as R
 from tidewatch.operators import screens as S
 from tidewatch.operators import snapshot as SN
 from tidewatch.operators import tracking as T
+from tidewatch.packs import recruiting
 from tidewatch.session import stored, work_folder
 from tidewatch.sources import feeds
 
@@ -30,11 +31,11 @@ class Processed:
     snapshots: DataFrame
 
 
-def process(new: DataFrame, baseline: DataFrame, metrics: DataFrame, aggregators: DataFrame, muted: DataFrame, applied: DataFrame, as_of: Column, folder: str | None = None) -> Processed:
+def process(new: DataFrame, baseline: DataFrame, metrics: DataFrame, aggregators: DataFrame, muted: DataFrame, applied: DataFrame, as_of: Column, folder: str | None = None, more: DataFrame | None = None) -> Processed:
     """Diff, collapse, suppress and commit one day. Replayable: equal inputs give equal tables.
 
     new, baseline: snapshot rows; metrics: source_id, ok, program_name; a failed source
-    keeps its baseline and reports no change.
+    keeps its baseline and reports no change. more: changes of other kinds, which join after the collapse.
     """
     folder = folder or work_folder(new.sparkSession, "process")
     ok = metrics.where("coalesce(ok, false)").select("source_id").distinct()
@@ -47,6 +48,8 @@ def process(new: DataFrame, baseline: DataFrame, metrics: DataFrame, aggregators
     over = over.where((F.col("n") >= 25) & (F.col("n") > 0.25 * F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0)), F.lit(1)))).select("source_id", "n")
     collapsed = over.select("source_id", F.lit("changed").alias("kind"), F.lit("").alias("identity"), F.concat("source_id", F.lit(": "), F.col("n").cast("string"), F.lit(" rows changed at once")).alias("key"), F.lit("").alias("detail"), F.lit("").alias("url"), F.lit(True).alias("structural"), F.lit(False).alias("discovery"), F.lit(False).alias("rolling"), keys.change_id(F.col("source_id"), F.lit("collapsed")).alias("change_id"))
     kept = changes.join(over, "source_id", "left_anti").unionByName(collapsed)
+    if more is not None:
+        kept = kept.unionByName(more)
     names = metrics.select("source_id", "program_name").dropDuplicates(["source_id"])
     named = kept.join(names, "source_id", "left").join(aggregators.select("source_id", F.lit(True).alias("agg")).distinct(), "source_id", "left")
     # a row's number is a hash of what it is, so that equal inputs give equal tables without one sort of everything
@@ -68,14 +71,13 @@ def run_daily(new: DataFrame, baseline: DataFrame, metrics: DataFrame, aggregato
     rank = R.rank(F.coalesce("deadline", F.lit("")), as_of, F.col("rolling"), F.col("discovery"), F.col("said").isNotNull(), F.coalesce("confidence", F.lit("low")))
     rows = joined.select("change_id", "source_id", "key", F.col("row").alias("ord"), relevant.alias("relevant"), F.col("v.rule").alias("rule"), F.col("v.quote").alias("quote"), rank.alias("r"), F.coalesce("employer_size", F.lit("")).alias("employer_size"), S.aimed_at_first_years(F.col("key"), F.lit(""), F.col("structural")).alias("top"))
     rows = rows.select("*", "r.tier", "r.reason").drop("r")
-    return day, R.within_budget(rows, R.digest_order(rows))
+    return day, R.within_budget(rows, R.digest_order(rows), folder=f"{folder}/budget")
 
 
 def digest_rows(rows: DataFrame, header: int = 1000, footer: int = 6789) -> DataFrame:
     """Digest rows in their order with whether they fit one message."""
-    ordered = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*R.digest_order(rows))))
-    sized = ordered.withColumns({"length": F.length(F.concat_ws(" | ", "key", "reason", "source_id")), "digest": F.lit("today")})
-    return R.fitted(sized, ["n"], "length", ["digest"], header, footer)
+    sized = rows.withColumn("length", F.length(F.concat_ws(" | ", "key", "reason", "source_id")))
+    return R.fitted_one(sized, R.digest_order(sized), "length", header, footer)
 
 
 def digest_lines(judgments: DataFrame, results: DataFrame, states: DataFrame, by_month: DataFrame, always: DataFrame, as_of: Column) -> DataFrame:
@@ -102,9 +104,20 @@ def measure_coverage(rows: DataFrame, reference: DataFrame, scopes: dict[str, Co
     return out.withColumn("date", F.lit(date).cast("date"))
 
 
-def discover(pages: DataFrame, vendors: DataFrame, not_slugs: DataFrame, known: DataFrame, proposed: DataFrame, judgments: DataFrame) -> DataFrame:
-    """Candidates for new sources in pages, once each, without known and proposed ones, with their triage status."""
-    found = PG.fingerprints(pages, vendors, not_slugs).select(F.col("method").alias("kind"), F.col("slug").alias("key"), F.col("page_id").cast("string").alias("evidence"))
+def discover(pages: DataFrame, known: DataFrame, proposed: DataFrame, judgments: DataFrame, repositories: DataFrame | None = None, as_of: Column | None = None, boards=recruiting.BOARDS, not_slugs=recruiting.NOT_SLUGS) -> DataFrame:
+    """Candidates for new sources, once each, without known and proposed ones, with their triage status.
+
+    Three kinds: boards that a page's text names; pages that a watched page (page_id, url, html) links
+    to as its list of openings; and live repositories (name, url, stars, archived, fork, pushed_at).
+    """
+    evidence = F.col("page_id").cast("string").alias("evidence")
+    found = PG.fingerprints(pages, boards, not_slugs).select(F.col("method").alias("kind"), F.col("slug").alias("key"), evidence)
+    if "url" in pages.columns:
+        links = pages.select(evidence, F.explode(urls.links_out(F.col("html"), F.col("url"), recruiting.JOB_LINK)).alias("key"))
+        found = found.unionByName(links.select(F.lit("page").alias("kind"), "key", "evidence"))
+    if repositories is not None:
+        live = PG.repositories(repositories, as_of)
+        found = found.unionByName(live.select(F.lit("repository").alias("kind"), F.lower("name").alias("key"), F.col("url").alias("evidence")))
     return PG.triaged(PG.fresh(PG.first_finds(found, ["evidence"]), known, proposed), judgments)
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewatch.functions.urls import first_url
+from tidewatch.operators.snapshot import ROWS, SECTIONS
 
-# Headers of the two blocks of a stored snapshot.
-SECTIONS, ROWS = "# sections", "# rows"
 VERSION = "schema_version"
 
 

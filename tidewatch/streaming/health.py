@@ -1,4 +1,4 @@
-"""Source health over a stream of attempts."""
+"""Source health over a stream of attempts that may come in any order."""
 
 from __future__ import annotations
 
@@ -6,31 +6,117 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.health import AFTER, HOURS, MOST_HOURS
 
-OUTPUT = "source_id string, failures long, last_success timestamp, last_attempt timestamp, retry_after timestamp"
-STATE = "failures long, last_success timestamp, last_attempt timestamp"
+OUTPUT = "source_id string, kind string, failures long, last_success timestamp, last_attempt timestamp, retry_after timestamp, attempt_id long, late long"
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+KEEP = 256
+_TIMES = ("last_success", "last_attempt", "retry_after")
+_RUN = "good_ts timestamp, good_id long, last_attempt timestamp, settled long, settled_ts timestamp, settled_id long, late long"
 
 
-def _hours(failures: int) -> int:
-    return 0 if failures < AFTER else HOURS[failures - AFTER] if failures - AFTER < len(HOURS) else MOST_HOURS
+def backoff(failures: int) -> pd.Timedelta | None:
+    if failures < AFTER:
+        return None
+    return pd.Timedelta(hours=HOURS[failures - AFTER] if failures - AFTER < len(HOURS) else MOST_HOURS)
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    failures, good, last = state.get if state.exists else (0, None, None)
-    rows = pd.concat(batches).sort_values(["ts", "attempt_id"])
-    for ts, ok, quarantined in zip(rows["ts"], rows["ok"], rows["quarantined"], strict=True):
-        if quarantined or (last is not None and ts < last):  # an attempt older than the state came too late
-            continue
-        failures, good, last = (0, ts, ts) if ok else (failures + 1, good, ts)
-    if last is not None:
-        state.update((failures, good, last))
-        until = last + pd.Timedelta(hours=_hours(failures)) if _hours(failures) else None
-        yield pd.DataFrame({"source_id": [key[0]], "failures": [failures], "last_success": [good], "last_attempt": [last], "retry_after": [until]}).astype({c: "datetime64[ns]" for c in ("last_success", "last_attempt", "retry_after")})
+class Health(StatefulProcessor):
+    """A source's failure run, last success and end of backoff, whatever order its attempts come in.
 
+    Beside the counters, the state lists the newest ``keep`` failures after the last
+    success. A success that comes late takes away the failures before it and leaves
+    those after it, so the state is what a batch over all attempts says. Older failures
+    are settled: only their number and the newest one's time stay. A success that is
+    older than a settled failure and newer than the last success can't be placed among
+    them any more; it changes nothing, is counted, and comes out as a row of kind ``late``.
 
-def source_health(attempts: DataFrame) -> DataFrame:
-    """Failure run, last success and end of backoff of each source that had an attempt (source_id, attempt_id, ts, ok, quarantined); update mode."""
-    return attempts.groupBy("source_id").applyInPandasWithState(_advance, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    Rows of kind ``state`` are the state after a batch, of kind ``retry`` the end of a source's
+    backoff, by a timer in processing time.
+    """
+
+    def __init__(self, keep: int = KEEP):
+        self.keep = keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", _RUN)
+        self.recent = handle.getListState("recent", "ts timestamp, id long")
+
+    def _get(self):
+        if not self.run.exists():
+            return [None, None, None, 0, None, None, 0], pd.DataFrame({"ts": pd.Series(dtype="datetime64[ns]"), "attempt_id": pd.Series(dtype="int64")})
+        kept = list(self.recent.get())
+        return list(self.run.get()), pd.DataFrame({"ts": pd.to_datetime(pd.Series([x[0] for x in kept], dtype="datetime64[ns]")), "attempt_id": pd.Series([x[1] for x in kept], dtype="int64")})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        new = new[~new["quarantined"].fillna(False).astype(bool)]
+        if new.empty:
+            return
+        (good_ts, good_id, last, settled, settled_ts, settled_id, late), failed = self._get()
+        ok = new[new["ok"].fillna(False).astype(bool)]
+        after = lambda df, ts, i: (df["ts"] > ts) | ((df["ts"] == ts) & (df["attempt_id"] > i))
+        unplaced = ok.iloc[:0]
+        if settled:
+            above = after(ok, settled_ts, settled_id)
+            beyond = after(ok, good_ts, good_id) if good_ts is not None else pd.Series(True, index=ok.index)
+            unplaced, ok = ok[~above & beyond], ok[above | ~beyond]
+        late += len(unplaced)
+        failed = pd.concat([failed, new.loc[~new["ok"].fillna(False).astype(bool), ["ts", "attempt_id"]]])
+        if len(ok):
+            best = ok.sort_values(["ts", "attempt_id"]).iloc[-1]
+            if good_ts is None or (best["ts"], best["attempt_id"]) > (good_ts, good_id):
+                good_ts, good_id = best["ts"], int(best["attempt_id"])
+                if settled and (good_ts, good_id) > (settled_ts, settled_id):
+                    settled, settled_ts, settled_id = 0, None, None
+        if good_ts is not None:
+            failed = failed[after(failed, good_ts, good_id)]
+        failed = failed.sort_values(["ts", "attempt_id"])
+        if settled:
+            # a late failure among the settled ones is one more of them
+            below = ~after(failed, settled_ts, settled_id)
+            settled, failed = settled + int(below.sum()), failed[~below]
+        if len(failed) > self.keep:
+            old, failed = failed.iloc[: -self.keep], failed.iloc[-self.keep :]
+            settled, settled_ts, settled_id = settled + len(old), old["ts"].iloc[-1], int(old["attempt_id"].iloc[-1])
+        newest = new["ts"].max()
+        last = newest if last is None else max(pd.Timestamp(last), newest)
+        failures = settled + len(failed)
+        stamp = lambda x: None if x is None or pd.isna(x) else pd.Timestamp(x).to_pydatetime()
+        self.run.update((stamp(good_ts), good_id, stamp(last), settled, stamp(settled_ts), settled_id, late))
+        self.recent.put([(stamp(ts), int(i)) for ts, i in zip(failed["ts"], failed["attempt_id"], strict=True)]) if len(failed) else self.recent.clear()
+        wait = backoff(failures)
+        until = last + wait if wait else None
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until is not None:
+            self.handle.registerTimer(int(pd.Timestamp(until).timestamp() * 1000))
+        yield self._rows(key, "state", failures, good_ts, last, until, [None], late)
+        if len(unplaced):
+            yield self._rows(key, "late", failures, good_ts, last, until, unplaced["attempt_id"].tolist(), late)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        (good_ts, _, last, settled, _, _, late), failed = self._get()
+        until = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        yield self._rows(key, "retry", settled + len(failed), good_ts, last, until, [None], late)
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _rows(key, kind, failures, good, last, until, ids, late) -> pd.DataFrame:
+        n = len(ids)
+        out = pd.DataFrame({"source_id": [key[0]] * n, "kind": kind, "failures": failures, "last_success": [good] * n, "last_attempt": [last] * n, "retry_after": [until] * n, "attempt_id": pd.array(ids, "Int64"), "late": late})
+        return out.astype({c: "datetime64[ns]" for c in _TIMES})
+
+
+def source_health(attempts: DataFrame, keep: int = KEEP) -> DataFrame:
+    """Rows of :class:`Health` for each source that had an attempt (source_id, attempt_id, ts, ok, quarantined), in update mode.
+
+    The session's state store must be the one for keyed states and timers, ``STATE_STORE``.
+    """
+    narrow = attempts.select("source_id", "attempt_id", "ts", "ok", "quarantined")
+    return narrow.groupBy("source_id").transformWithStateInPandas(Health(keep), OUTPUT, "update", "processingTime")
