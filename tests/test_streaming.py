@@ -1,5 +1,6 @@
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -31,8 +32,14 @@ def run_health(spark, tmp_path, batches, **options):
         out.extend((n, r) for r in batch.collect())
 
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/b=*")
-    run = health.source_health(stream, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    run.awaitTermination()
+    writer = health.source_health(stream, **options).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp")
+    if options.get("timers", True):
+        run, end = writer.start(), time.time() + 90
+        while run.isActive and time.time() < end and len({n for n, _ in out}) < len(batches):
+            time.sleep(0.5)
+        run.stop()
+    else:
+        assert writer.trigger(availableNow=True).start().awaitTermination(120)
     return out
 
 
@@ -40,7 +47,7 @@ def test_any_order_gives_the_batch_answer(spark, tmp_path, keyed_states):
     rng = random.Random(4)
     rows = [(f"s{rng.randint(0, 3)}", k, T0 + timedelta(hours=k // 2), rng.random() < 0.3, rng.random() < 0.1) for k in range(120)]
     shuffled = rng.sample(rows, len(rows))
-    out = run_health(spark, tmp_path, [shuffled[k::5] for k in range(5)])
+    out = run_health(spark, tmp_path, [shuffled[k::5] for k in range(5)], timers=False)
     last = {}
     for n, r in out:
         if r.kind == "state":
@@ -48,8 +55,6 @@ def test_any_order_gives_the_batch_answer(spark, tmp_path, keyed_states):
     want = {r.source_id: (r.failures, r.last_success, r.last_attempt) for r in HL.failure_runs(spark.createDataFrame(rows, LOG)).collect()}
     assert {k: v[1:] for k, v in last.items()} == want
     assert not [r for _, r in out if r.kind == "late"]
-    # the end of a backoff comes out by its timer
-    assert any(r.kind == "retry" and r.retry_after is not None for _, r in out)
 
 
 def test_what_cannot_be_placed_is_counted(spark, tmp_path, keyed_states):
@@ -57,11 +62,17 @@ def test_what_cannot_be_placed_is_counted(spark, tmp_path, keyed_states):
     late = [("s", 20, T0 + timedelta(hours=3, minutes=30), True, False)]
     early = [("s", 21, T0 + timedelta(hours=2, minutes=30), False, False)]
     new = [("s", 22, T0 + timedelta(hours=30), True, False)]
-    out = run_health(spark, tmp_path, [fail, late, early, new], keep=4)
+    out = run_health(spark, tmp_path, [fail, late, early, new], keep=4, timers=False)
     said = [(r.kind, r.failures, r.late, r.attempt_id) for _, r in out if r.kind != "retry"]
     assert said == [("state", 10, 0, None), ("state", 10, 1, None), ("late", 10, 1, 20), ("state", 11, 1, None), ("state", 0, 1, None)]
 
 
+def test_the_end_of_a_backoff_comes_out(spark, tmp_path, keyed_states):
+    fail = [("s", k, T0 + timedelta(hours=k), False, False) for k in range(4)] + [("t", 9, T0, True, False)]
+    out = run_health(spark, tmp_path, [fail, [("t", 10, T0 + timedelta(hours=1), True, False)]])
+    assert {(r.source_id, r.retry_after) for _, r in out if r.kind == "retry"} == {("s", T0 + timedelta(hours=3 + 12))}
+
+
 ROWS = diff.SCHEMA
 
 
@@ -72,7 +83,7 @@ def versions(n):
 def stream(spark, tmp_path, folder, n, rows, checkpoint):
     spark.createDataFrame(rows, ROWS).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/in/v={n}")
     found = spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in/v=*")
-    diff.diff_stream(found, folder, checkpoint, buckets=16).awaitTermination()
+    diff.diff_stream(found, folder, checkpoint, buckets=16).awaitTermination(120)
 
 
 def files(folder):
@@ -111,7 +122,7 @@ def test_a_retry_gives_equal_output(spark, tmp_path):
         if os.path.exists(crc):
             os.remove(crc)
     found = spark.readStream.schema(ROWS).parquet(f"{tmp_path}/in/v=*")
-    diff.diff_stream(found, folder, f"{tmp_path}/cp", buckets=16).awaitTermination()
+    diff.diff_stream(found, folder, f"{tmp_path}/cp", buckets=16).awaitTermination(120)
     assert sorted(map(str, spark.read.parquet(f"{folder}/changes/version=1").collect())) == first
     assert sorted(map(str, diff.Baseline(spark, folder, 16).rows(diff.Baseline(spark, folder, 16).manifest()).collect())) == before
 
@@ -121,6 +132,6 @@ def test_one_digest_a_date(spark, tmp_path):
     for n, rows in enumerate([[("d1", "b"), ("d1", "a")], [("d1", "c"), ("d2", "x")]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/in/v={n}")
         found = spark.readStream.schema(schema).parquet(f"{tmp_path}/in/v=*")
-        diff.deliver_once(found, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+        diff.deliver_once(found, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     got = spark.read.parquet(f"{tmp_path}/out/delivered").select("date", "body", F.col("batch")).collect()
     assert sorted(map(tuple, got)) == [("d1", "a", 0), ("d2", "x", 1)]

@@ -794,7 +794,7 @@ def stream_source_health(spark, sf_dir):
     before = spark.conf.get(provider)
     spark.conf.set(provider, health.STATE_STORE)
     try:
-        run = health.source_health(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        run = health.source_health(stream, timers=False).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
         run.awaitTermination()
     finally:
         spark.conf.set(provider, before)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.health import AFTER, HOURS, MOST_HOURS
 
+# the process that plans the stream's state doesn't have this package's folder; the processor goes to it by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OUTPUT = "source_id string, kind string, failures long, last_success timestamp, last_attempt timestamp, retry_after timestamp, attempt_id long, late long"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEEP = 256
@@ -37,8 +41,8 @@ class Health(StatefulProcessor):
     backoff, by a timer in processing time.
     """
 
-    def __init__(self, keep: int = KEEP):
-        self.keep = keep
+    def __init__(self, keep: int = KEEP, timers: bool = True):
+        self.keep, self.timers = keep, timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -90,10 +94,11 @@ class Health(StatefulProcessor):
         self.recent.put([(stamp(ts), int(i)) for ts, i in zip(failed["ts"], failed["attempt_id"], strict=True)]) if len(failed) else self.recent.clear()
         wait = backoff(failures)
         until = last + wait if wait else None
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if until is not None:
-            self.handle.registerTimer(int(pd.Timestamp(until).timestamp() * 1000))
+        if self.timers:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if until is not None:
+                self.handle.registerTimer(int(pd.Timestamp(until).timestamp() * 1000))
         yield self._rows(key, "state", failures, good_ts, last, until, [None], late)
         if len(unplaced):
             yield self._rows(key, "late", failures, good_ts, last, until, unplaced["attempt_id"].tolist(), late)
@@ -113,10 +118,12 @@ class Health(StatefulProcessor):
         return out.astype({c: "datetime64[ns]" for c in _TIMES})
 
 
-def source_health(attempts: DataFrame, keep: int = KEEP) -> DataFrame:
+def source_health(attempts: DataFrame, keep: int = KEEP, timers: bool = True) -> DataFrame:
     """Rows of :class:`Health` for each source that had an attempt (source_id, attempt_id, ts, ok, quarantined), in update mode.
 
+    Spark runs batches for timers also when no data come, so a stream that is to end by itself (``availableNow``)
+    needs ``timers`` off; its rows still say when a source's backoff ends.
     The session's state store must be the one for keyed states and timers, ``STATE_STORE``.
     """
     narrow = attempts.select("source_id", "attempt_id", "ts", "ok", "quarantined")
-    return narrow.groupBy("source_id").transformWithStateInPandas(Health(keep), OUTPUT, "update", "processingTime")
+    return narrow.groupBy("source_id").transformWithStateInPandas(Health(keep, timers), OUTPUT, "update", "processingTime" if timers else "none")
