@@ -126,6 +126,29 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    if n > 2 * CHUNK_BYTES:
+        return _long_words(data, offsets)
+    return _words(data, offsets)
+
+
+def _long_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``words`` of a long row in pieces that end at spaces, so that the numbers for each byte are those of a piece."""
+    n, a, parts, counts = len(data), 0, [], np.zeros(len(offsets), np.int64)
+    while a < n:
+        b = min(n, a + CHUNK_BYTES)
+        while b < n and data[b] != 32 and not (space := np.flatnonzero(data[b : b + CHUNK_BYTES] == 32)).size:
+            b = min(n, b + CHUNK_BYTES)
+        b = b + int(space[0]) if b < n and data[b] != 32 else b
+        inside = np.clip(offsets, a, b) - a
+        hashes, first = _words(data[a:b], inside)
+        parts.append(hashes)
+        counts += first
+        a = b
+    return np.concatenate(parts), counts
+
+
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = len(data)
     letter = data != 32
     starts = letter.copy()
     starts[1:] &= ~letter[:-1]

@@ -17,7 +17,8 @@ Exact bounds settle most unequal pairs before: on length and, with a bit map of
 text's words, on the words that one text has and the other lacks, before texts are joined to pairs.
 
 Within a sketch's texts first each is verified against the least one, which joins
-groups of copies of any size in as many pairs as they have members. Where
+groups of copies of any size in as many pairs as they have members: in the first ``FIRST``
+sketches each, in the others where the two are still in different classes. Where
 texts of one sketch are then still in different classes, every pair across classes is
 verified too. So no link between candidates is lost, and a class never makes all its pairs.
 
@@ -25,6 +26,8 @@ Classes are connected components; the class id is the least ``doc_id`` in it. Te
 shorter than K words have one k-mer, all their words. Texts without words (null,
 empty) are one class. Null doc_ids belong to classes but name none unless alone.
 Rows repeated stay rows. An empty table gives no rows; other columns are not read.
+A text's words are hashed in pieces and its sketches run over its k-mers by ``PIECE``, so
+a very long text takes its bytes and some 80 bytes for each word.
 """
 
 from __future__ import annotations
@@ -47,6 +50,8 @@ SKETCHES = 56
 PICKS = 2
 SHORT, SHORT_SKETCHES, SHORT_PICKS = 24, 24, 3
 SIMILARITY = 0.8
+#: Sketches whose pairs with the least text are verified first; k-mers that are ranked at once.
+FIRST, PIECE = 6, 1 << 16
 #: Longs in the bit map of a text's words.
 MAPS = 8
 
@@ -85,9 +90,18 @@ def sketches(prints: np.ndarray, n: int = SKETCHES, picks: int = PICKS) -> np.nd
     seeds = mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(picks))
     odd = seeds[:, None] | np.uint64(1)
     picks = min(picks, len(mers))
-    place = least_places((mers[None, :] ^ seeds[:, None]) * odd, picks)
+    plain, ranks, place = np.full(n, np.uint64(2**64 - 1)), np.zeros((n, 0), np.uint64), np.zeros((n, 0), np.int64)
+    for a in range(0, len(mers), PIECE):
+        np.minimum(plain, ((prints[None, a : a + PIECE] ^ seeds[:, None]) * odd).min(axis=1), out=plain)
+        some = (mers[None, a : a + PIECE] ^ seeds[:, None]) * odd
+        at = least_places(some, min(picks, some.shape[1]))
+        ranks = np.concatenate([ranks, np.take_along_axis(some, at, axis=1)], axis=1)
+        place = np.concatenate([place, at + a], axis=1)
+        if ranks.shape[1] > picks:
+            best = np.argpartition(ranks, picks - 1, axis=1)[:, :picks]
+            ranks, place = np.take_along_axis(ranks, best, axis=1), np.take_along_axis(place, best, axis=1)
     place.sort(axis=1)
-    out = seeds + ((prints[None, :] ^ seeds[:, None]) * odd).min(axis=1)
+    out = seeds + plain
     for i in range(picks):
         out = mixed(out + mers[place[:, i]]) + np.uint64(i)
     return out.view(np.int64)
@@ -204,23 +218,34 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     chosen = rows.select(F.col("row_id").alias("node"), "words").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     texts = stored(chosen, f"{folder}/texts")
     profiles = stored(_sketched(texts, k, n, picks), f"{folder}/sketches")
-    found = profiles.select("node", F.explode("found").alias("sketch"))
+    found = profiles.select("node", F.posexplode("found").alias("nth", "sketch"))
     heads = stored(found.groupBy("sketch").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{folder}/heads")
-    shared = stored(found.hint("merge").join(heads, "sketch").select("sketch", "head", "node"), f"{folder}/shared")
-    first = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    first = first.hint("merge").join(_bounds(profiles, "a"), "a").hint("merge").join(_bounds(profiles, "b"), "b")
-    first = stored(first.where(_like("a", "b", similarity)).select("a", "b"), f"{folder}/first")
+    shared = stored(found.hint("merge").join(heads, "sketch").select("nth", "sketch", "head", "node"), f"{folder}/shared")
+
+    def open_pairs(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.distinct().hint("merge").join(_bounds(profiles, "a"), "a").hint("merge").join(_bounds(profiles, "b"), "b")
+        return stored(both.where(_like("a", "b", similarity)).select("a", "b"), f"{folder}/{name}")
+
+    with_root = lambda df, roots, node, root: df.hint("merge").join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+    heads_of = shared.where("node <> head").select("nth", F.col("head").alias("a"), F.col("node").alias("b"))
+    first = open_pairs(heads_of.where(F.col("nth") < FIRST).select("a", "b"), "first")
     links = stored(verified(first, texts, similarity), f"{folder}/links1")
-    roots = components(links, f"{folder}/stars")
+    roots = stored(components(links, f"{folder}/stars1"), f"{folder}/roots1")
+    # heads of the other sketches, for texts that aren't in their class yet; each of the bounds meets only those
+    rest = heads_of.where(F.col("nth") >= FIRST).select("a", "b").distinct()
+    rest = with_root(with_root(rest, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
+    rest = open_pairs(rest.hint("merge").join(first, ["a", "b"], "left_anti"), "rest")
+    tried = first.unionByName(rest)
+    links = stored(links.unionByName(verified(rest, texts, similarity)), f"{folder}/links")
+    roots = components(links, f"{folder}/stars2")
     # texts of one sketch that are still apart: all pairs across classes that the bounds leave open, not tried before
-    rooted = shared.hint("merge").join(roots.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("sketch", "node", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, f"{folder}/rooted")
+    rooted = stored(with_root(shared.select("sketch", "node"), roots, "node", "root"), f"{folder}/rooted")
     apart = rooted.groupBy("sketch").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sketch")
     left = rooted.hint("merge").join(apart, "sketch", "left_semi")
     left = stored(left.hint("merge").join(_bounds(profiles, "a"), F.col("node") == F.col("a")).drop("node"), f"{folder}/left")
     other = left.select("sketch", F.col("root").alias("root_b"), *[F.col(c).alias(c[:-1] + "b") for c in left.columns if c == "a" or c.endswith("_a")])
     pairs = left.hint("merge").join(other, "sketch").where((F.col("root") < F.col("root_b")) & _like("a", "b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs.hint("merge").join(first, ["a", "b"], "left_anti"), f"{folder}/second")
+    pairs = stored(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), f"{folder}/second")
     more = stored(verified(pairs, texts, similarity), f"{folder}/links2")
     roots = components(links.unionByName(more), f"{folder}/classes")
     classed = nodes.hint("merge").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
