@@ -63,3 +63,32 @@ def test_stages_and_run(spark, tables, tmp_path):
         assert abs(r.target - want[by_id[r.doc_id][3]]) < 1e-6 and 0 <= r.taken <= 2 * r.size
     again = P.run(spark, folder).toPandas()
     pd.testing.assert_frame_equal(*(x.sort_values("doc_id", ignore_index=True) for x in (mix, again)))
+
+
+def written(spark, folder, docs, clashes=True):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = ["row_id", "digest", "node", "size", "target", "kept", "first", "words"] if clashes else []
+    rows = [(*d, *["x"] * len(more)) for d in docs]
+    spark.createDataFrame(rows, schema + "".join(f", {c} string" for c in more)).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(d[0], 1, 0) for d in docs if d[0] is not None], "doc_id long, quality int, toxic int").distinct().write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, None), (1, "")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_an_empty_table(spark, tmp_path):
+    written(spark, str(tmp_path), [])
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_repeated_rows_and_a_long_text(spark, tmp_path):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = [(i, text(60), "en", "s", 1) for i in range(60)]
+    docs += [docs[3], docs[3], (None, docs[4][1], None, None, None), (500, text(120_000), "en", "t", 1)]
+    written(spark, str(tmp_path), docs)
+    source = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in P.STAGES[:-1]:
+        assert stage(spark, source, str(tmp_path)).columns == source.columns
+    got = [r.doc_id for r in P.run(spark, str(tmp_path)).collect()]
+    # equal rows leave one, and of equal texts the one that names an id stays
+    assert len(got) == len(set(got)) and 3 in got and 500 in got and None not in got and len(set(got) & set(range(60))) >= 58

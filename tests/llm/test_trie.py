@@ -4,9 +4,7 @@ import zlib
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
-from tidewatch.llm import ranks
 from tidewatch.llm import trie as T
 
 SCHEMA = "conv_id long, turn long, role string, text string, g string, place string, node string, arc string"
@@ -78,21 +76,3 @@ def test_empty_null_and_repeated_rows(talks):
     rows = [(4, 0, "user", "a"), (4, 0, "user", "a"), (4, 0, "user", "b")]
     got = run(talks(rows))
     assert sum(1 for r in got if r[1] == 0) == 1 and max(r[1] for r in got) <= 3
-
-
-def test_places_and_sums_over_any_partitions(spark, tmp_path):
-    rng = random.Random(3)
-    rows = [(rng.choice(["a", "b", None]) if k % 3 else "a", rng.randint(0, 50), k) for k in range(2000)]
-    df = spark.createDataFrame(rows, "k string, v int, id int").repartition(7)
-    got = ranks.placed(df, ["k"], [F.col("v"), F.col("id")], f"{tmp_path}/p").collect()
-    by = defaultdict(list)
-    for k, v, i in rows:
-        by[k].append((v, i))
-    want = {i: n for x in by.values() for n, (_, i) in enumerate(sorted(x))}
-    assert {r.id: r.place for r in got} == want
-    ones = ranks.placed(df.withColumn("all", F.lit(0)), ["all"], [F.col("id")], f"{tmp_path}/q")
-    ran = {r.place: r.v for r in ranks.summed(ones, "place", ["v"], 64).collect()}
-    total = 0
-    for place, (_, v, _) in enumerate(rows):
-        total += v
-        assert ran[place] == total
