@@ -817,4 +817,4 @@ def stream_diff(spark, sf_dir):
     return spark.read.parquet(f"{folder}/changes/version=1")
 
 
-from tidewatch.plans import catalog_daily, catalog_text, catalog_tracking  # noqa: E402, F401  their queries register themselves
+from tidewatch.plans import catalog_daily, catalog_state, catalog_text, catalog_tracking  # noqa: E402, F401  their queries register themselves

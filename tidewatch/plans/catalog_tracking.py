@@ -205,12 +205,12 @@ def row_notes(spark, sf_dir):
     return parts(spark, sf_dir).select("p_partkey", text.alias("notes"))
 
 
-@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'workday' WHEN 1 THEN 'icims' ELSE 'workable' END AS vendor FROM pages WHERE page_id % 4 < 3""")
+@query("""SELECT page_id, CASE page_id % 4 WHEN 0 THEN CASE WHEN page_id % 8 = 0 THEN 'workday' ELSE 'icims' END WHEN 1 THEN 'icims' ELSE 'workable' END AS vendor FROM pages WHERE page_id % 4 < 3""")
 def unsupported_vendors(spark, sf_dir):
     from tidewatch.packs import recruiting
 
     k = F.col("page_id")
-    link = F.when(k % 4 == 0, "https://acme.wd5.MyWorkdayJobs.com/x https://x.icims.com").when(k % 4 == 1, "https://jobs-acme.icims.com/a").when(k % 4 == 2, "https://apply.workable.com/acme").otherwise("")
+    link = F.when(k % 8 == 0, "https://acme.wd5.myworkdayjobs.com/x https://x.icims.com").when(k % 4 == 0, "https://acme.wd5.MyWorkdayJobs.com/x https://x.icims.com").when(k % 4 == 1, "https://jobs-acme.icims.com/a").when(k % 4 == 2, "https://apply.workable.com/acme").otherwise("")
     return T.unsupported(table(spark, sf_dir, "pages").select(k, F.concat_ws(" ", "html", link).alias("html")), recruiting.UNSUPPORTED)
 
 

@@ -69,17 +69,20 @@ def parsed(sources: DataFrame, attempts: DataFrame, bodies: DataFrame, old_rows:
     schema = [f for f in raw.schema.fields if f.name != "method"]
     raw = spark.read.schema(type(raw.schema)([*schema, raw.schema["method"]])).parquet(f"{folder}/raw")
 
-    found, shapes = [], []
+    found, shapes, listed = [], [], []
     for method, collection in feeds.COLLECTIONS.items():
         mine = raw.where(F.col("method") == method)
         error = feeds.shape_error(F.col("body"), collection)
         shapes.append(mine.select("source_id", error.alias("error")))
+        listed.append(feeds.listed(mine.where(error == ""), method))
         found.append(feeds.postings(mine.where(error == ""), method).drop("ord"))
     # the text is for judges; the snapshot doesn't need it, so it is cut from the scan
     postings = _union([x.drop("text") for x in found])
     wanted, home = S.wanted_title(F.col("title"), F.col("employment_type")), S.at_home(F.col("location"))
     postings = stored(postings.withColumns({"wanted": wanted, "home": home}), f"{folder}/postings")
-    screened = postings.groupBy("source_id").agg(F.count_if(~F.col("wanted")).alias("not_wanted"), F.count_if(F.col("wanted") & ~F.col("home")).alias("not_home"))
+    screened = postings.groupBy("source_id").agg(F.count(F.lit(1)).alias("parsed"), F.count_if(~F.col("wanted")).alias("not_wanted"), F.count_if(F.col("wanted") & ~F.col("home")).alias("not_home"))
+    # what the parsers' own screens took out is listed and not parsed
+    screened = _union(listed).hint("merge").join(screened, "source_id", "left").withColumn("pre_screened", F.col("listed") - F.coalesce("parsed", F.lit(0)))
     feed_rows = feeds.posting_rows(postings.where("wanted AND home"))
 
     lists = raw.where(F.col("method") == TABLES).select("source_id", F.col("body").alias("text"))
@@ -113,7 +116,7 @@ def parsed(sources: DataFrame, attempts: DataFrame, bodies: DataFrame, old_rows:
         .otherwise(F.coalesce("shape", F.lit("")))
     )
     listed = F.col("method") != PAGE
-    facts = out.select("source_id", F.coalesce("quarantined", F.lit(False)).alias("quarantined"), first.alias("first"), F.when(listed, F.coalesce("rows", F.lit(0))).alias("rows"), "sections", "previous", (F.coalesce("not_wanted", F.lit(0)) + F.coalesce("not_home", F.lit(0))).alias("pre_screened"), F.lit(0).alias("boards"), F.lit(0).alias("unreadable"), F.coalesce("not_wanted", F.lit(0)).alias("not_wanted"), F.coalesce("not_home", F.lit(0)).alias("not_home"), "redirected", F.col("seen").isNull().alias("fresh"))
+    facts = out.select("source_id", F.coalesce("quarantined", F.lit(False)).alias("quarantined"), first.alias("first"), F.when(listed, F.coalesce("rows", F.lit(0))).alias("rows"), "sections", "previous", (F.coalesce("pre_screened", F.lit(0)) + F.coalesce("not_wanted", F.lit(0)) + F.coalesce("not_home", F.lit(0))).alias("pre_screened"), F.lit(0).alias("boards"), F.lit(0).alias("unreadable"), F.coalesce("not_wanted", F.lit(0)).alias("not_wanted"), F.coalesce("not_home", F.lit(0)).alias("not_home"), "redirected", F.col("seen").isNull().alias("fresh"))
     checked = HL.plausible(facts, sources)
     error = F.when(F.col("first") != "", F.col("first")).otherwise(F.col("error"))
     results = checked.select("source_id", F.xxhash64("source_id").alias("ord"), (error == "").alias("ok"), "quarantined", error.alias("error"), ((error == "") & F.col("fresh")).alias("baseline"), "rows", "sections", "not_wanted", "not_home", "redirected")
@@ -210,7 +213,7 @@ def run_day(sources: DataFrame, attempts: DataFrame, bodies: DataFrame, old_rows
     said = rows.hint("merge").join(sources.select("source_id", F.get(F.split("program_names", r"\|"), F.lit(0)).alias("program_name")), "source_id").withColumn("new_status", F.lit(None).cast("string"))
     if "new_status" in judgments.columns:
         said = said.drop("new_status").hint("merge").join(judgments.select("change_id", "new_status"), "change_id", "left")
-    tracked, proposals = T.tracked(programs, sources, results, said, now)
+    tracked, proposals = T.tracked(programs, sources, results, said, now.cast(programs.schema["last_checked"].dataType))
     return Day(replay, rows, kept, after, tracked, proposals)
 
 

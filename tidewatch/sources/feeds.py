@@ -81,7 +81,7 @@ def postings(raw: DataFrame, method: str, details: DataFrame | None = None, base
     elif method == "workday":
         items = items.withColumn("path", get("externalPath"))
         if details is not None:
-            items = items.join(details.select("source_id", "path", F.try_parse_json("body").alias("d")).dropDuplicates(["source_id", "path"]), ["source_id", "path"], "left")
+            items = items.hint("merge").join(details.select("source_id", "path", F.try_parse_json("body").alias("d")).dropDuplicates(["source_id", "path"]), ["source_id", "path"], "left")
             more = lambda p: F.coalesce(F.try_variant_get("d", "$.jobPostingInfo." + p, "string"), F.lit(""))
         else:
             more = lambda p: F.lit("")
@@ -105,6 +105,13 @@ def postings(raw: DataFrame, method: str, details: DataFrame | None = None, base
     return out.withColumn("text", clipped(plain_text(F.col("text")), 12_000))
 
 
+def listed(raw: DataFrame, method: str) -> DataFrame:
+    """source_id, listed: how many items the feeds of one method have, before any screen of :func:`postings`."""
+    path = "$" + (f".{COLLECTIONS[method]}" if COLLECTIONS[method] else "")
+    items = F.size(F.coalesce(F.try_variant_get(F.try_parse_json("body"), path, "array<variant>"), F.array().cast("array<variant>")))
+    return raw.select("source_id", items.cast("long").alias("listed")).groupBy("source_id").agg(F.sum("listed").alias("listed"))
+
+
 def posting_rows(found: DataFrame) -> DataFrame:
     """Snapshot rows of postings: only type and URL in the value, as the rest changes every day."""
     section = F.when(F.trim("department") == "", "(no department)").otherwise(F.trim("department"))

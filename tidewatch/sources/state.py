@@ -19,8 +19,38 @@ def read_dimension(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 
 def write_dimension(df: DataFrame, path: str, columns: list[str], sort: list[str] | None = None) -> None:
+    """A CSV table with exactly ``columns``, missing values "". With ``sort`` its parts, by name, hold one order; none is gathered in a task."""
     out = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).na.fill("")
-    (out.orderBy(*sort) if sort else out).coalesce(1).write.mode("overwrite").csv(path, header=True, escape='"')
+    (out.orderBy(*sort) if sort else out).write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
+
+
+def write_marker(spark: SparkSession, folder: str, name: str, value: str, version: int) -> None:
+    """A one-row table of a name's value, by version; a rerun of a version replaces its own."""
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/name={name}/version={version}")
+
+
+def read_marker(spark: SparkSession, folder: str, name: str) -> str | None:
+    """The value of a name's last version; None where it was never written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/name={name}")
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return None
+    row = spark.read.parquet(f"{folder}/name={name}").orderBy(F.col("version").desc()).select("value").first()
+    return None if row is None else row[0]
+
+
+def read_mute_list(spark: SparkSession, path: str) -> DataFrame:
+    """mute_key, marked_at, title of a list of tab-separated lines; blank lines, lines without a key and those that begin with # go, the last of a key stays."""
+    parts = F.split("value", "\t")
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.startswith("value", F.lit("#")))
+    part = lambda k: F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
+    rows = lines.select(part(0).alias("mute_key"), part(1).alias("marked_at"), part(2).alias("title"), F.monotonically_increasing_id().alias("at")).where("mute_key <> ''")
+    return rows.groupBy("mute_key").agg(F.max_by("marked_at", "at").alias("marked_at"), F.max_by("title", "at").alias("title"))
+
+
+def write_mute_list(df: DataFrame, path: str) -> None:
+    """The stored form of a mute list (mute_key, marked_at, title), in order of the keys over the parts' names."""
+    line = F.concat_ws("\t", "mute_key", F.coalesce("marked_at", F.lit("")), F.coalesce("title", F.lit("")))
+    df.orderBy("mute_key").select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def read_list(spark: SparkSession, path: str) -> DataFrame:
@@ -73,13 +103,17 @@ def read_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attempt_facts(attempts: DataFrame, bodies: DataFrame) -> DataFrame:
-    """source_id, body, size, sha256 of attempts (source_id, size): no body is null, one of no bytes is "".
+    """source_id, body, size, sha256, final_url of attempts (source_id, size, requested and final if there are): no body is null, one of no bytes is "".
+
+    The final address is the requested one where no redirect is known.
 
     Spark's file sources pass over files without bytes, so those follow from the attempt's own size.
     """
     empty_body = F.col("fetched") == 0
-    both = attempts.select("source_id", F.col("size").alias("fetched")).join(bodies.select("source_id", "body", "size", "sha256"), "source_id", "left")
-    return both.select("source_id", F.coalesce("body", F.when(empty_body, "")).alias("body"), F.coalesce("size", "fetched").alias("size"), F.coalesce("sha256", F.when(empty_body, F.sha2(F.lit("").cast("binary"), 256))).alias("sha256"))
+    there = [F.nullif(F.trim(c), F.lit("")) for c in ("final", "requested") if c in attempts.columns]
+    final = F.coalesce(*there) if there else F.lit(None).cast("string")
+    both = attempts.select("source_id", F.col("size").alias("fetched"), final.alias("final_url")).hint("merge").join(bodies.select("source_id", "body", "size", "sha256"), "source_id", "left")
+    return both.select("source_id", "final_url", F.coalesce("body", F.when(empty_body, "")).alias("body"), F.coalesce("size", "fetched").alias("size"), F.coalesce("sha256", F.when(empty_body, F.sha2(F.lit("").cast("binary"), 256))).alias("sha256"))
 
 
 def write_stage(df: DataFrame, path: str, run_date: str, version: int) -> None:
