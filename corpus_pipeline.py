@@ -2,6 +2,12 @@
 
 Each stage works on all rows that its predecessor kept. All but the last return the
 columns they were given; the last returns each document's part in the mix.
+
+A null text counts as empty, and empty texts are one document after exact dedup. Nulls in
+other columns stay as they are; a row without ``doc_id`` has no label and goes through all
+stages like any other, but loses to an equal row that has one. Rows that repeat, also under one ``doc_id``, are copies
+of each other. An empty table gives no rows. Columns besides those of documents are carried
+along, whatever their names. Each stage takes a very long text whole; see the operators for what it costs.
 """
 
 from __future__ import annotations
