@@ -129,4 +129,6 @@ def test_a_day_from_raw_bodies(spark, tmp_path):
     tracked = {r.name: r for r in day.programs.collect()}
     assert len(tracked["Acme"].snapshot_hash) == 64 and tracked["Bad"].snapshot_hash == "old"
     table = daily.digest(day.rows, day.pins, day.replay.parsed.results, day.states.withColumn("last_success", F.col("last_success").cast("string")), folder=f"{tmp_path}/digest").collect()
-    assert [(r.part, r.company) for r in sorted(table, key=lambda r: (r.part, r.n)) if r.part != 2] == [(0, "Bad"), (1, "off"), (1, "Acme"), (1, "")]
+    listed = [(r.part, r.company) for r in sorted(table, key=lambda r: (r.part, r.n)) if r.part != 2]
+    # rows of one rank stand in the order of their numbers, which are hashes
+    assert listed[:2] == [(0, "Bad"), (1, "off")] and set(listed[2:]) == {(1, "Acme"), (1, "")}

@@ -186,7 +186,7 @@ theirs AS (SELECT n, kind FROM r WHERE n % 5 <> 0 AND n % 7 <> 0 AND kind <> 'Ph
 g AS (SELECT coalesce(ours.n, theirs.n) AS n, coalesce(ours.kind, theirs.kind) AS kind, ours.n IS NOT NULL AS us, theirs.n IS NOT NULL AS them, coalesce(listed, false) AS listed FROM ours FULL JOIN theirs ON ours.n = theirs.n),
 s AS (SELECT 'fields' AS scope, * FROM g WHERE kind IN ('Quant', 'Software') UNION ALL SELECT 'quant', * FROM g WHERE kind = 'Quant')
 SELECT scope, count(*) FILTER (us) AS ours, count(*) FILTER (them) AS theirs, count(*) FILTER (us AND NOT them) AS only_ours, count(*) FILTER (us AND NOT them AND NOT listed) AS only_ours_direct,
-       CASE WHEN count(*) FILTER (them) > 0 THEN count(*) FILTER (us AND NOT them) / count(*) FILTER (them) ELSE 0.0 END AS lead, DATE '{AS_OF}' AS date FROM s GROUP BY scope""")
+       CASE WHEN count(*) FILTER (them) > 0 THEN count(*) FILTER (us AND NOT them) / count(*) FILTER (them) ELSE 0.0 END AS lead, '{AS_OF}' AS date FROM s GROUP BY scope""")
 def coverage_job(spark, sf_dir):
     """Snapshots of lists and boards against a published list, for all fields and for quant."""
     o, n = table(spark, sf_dir, "orders").where("o_orderkey >= 10000"), F.col("o_orderkey")
@@ -201,7 +201,7 @@ def coverage_job(spark, sf_dir):
     one = F.struct(title.alias("title"), firm.alias("company_name"), url.alias("url"), F.lit(True).alias("active"), (n % 7 != 0).alias("is_visible"), F.array(place).alias("locations"), F.lit("").alias("category"))
     # the published list comes in files of a thousand order numbers
     listings = o.where("o_orderkey % 5 <> 0").groupBy(F.floor(n / 1000)).agg(F.to_json(F.collect_list(one)).alias("body")).select("body")
-    return daily.coverage_of(snapshots, sources, listings, AS_OF)
+    return daily.coverage_of(snapshots, sources, listings, AS_OF).withColumn("date", F.col("date").cast("string"))
 
 
 def _linked(spark, sf_dir):

@@ -39,14 +39,14 @@ def stage_round_trip(spark, sf_dir):
     return state.read_stage(spark, path, "2024-01-01", 3, ["o_orderkey", "said"])
 
 
-@query("SELECT o_orderpriority, count(*) AS n, CASE WHEN o_orderkey % 2 = 0 THEN DATE '2024-01-08' ELSE DATE '2024-01-01' END AS date FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY ALL")
+@query("SELECT o_orderpriority, count(*) AS n, CASE WHEN o_orderkey % 2 = 0 THEN '2024-01-08' ELSE '2024-01-01' END AS date FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 GROUP BY ALL")
 def history_rerun(spark, sf_dir):
     """A history by date, one date of which is recorded again with fewer rows counted."""
     path, o = work_folder(spark, "history"), table(spark, sf_dir, "orders")
     for keep, date in (("o_orderkey % 2 = 1", "2024-01-01"), ("o_orderkey % 2 = 0", "2024-01-08"), ("o_orderkey % 2 = 1 AND o_orderkey % 3 = 0", "2024-01-01")):
         counts = o.where(keep).groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
         state.record_history(counts.withColumn("date", F.lit(date).cast("date")), path)
-    return spark.read.parquet(path).select("o_orderpriority", "n", "date")
+    return spark.read.parquet(path).select("o_orderpriority", "n", F.col("date").cast("string").alias("date"))
 
 
 @query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 = 0")
