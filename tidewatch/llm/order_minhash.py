@@ -178,12 +178,20 @@ def _sketched(texts: DataFrame, k: int, n: int, picks: int) -> DataFrame:
     return texts.mapInArrow(cut, "node long, size long, maps array<long>, found array<long>")
 
 
+def _most(longer: Column, similarity: float) -> Column:
+    """The edits that the limit allows to texts of which the longer one has so many words."""
+    return F.floor(longer * (1 - similarity) + 1e-6)
+
+
+def _as_long(a: Column, b: Column, similarity: float) -> Column:
+    return F.abs(a - b) <= _most(F.greatest(a, b), similarity)
+
+
 def _like(a: str, b: str, similarity: float) -> Column:
     """Whether the bounds on length and words leave it open that two texts (size and map columns of these endings) are similar."""
-    longer = F.greatest(f"size_{a}", f"size_{b}")
-    most = F.floor(longer * (1 - similarity) + 1e-6)
+    most = _most(F.greatest(f"size_{a}", f"size_{b}"), similarity)
     lacks = lambda x, y: sum(F.bit_count(F.col(f"m{i}_{x}").bitwiseAND(F.bitwise_not(f"m{i}_{y}"))) for i in range(MAPS))
-    return (longer - F.least(f"size_{a}", f"size_{b}") <= most) & (lacks(a, b) <= most) & (lacks(b, a) <= most)
+    return _as_long(F.col(f"size_{a}"), F.col(f"size_{b}"), similarity) & (lacks(a, b) <= most) & (lacks(b, a) <= most)
 
 
 def _bounds(profiles: DataFrame, end: str) -> DataFrame:
@@ -218,16 +226,18 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     chosen = rows.select(F.col("row_id").alias("node"), "words").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     texts = stored(chosen, f"{folder}/texts")
     profiles = stored(_sketched(texts, k, n, picks), f"{folder}/sketches")
-    found = profiles.select("node", F.posexplode("found").alias("nth", "sketch"))
-    heads = stored(found.groupBy("sketch").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1"), f"{folder}/heads")
-    shared = stored(found.hint("merge").join(heads, "sketch").select("nth", "sketch", "head", "node"), f"{folder}/shared")
+    # sizes go with the sketches, so that texts of unequal length don't become pairs at all
+    found = profiles.select(F.struct("node", "size").alias("at"), F.posexplode("found").alias("nth", "sketch"))
+    heads = stored(found.groupBy("sketch").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch", "head"), f"{folder}/heads")
+    shared = found.hint("merge").join(heads, "sketch").select("nth", "sketch", F.col("head.node").alias("head"), F.col("at.node").alias("node"), _as_long(F.col("head.size"), F.col("at.size"), similarity).alias("as_long"))
+    shared = stored(shared, f"{folder}/shared")
 
     def open_pairs(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.distinct().hint("merge").join(_bounds(profiles, "a"), "a").hint("merge").join(_bounds(profiles, "b"), "b")
         return stored(both.where(_like("a", "b", similarity)).select("a", "b"), f"{folder}/{name}")
 
     with_root = lambda df, roots, node, root: df.hint("merge").join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
-    heads_of = shared.where("node <> head").select("nth", F.col("head").alias("a"), F.col("node").alias("b"))
+    heads_of = shared.where("node <> head AND as_long").select("nth", F.col("head").alias("a"), F.col("node").alias("b"))
     first = open_pairs(heads_of.where(F.col("nth") < FIRST).select("a", "b"), "first")
     links = stored(verified(first, texts, similarity), f"{folder}/links1")
     roots = stored(components(links, f"{folder}/stars1"), f"{folder}/roots1")
