@@ -79,3 +79,18 @@ def test_dimensions_stages_and_bodies(spark, tmp_path):
     attempts = spark.createDataFrame([("s1", 4), ("s2", 0), ("s3", None)], "source_id string, size long")
     got = {r.source_id: r.body for r in state.attempt_facts(attempts, state.read_bodies(spark, str(tmp_path / "raw"))).collect()}
     assert got == {"s1": "ok �", "s2": "", "s3": None}
+
+
+def test_markers_and_final_addresses(spark, tmp_path):
+    from tidewatch.sources import state
+
+    folder = f"{tmp_path}/marks"
+    assert state.read_marker(spark, folder, "discovery") is None
+    state.write_marker(spark, folder, "discovery", "2024-01-01", 1)
+    state.write_marker(spark, folder, "discovery", "2024-01-08", 2)
+    state.write_marker(spark, folder, "discovery", "2024-01-09", 2)
+    assert state.read_marker(spark, folder, "discovery") == "2024-01-09"
+    attempts = spark.createDataFrame([("a", 3, "u", "v"), ("b", 0, "u", ""), ("c", None, None, None)], "source_id string, size long, requested string, final string")
+    bodies = spark.createDataFrame([("a", "xyz", 3, "h")], "source_id string, body string, size long, sha256 string")
+    got = {r.source_id: (r.body, r.final_url) for r in state.attempt_facts(attempts, bodies).collect()}
+    assert got == {"a": ("xyz", "v"), "b": ("", "u"), "c": (None, None)}
