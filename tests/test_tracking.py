@@ -62,3 +62,12 @@ def test_cells_and_notes(spark):
     empty = F.lit(None).cast("string")
     note = T.notes(empty, F.lit(None).cast("boolean"), empty, empty, empty, F.lit(True), empty, F.lit("changed"))
     assert [tuple(x) for x in df.select(note).first()[0]] == [("", "page changed on the source")]
+
+
+def test_every_new_row_of_the_pin_query_is_fresh(spark):
+    from tidewatch.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    new = catalog.both_boards(spark, sf)[1].count()
+    today = catalog.pins_refresh(spark, sf).where(F.col("deadline") == "2024-03-05").count()
+    assert today == new
