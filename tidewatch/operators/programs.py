@@ -21,17 +21,19 @@ def covering(targets: DataFrame, watched: DataFrame) -> DataFrame:
     exploded, so the join is an equality.
     """
     known = watched.select(F.col("source_id").alias("known"), F.lit(True).alias("there"))
-    named = targets.where("coalesce(source_id, '') <> ''").join(known, F.col("source_id") == F.col("known"), "left")
+    named = targets.where("coalesce(source_id, '') <> ''").hint("merge").join(known, F.col("source_id") == F.col("known"), "left")
     explicit = named.select("target_id", "source_id", F.when(F.col("there"), "explicit").otherwise("dangling").alias("how"))
     parents = targets.where("coalesce(source_id, '') = ''").select("target_id", F.posexplode(urls.prefixes(urls.canonical(F.col("url")))).alias("up", "path"))
     pages = watched.select("source_id", "ord", urls.canonical(F.col("url")).alias("path")).where(F.contains("path", F.lit("/")))
-    met = parents.where("path <> ''").hint("merge").join(pages, "path").withColumn("n", F.row_number().over(Window.partitionBy("target_id").orderBy("up", "ord")))
-    return explicit.unionByName(met.where("n = 1").select("target_id", "source_id", F.when(F.col("up") == 0, "same page").otherwise("parent page").alias("how")))
+    # of the pages of one path only the first can cover anything, so no path pairs all of its targets with all of its pages
+    first = pages.groupBy("path").agg(F.min_by("source_id", "ord").alias("source_id"))
+    met = parents.where("path <> ''").hint("merge").join(first, "path").groupBy("target_id").agg(F.min_by(F.struct("source_id", "up"), "up").alias("x")).select("target_id", "x.*")
+    return explicit.unionByName(met.select("target_id", "source_id", F.when(F.col("up") == 0, "same page").otherwise("parent page").alias("how")))
 
 
 def partitioned(targets: DataFrame, covered: DataFrame) -> DataFrame:
     """Every target with why it is left out of hand checking (covered) or kept ("" or a warning); none vanishes."""
-    out = targets.join(covered.withColumnRenamed("source_id", "by"), "target_id", "left")
+    out = targets.hint("merge").join(covered.withColumnRenamed("source_id", "by"), "target_id", "left")
     why = F.when(F.col("how").isNull(), "").when(F.col("how") == "dangling", "kept: names a source that is not there").otherwise(F.concat(F.lit("covered by "), "by"))
     return out.withColumn("why", why)
 
