@@ -1,6 +1,9 @@
 """Steps whose work must grow with their input and not with the pairs of a key."""
 
+from pyspark.sql import functions as F
+
 from tidewatch.operators import programs as PG
+from tidewatch.sources import feeds, tables
 
 
 def join_rows(df) -> int:
@@ -27,3 +30,13 @@ def test_pages_of_one_path_are_not_paired_with_its_targets(spark):
     found = PG.covering(targets, watched)
     assert join_rows(found) <= 2 * 200
     assert {tuple(r) for r in found.collect()} == {(k, "p0", "same page") for k in range(200)}
+
+
+def test_headers_of_a_table_are_found_once(spark):
+    body = "<table><tr><th>Company</th><th>Role</th></tr>" + "".join(f"<tr><td>F&#x2013;{k}</td><td>R</td></tr>" for k in range(20)) + "</table>"
+    found = tables.html_tables(spark.createDataFrame([("s", "## A\n" + body)], "source_id string, text string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    exploded = next(k for k, line in enumerate(plan) if "Generate" in line)
+    assert not [line for line in plan[:exploded] if "<th" in line]
+    rows = found.orderBy("row_no").collect()
+    assert [r.cells for r in rows] == [{"Company": f"F–{k}", "Role": "R"} for k in range(20)]

@@ -11,6 +11,7 @@ from tidewatch.operators.snapshot import carried_entity, with_ordinals
 
 _SEPARATOR = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$"
 _HEADING = r"^#{1,6}\s+(.*)$"
+_TD = r"(?is)<td\b[^>]*>(.*?)</td>"
 
 
 def _row_map(headers: Column, cells: Column) -> Column:
@@ -49,10 +50,11 @@ def html_tables(docs: DataFrame) -> DataFrame:
     parts = docs.select("source_id", F.posexplode(F.split("text", r"(?m)^(?=#{1,6}\s)")).alias("part", "text"))
     heading = stable_heading(F.regexp_extract("text", r"(?m)\A#{1,6}\s+(.*)$", 1))
     tables = parts.select("source_id", "part", heading.alias("heading"), F.posexplode(F.regexp_extract_all("text", F.lit(r"(?is)<table\b.*?</table>"), F.lit(0))).alias("n", "body"))
-    every = lambda tag: F.transform(F.regexp_extract_all("body", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1)), clean_cell)
-    rows = tables.select("source_id", "part", "n", "heading", every("th").alias("headers"), F.posexplode(F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))).alias("k", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<td\b[^>]*>(.*?)</td>"), F.lit(1)), clean_cell)
-    filled = rows.withColumn("cells", cells).where(F.size("cells") > 0)
+    headers = F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<th\b[^>]*>(.*?)</th>"), F.lit(1)), clean_cell)
+    # a column of the table before its rows are exploded: beside the explode it would search the whole table for each row
+    headed = tables.select("source_id", "part", "n", "heading", headers.alias("headers"), F.regexp_extract_all("body", F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1)).alias("trs"))
+    rows = headed.select("source_id", "part", "n", "heading", "headers", F.posexplode("trs").alias("k", "tr")).where(F.col("tr").rlike(_TD))
+    filled = rows.withColumn("cells", F.transform(F.regexp_extract_all("tr", F.lit(_TD), F.lit(1)), clean_cell))
     table_id = F.concat_ws("/", F.col("part").cast("string"), F.array_join("headers", "|"))
     return filled.select("source_id", table_id.alias("table_id"), "heading", "headers", (F.col("part") * 1_000_000 + F.col("n") * 10_000 + F.col("k")).alias("row_no"), _row_map(F.col("headers"), F.col("cells")).alias("cells"))
 
