@@ -40,3 +40,10 @@ def test_headers_of_a_table_are_found_once(spark):
     assert not [line for line in plan[:exploded] if "<th" in line]
     rows = found.orderBy("row_no").collect()
     assert [r.cells for r in rows] == [{"Company": f"F–{k}", "Role": "R"} for k in range(20)]
+
+
+def test_a_feed_is_parsed_once_for_its_shape(spark):
+    bodies = spark.createDataFrame([('{"jobs": [{"a": 1}]}',), ('{"jobs": [1]}',), ("x",), ('{"jobs": {}}',), ('{"a": 1}',), ('{"jobs": [], "errors": [1]}',), ("[]",), (None,)], "body string")
+    found = bodies.select(feeds.shape_error(F.col("body"), "jobs").alias("error"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parse_json") + found._jdf.queryExecution().optimizedPlan().toString().count("parseJson") <= 1
+    assert [r.error for r in found.collect()] == ["", "a member is not an object", "not JSON", "not a list", "no jobs", "the feed reports an error", "not an object", "not JSON"]

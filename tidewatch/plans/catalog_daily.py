@@ -12,7 +12,7 @@ from tidewatch.operators import rank as R
 from tidewatch.operators import snapshot as SN
 from tidewatch.plans import daily, jobs
 from tidewatch.plans.catalog import AS_OF, BOARDS, LINES, boards, query, table
-from tidewatch.session import work_folder
+from tidewatch.session import stored, work_folder
 
 INSIGHT = "Insight programme now open"
 
@@ -50,7 +50,8 @@ def raw_day(spark, sf_dir) -> dict:
     feeds = by.select(name.alias("source_id"), F.lit(0).alias("page_no"), F.when(k % 7 == 5, '{"error": "gone"}').otherwise(F.col("body")).alias("body"))
     p = table(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("source_id"), "page_id", F.coalesce("html", F.lit("")).alias("html"))
     html = F.when(F.col("page_id") % 7 == 0, F.concat(F.lit(f"<p>{INSIGHT}</p>"), "html")).otherwise(F.col("html"))
-    lines = p.select("source_id", "page_id", text.page_lines(F.col("html")).alias("lines"))
+    # stored, as yesterday's lines are: within the filter below a page would be cleaned anew for each of its lines
+    lines = stored(p.select("source_id", "page_id", text.page_lines(F.col("html")).alias("lines")), work_folder(spark, "yesterday"))
     old_lines = lines.select("source_id", F.when(F.col("page_id") % 5 == 0, F.filter("lines", lambda x: x != F.get("lines", F.lit(1)))).otherwise(F.col("lines")).alias("lines"))
     ks = o.select("k").distinct()
     row = lambda df, i, method, program: df.select(i.alias("source_id"), method.alias("method"), F.lit("").alias("url"), program.alias("program_names"), F.lit("high").alias("signal"), F.lit(None).cast("int").alias("min_rows"), F.lit(None).cast("int").alias("min_sections"))

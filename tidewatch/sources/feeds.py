@@ -29,15 +29,19 @@ def _truthy(v: Column) -> Column:
 
 def shape_error(body: Column, collection: str, paged: bool = False) -> Column:
     """"" for a feed of the right shape, else what is wrong with it. In a paged feed a missing collection is the end."""
-    v = F.try_parse_json(body)
-    members = F.try_variant_get(v, "$" + (f".{collection}" if collection else ""), "variant")
-    listed = F.try_variant_get(v, "$" + (f".{collection}" if collection else ""), "array<variant>")
-    junk = F.exists(listed, lambda x: F.coalesce(_kind(x), F.lit("VOID")) != "OBJECT")
-    out = F.when(v.isNull(), "not JSON")
-    if collection:
-        out = out.when(_kind(v) != "OBJECT", "not an object").when(_truthy(F.try_variant_get(v, "$.error", "variant")) | _truthy(F.try_variant_get(v, "$.errors", "variant")), "the feed reports an error")
-        out = out.when(members.isNull(), "" if paged else f"no {collection}")
-    return out.when(_kind(members) != "ARRAY", "not a list").when(F.coalesce(junk, F.lit(False)), "a member is not an object").otherwise("")
+    path = "$" + (f".{collection}" if collection else "")
+
+    def said(v: Column) -> Column:
+        members = F.try_variant_get(v, path, "variant")
+        junk = F.exists(F.try_variant_get(v, path, "array<variant>"), lambda x: F.coalesce(_kind(x), F.lit("VOID")) != "OBJECT")
+        out = F.when(v.isNull(), "not JSON")
+        if collection:
+            out = out.when(_kind(v) != "OBJECT", "not an object").when(_truthy(F.try_variant_get(v, "$.error", "variant")) | _truthy(F.try_variant_get(v, "$.errors", "variant")), "the feed reports an error")
+            out = out.when(members.isNull(), "" if paged else f"no {collection}")
+        return out.when(_kind(members) != "ARRAY", "not a list").when(F.coalesce(junk, F.lit(False)), "a member is not an object").otherwise("")
+
+    # a variable, so that a body is parsed once and not for each question
+    return F.get(F.transform(F.array(F.try_parse_json(body)), said), F.lit(0))
 
 
 def paging_error(pages: DataFrame) -> DataFrame:
