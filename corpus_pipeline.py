@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatch.llm import decontaminate, exact_dedup, kneser_ney, mixing, order_minhash
-from tidewatch.session import stored, work_folder
+from tidewatch.session import released, removed, stored, work_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,4 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs, f"{folder}/{k}")
+            if k:
+                removed(spark, f"{folder}/{k - 1}")
+            released(spark)
     return docs

@@ -1,9 +1,12 @@
+import os
 import random
 
 import numpy as np
 
+from tidewatch.llm import exact_dedup
 from tidewatch.llm import order_minhash as M
 from tidewatch.llm.flat import mixed
+from tidewatch.session import shared_folder
 
 WORDS = [f"w{i}" for i in range(2000)]
 
@@ -92,3 +95,19 @@ def test_recall_at_the_link_test(docs_of):
     got = {r.doc_id: r.class_id for r in M.near_classes(docs_of(texts)).collect()}
     assert len(want) > 140 and sum(got[i] == got[i + 1] for i in want) >= 0.99 * len(want)
     assert all(M.similar(texts[i], texts[got[i]]) for i in got)
+
+
+def test_spent_tables_are_deleted(docs_of, tmp_path):
+    rng = random.Random(5)
+    base = [[f"w{rng.randint(0, 500)}" for _ in range(60)] for _ in range(8)]
+    docs = docs_of([" ".join(edited(rng, base[k % 8], k % 4)) for k in range(40)])
+    folder = f"{tmp_path}/near"
+    rows = M.near_classes(docs, folder=folder).collect()
+    assert len(rows) == 40 and len({r.class_id for r in rows}) == 8
+    left = {d for d, _, names in os.walk(folder) if any(x.endswith(".parquet") for x in names)}
+    assert left == {f"{folder}/marked"}
+    assert M.deduplicated(docs, folder=f"{tmp_path}/filter").count() == 8
+    shared = shared_folder(docs.sparkSession).removeprefix("file://") + "/tidewatch"
+    before = set(os.listdir(shared))
+    assert exact_dedup.deduplicated(docs).count() + M.deduplicated(docs).count() > 8
+    assert {x.split("-")[0] for x in set(os.listdir(shared)) - before} <= {"marks", "numbered"}

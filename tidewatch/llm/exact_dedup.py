@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.llm.flat import chosen, numbered
-from tidewatch.session import stored, work_folder
+from tidewatch.session import released, removed, stored, work_folder
 
 SPACES = " \t\n\x0b\x0c\r"
 SHARD_DIGESTS = 100_000
@@ -157,6 +157,8 @@ def exact_groups(docs: DataFrame, is_history=None, folder: str | None = None, ro
     docs, row_id = numbered(docs, row_id)
     rows = stored(digested(docs, row_id).withColumn("old", old), f"{folder}/rows")
     groups = stored(grouped(rows.where("old"), rows.where("NOT old"), folder), f"{folder}/groups")
+    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("past", "hash", "news")])
+    released(docs.sparkSession)
     # a digest may stand on a third of the rows: a merge join, whose large partitions Spark splits
     joined = rows.hint("merge").join(groups, "digest")
     return joined.select(
@@ -172,7 +174,10 @@ def exact_groups(docs: DataFrame, is_history=None, folder: str | None = None, ro
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated texts, columns as they were."""
     docs, row_id = numbered(docs)
-    marks = stored(exact_groups(docs, row_id=row_id).select("row_id", "kept"), work_folder(docs.sparkSession, "marks"))
+    own = work_folder(docs.sparkSession, "exact")
+    marks = stored(exact_groups(docs, folder=own, row_id=row_id).select("row_id", "kept"), work_folder(docs.sparkSession, "marks"))
+    removed(docs.sparkSession, own)
+    released(docs.sparkSession)
     return chosen(docs, row_id, marks.where("kept"))
 
 

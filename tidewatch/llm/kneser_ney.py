@@ -296,7 +296,10 @@ def classified(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, s
 def filtered(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``docs`` without rejected rows, columns as they were."""
     docs, row_id = numbered(docs)
-    marks = stored(classified(docs, labels, row_id=row_id, **options), work_folder(docs.sparkSession, "marks"))
+    own = work_folder(docs.sparkSession, "kneser_ney")
+    marks = stored(classified(docs, labels, row_id=row_id, **{"folder": own, **options}), work_folder(docs.sparkSession, "marks"))
+    removed(docs.sparkSession, own)
+    released(docs.sparkSession)
     return chosen(docs, row_id, marks.where("kept"))
 
 

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators.components import components
 from tidewatch.llm.flat import chosen, chunks, mixed, normal_words, numbered, shingles, words
-from tidewatch.session import stored, work_folder
+from tidewatch.session import released, removed, stored, work_folder
 
 K = 2
 SKETCHES = 56
@@ -217,7 +217,8 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n: int = SKETCHES, picks: int = PICKS, folder: str | None = None, row_id: str | None = None) -> DataFrame:
     """row_id, doc_id, class_id, class_size, first (one row of each class) for each row of ``docs``."""
-    folder = folder or work_folder(docs.sparkSession, "near")
+    spark = docs.sparkSession
+    folder = folder or work_folder(spark, "near")
     text = normal_words(F.col("text"))
     docs, row_id = numbered(docs, row_id)
     rows = docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("words"))
@@ -225,41 +226,59 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     nodes = stored(keys.groupBy("digest").agg(F.min("row_id").alias("node")), f"{folder}/nodes")
     chosen = rows.select(F.col("row_id").alias("node"), "words").join(nodes.select("node").hint("shuffle_hash"), "node", "left_semi")
     texts = stored(chosen, f"{folder}/texts")
+    released(spark)
     profiles = stored(_sketched(texts, k, n, picks), f"{folder}/sketches")
     # sizes go with the sketches, so that texts of unequal length don't become pairs at all
     found = profiles.select(F.struct("node", "size").alias("at"), F.posexplode("found").alias("nth", "sketch"))
     heads = stored(found.groupBy("sketch").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("sketch", "head"), f"{folder}/heads")
+    released(spark)
     shared = found.hint("merge").join(heads, "sketch").select("nth", "sketch", F.col("head.node").alias("head"), F.col("at.node").alias("node"), _as_long(F.col("head.size"), F.col("at.size"), similarity).alias("as_long"))
     shared = stored(shared, f"{folder}/shared")
+    # sketches are read no more; only sizes and bit maps are
+    profiles = stored(profiles.select("node", "size", "maps"), f"{folder}/profiles")
+    removed(spark, f"{folder}/sketches", f"{folder}/heads")
+    released(spark)
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        """``df`` written; the shuffles that made it, of pairs and of texts, are let go before the next ones."""
+        out = stored(df, f"{folder}/{name}")
+        released(spark)
+        return out
 
     def open_pairs(pairs: DataFrame, name: str) -> DataFrame:
         both = pairs.distinct().hint("merge").join(_bounds(profiles, "a"), "a").hint("merge").join(_bounds(profiles, "b"), "b")
-        return stored(both.where(_like("a", "b", similarity)).select("a", "b"), f"{folder}/{name}")
+        return kept(both.where(_like("a", "b", similarity)).select("a", "b"), name)
 
     with_root = lambda df, roots, node, root: df.hint("merge").join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
     heads_of = shared.where("node <> head AND as_long").select("nth", F.col("head").alias("a"), F.col("node").alias("b"))
     first = open_pairs(heads_of.where(F.col("nth") < FIRST).select("a", "b"), "first")
-    links = stored(verified(first, texts, similarity), f"{folder}/links1")
-    roots = stored(components(links, f"{folder}/stars1"), f"{folder}/roots1")
+    links = kept(verified(first, texts, similarity), "links1")
+    roots = kept(components(links, f"{folder}/stars1"), "roots1")
+    removed(spark, f"{folder}/stars1")
     # heads of the other sketches, for texts that aren't in their class yet; each of the bounds meets only those
     rest = heads_of.where(F.col("nth") >= FIRST).select("a", "b").distinct()
     rest = with_root(with_root(rest, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
     rest = open_pairs(rest.hint("merge").join(first, ["a", "b"], "left_anti"), "rest")
     tried = first.unionByName(rest)
-    links = stored(links.unionByName(verified(rest, texts, similarity)), f"{folder}/links")
+    links = kept(links.unionByName(verified(rest, texts, similarity)), "links")
     roots = components(links, f"{folder}/stars2")
     # texts of one sketch that are still apart: all pairs across classes that the bounds leave open, not tried before
-    rooted = stored(with_root(shared.select("sketch", "node"), roots, "node", "root"), f"{folder}/rooted")
+    rooted = kept(with_root(shared.select("sketch", "node"), roots, "node", "root"), "rooted")
+    removed(spark, *[f"{folder}/{x}" for x in ("shared", "links1", "roots1", "stars2")])
     apart = rooted.groupBy("sketch").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sketch")
     left = rooted.hint("merge").join(apart, "sketch", "left_semi")
-    left = stored(left.hint("merge").join(_bounds(profiles, "a"), F.col("node") == F.col("a")).drop("node"), f"{folder}/left")
+    left = kept(left.hint("merge").join(_bounds(profiles, "a"), F.col("node") == F.col("a")).drop("node"), "left")
+    removed(spark, f"{folder}/rooted", f"{folder}/profiles")
     other = left.select("sketch", F.col("root").alias("root_b"), *[F.col(c).alias(c[:-1] + "b") for c in left.columns if c == "a" or c.endswith("_a")])
     pairs = left.hint("merge").join(other, "sketch").where((F.col("root") < F.col("root_b")) & _like("a", "b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), f"{folder}/second")
-    more = stored(verified(pairs, texts, similarity), f"{folder}/links2")
+    pairs = kept(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), "second")
+    removed(spark, *[f"{folder}/{x}" for x in ("left", "first", "rest")])
+    more = kept(verified(pairs, texts, similarity), "links2")
+    removed(spark, f"{folder}/texts", f"{folder}/second")
     roots = components(links.unionByName(more), f"{folder}/classes")
     classed = nodes.hint("merge").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    marked = stored(keys.hint("merge").join(classed, "digest").select("row_id", "doc_id", "root"), f"{folder}/marked")
+    marked = kept(keys.hint("merge").join(classed, "digest").select("row_id", "doc_id", "root"), "marked")
+    removed(spark, *[f"{folder}/{x}" for x in ("keys", "nodes", "links", "links2", "classes")])
     # the least doc_id names the class, its least row is the one that stays; the class of a third of all rows is summed before it is dealt
     names = marked.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_id")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     return marked.hint("merge").join(names, "root").select("row_id", "doc_id", "class_id", "class_size", (F.col("row_id") == F.col("least.row_id")).alias("first"))
@@ -268,7 +287,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with one row of each class, columns as they were."""
     docs, row_id = numbered(docs)
-    marks = stored(near_classes(docs, row_id=row_id, **options), work_folder(docs.sparkSession, "marks"))
+    own = work_folder(docs.sparkSession, "near")
+    marks = stored(near_classes(docs, row_id=row_id, **{"folder": own, **options}), work_folder(docs.sparkSession, "marks"))
+    removed(docs.sparkSession, own)
+    released(docs.sparkSession)
     return chosen(docs, row_id, marks.where("first"))
 
 

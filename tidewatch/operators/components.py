@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import removed, stored
+from tidewatch.session import released, removed, stored
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -31,6 +31,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         step += 1
         current = stored(small, f"{folder}/small{step}")
         removed(spark, f"{folder}/large{step - 1}", f"{folder}/small{step - 1}")
+        released(spark)  # or the shuffles of all steps lie on disk together
         now = tuple(current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             break
