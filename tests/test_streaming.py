@@ -152,3 +152,58 @@ def test_stream_diff_without_broadcast_joins(spark, tmp_path):
     old, new = (spark.createDataFrame(versions(n), ROWS) for n in range(2))
     want = {r.change_id for r in SN.diff(old, new).collect()}
     assert got == want and want
+
+
+class FakeState:
+    """A processor's states in memory; counts the calls to them."""
+
+    def __init__(self):
+        self.value, self.items, self.calls = None, [], 0
+
+    def getValueState(self, *_):
+        return Held(self, "value")
+
+    def getListState(self, *_):
+        return Held(self, "items")
+
+
+class Held:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def get(self):
+        self.state.calls += 1
+        return getattr(self.state, self.name)
+
+    def update(self, new):
+        self.state.calls += 1
+        setattr(self.state, self.name, new)
+
+    put = update
+
+    def clear(self):
+        self.update([])
+
+
+def test_a_source_of_a_batch_is_cheap():
+    rng, state = random.Random(8), FakeState()
+    one = health.Health(timers=False)
+    one.init(state)
+    at = [None if k % 50 == 0 else k // 2 * health.HOUR for k in range(1, 201)]
+    log = [dict(attempt_id=k, ts=t, ok=rng.choice([True, False, False, None]) and t is not None, quarantined=rng.choice([True, False, None])) for k, t in enumerate(at, 1)]
+    rng.shuffle(log)
+    for a in range(0, 200, 20):
+        (last,) = one.handleInputRows(("s",), iter(log[a : a + 20]), None)
+    tried = [((-1 if r["ts"] is None else r["ts"]), r["attempt_id"], r["ok"]) for r in log if not r["quarantined"]]
+    good = max(x[:2] for x in tried if x[2])
+    want = (sum(not x[2] and x[:2] > good for x in tried), good[0], max(x[0] for x in tried))
+    assert (last["failures"], last["last_success"], last["last_attempt"]) == want
+    good_only = [dict(attempt_id=1, ts=health.HOUR, ok=True, quarantined=False)]
+    began, calls = time.process_time(), 0
+    for _ in range(2000):
+        state = FakeState()
+        one.init(state)
+        list(one.handleInputRows(("s",), iter(good_only), None))
+        calls = max(calls, state.calls)
+    # one read and one write, and no data frame for each source
+    assert calls == 2 and time.process_time() - began < 1

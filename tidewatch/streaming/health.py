@@ -5,9 +5,9 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidewatch.operators.health import AFTER, HOURS, MOST_HOURS
@@ -17,14 +17,19 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 OUTPUT = "source_id string, kind string, failures long, last_success timestamp, last_attempt timestamp, retry_after timestamp, attempt_id long, late long"
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 KEEP = 256
+HOUR = 3_600_000_000
+#: A time that isn't known: before all others.
+NEVER = -(1 << 63)
 _TIMES = ("last_success", "last_attempt", "retry_after")
-_RUN = "good_ts timestamp, good_id long, last_attempt timestamp, settled long, settled_ts timestamp, settled_id long, late long"
+_RUN = "good_ts long, good_id long, last_attempt long, settled long, settled_ts long, settled_id long, late long, listed long"
+_COLUMNS = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
-def backoff(failures: int) -> pd.Timedelta | None:
+def backoff(failures: int) -> int | None:
+    """Microseconds that a source waits after so many failures."""
     if failures < AFTER:
         return None
-    return pd.Timedelta(hours=HOURS[failures - AFTER] if failures - AFTER < len(HOURS) else MOST_HOURS)
+    return HOUR * (HOURS[failures - AFTER] if failures - AFTER < len(HOURS) else MOST_HOURS)
 
 
 class Health(StatefulProcessor):
@@ -38,7 +43,8 @@ class Health(StatefulProcessor):
     them any more; it changes nothing, is counted, and comes out as a row of kind ``late``.
 
     Rows of kind ``state`` are the state after a batch, of kind ``retry`` the end of a source's
-    backoff, by a timer in processing time.
+    backoff, by a timer in processing time. Times are microseconds. A source has few attempts in a
+    batch, so they are tuples: a data frame for each source would cost more than all else.
     """
 
     def __init__(self, keep: int = KEEP, timers: bool = True):
@@ -47,75 +53,65 @@ class Health(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.run = handle.getValueState("run", _RUN)
-        self.recent = handle.getListState("recent", "ts timestamp, id long")
-
-    def _get(self):
-        if not self.run.exists():
-            return [None, None, None, 0, None, None, 0], pd.DataFrame({"ts": pd.Series(dtype="datetime64[ns]"), "attempt_id": pd.Series(dtype="int64")})
-        kept = list(self.recent.get())
-        return list(self.run.get()), pd.DataFrame({"ts": pd.to_datetime(pd.Series([x[0] for x in kept], dtype="datetime64[ns]")), "attempt_id": pd.Series([x[1] for x in kept], dtype="int64")})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows))
-        new = new[~new["quarantined"].fillna(False).astype(bool)]
-        if new.empty:
+        self.recent = handle.getListState("recent", "ts long, id long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(NEVER if r["ts"] is None else r["ts"], r["attempt_id"], bool(r["ok"])) for r in rows if not r["quarantined"]]
+        if not new:
             return
-        (good_ts, good_id, last, settled, settled_ts, settled_id, late), failed = self._get()
-        ok = new[new["ok"].fillna(False).astype(bool)]
-        after = lambda df, ts, i: (df["ts"] > ts) | ((df["ts"] == ts) & (df["attempt_id"] > i))
-        unplaced = ok.iloc[:0]
+        good_ts, good_id, last, settled, settled_ts, settled_id, late, listed = self.run.get() or (None, None, NEVER, 0, None, None, 0, 0)
+        good = None if good_ts is None else (good_ts, good_id)
+        end = (settled_ts, settled_id)  # of the settled failures
+        failed = [(x[0], x[1]) for x in self.recent.get()] if listed else []
+        failed += [x[:2] for x in new if not x[2]]
+        ok, unplaced = [x[:2] for x in new if x[2]], []
         if settled:
-            above = after(ok, settled_ts, settled_id)
-            beyond = after(ok, good_ts, good_id) if good_ts is not None else pd.Series(True, index=ok.index)
-            unplaced, ok = ok[~above & beyond], ok[above | ~beyond]
+            unplaced = [x for x in ok if x <= end and (good is None or x > good)]
+            ok = [x for x in ok if x > end or (good is not None and x <= good)]
         late += len(unplaced)
-        failed = pd.concat([failed, new.loc[~new["ok"].fillna(False).astype(bool), ["ts", "attempt_id"]]])
-        if len(ok):
-            best = ok.sort_values(["ts", "attempt_id"]).iloc[-1]
-            if good_ts is None or (best["ts"], best["attempt_id"]) > (good_ts, good_id):
-                good_ts, good_id = best["ts"], int(best["attempt_id"])
-                if settled and (good_ts, good_id) > (settled_ts, settled_id):
-                    settled, settled_ts, settled_id = 0, None, None
-        if good_ts is not None:
-            failed = failed[after(failed, good_ts, good_id)]
-        failed = failed.sort_values(["ts", "attempt_id"])
+        if ok and (good is None or max(ok) > good):
+            good = max(ok)
+            if settled and good > end:
+                settled = 0
+        failed = sorted(x for x in failed if good is None or x > good)
         if settled:
             # a late failure among the settled ones is one more of them
-            below = ~after(failed, settled_ts, settled_id)
-            settled, failed = settled + int(below.sum()), failed[~below]
+            below = sum(x <= end for x in failed)
+            settled, failed = settled + below, failed[below:]
         if len(failed) > self.keep:
-            old, failed = failed.iloc[: -self.keep], failed.iloc[-self.keep :]
-            settled, settled_ts, settled_id = settled + len(old), old["ts"].iloc[-1], int(old["attempt_id"].iloc[-1])
-        newest = new["ts"].max()
-        last = newest if last is None else max(pd.Timestamp(last), newest)
+            old, failed = failed[: -self.keep], failed[-self.keep :]
+            settled, end = settled + len(old), old[-1]
+        if not settled:
+            end = (None, None)
+        last = max(last, *[x[0] for x in new])
+        self.run.update((*(good or (None, None)), last, settled, *end, late, len(failed)))
+        if failed:
+            self.recent.put(failed)
+        elif listed:
+            self.recent.clear()
         failures = settled + len(failed)
-        stamp = lambda x: None if x is None or pd.isna(x) else pd.Timestamp(x).to_pydatetime()
-        self.run.update((stamp(good_ts), good_id, stamp(last), settled, stamp(settled_ts), settled_id, late))
-        self.recent.put([(stamp(ts), int(i)) for ts, i in zip(failed["ts"], failed["attempt_id"], strict=True)]) if len(failed) else self.recent.clear()
         wait = backoff(failures)
-        until = last + wait if wait else None
+        until = last + wait if wait and last != NEVER else None
         if self.timers:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             if until is not None:
-                self.handle.registerTimer(int(pd.Timestamp(until).timestamp() * 1000))
-        yield self._rows(key, "state", failures, good_ts, last, until, [None], late)
-        if len(unplaced):
-            yield self._rows(key, "late", failures, good_ts, last, until, unplaced["attempt_id"].tolist(), late)
+                self.handle.registerTimer(until // 1000)
+        for kind, attempt in [("state", None), *[("late", x[1]) for x in unplaced]]:
+            yield self._row(key, kind, failures, good, last, until, attempt, late)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        (good_ts, _, last, settled, _, _, late), failed = self._get()
-        until = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-        yield self._rows(key, "retry", settled + len(failed), good_ts, last, until, [None], late)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        good_ts, good_id, last, settled, _, _, late, listed = self.run.get()
+        good = None if good_ts is None else (good_ts, good_id)
+        yield self._row(key, "retry", settled + listed, good, last, expiredTimerInfo.getExpiryTimeInMs() * 1000, None, late)
 
     def close(self) -> None:
         pass
 
     @staticmethod
-    def _rows(key, kind, failures, good, last, until, ids, late) -> pd.DataFrame:
-        n = len(ids)
-        out = pd.DataFrame({"source_id": [key[0]] * n, "kind": kind, "failures": failures, "last_success": [good] * n, "last_attempt": [last] * n, "retry_after": [until] * n, "attempt_id": pd.array(ids, "Int64"), "late": late})
-        return out.astype({c: "datetime64[ns]" for c in _TIMES})
+    def _row(key, kind, failures, good, last, until, attempt_id, late) -> Row:
+        known = lambda ts: None if ts == NEVER else ts
+        return _COLUMNS(key[0], kind, failures, known(good[0]) if good else None, known(last), until, attempt_id, late)
 
 
 def source_health(attempts: DataFrame, keep: int = KEEP, timers: bool = True) -> DataFrame:
@@ -125,5 +121,6 @@ def source_health(attempts: DataFrame, keep: int = KEEP, timers: bool = True) ->
     needs ``timers`` off; its rows still say when a source's backoff ends.
     The session's state store must be the one for keyed states and timers, ``STATE_STORE``.
     """
-    narrow = attempts.select("source_id", "attempt_id", "ts", "ok", "quarantined")
-    return narrow.groupBy("source_id").transformWithStateInPandas(Health(keep, timers), OUTPUT, "update", "processingTime" if timers else "none")
+    narrow = attempts.select("source_id", "attempt_id", F.unix_micros("ts").alias("ts"), "ok", "quarantined")
+    out = narrow.groupBy("source_id").transformWithState(Health(keep, timers), OUTPUT.replace("timestamp", "long"), "update", "processingTime" if timers else "none")
+    return out.withColumns({c: F.timestamp_micros(c) for c in _TIMES})
