@@ -65,3 +65,18 @@ def test_matches_brute_force(docs_of):
 
 def test_empty_table(docs_of):
     assert L.line_classes(docs_of([])).count() == 0
+
+
+def test_keys_of_ascii_and_other_lines_meet(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(40)).strip() + "xy"
+    lines = [base, base[:-1] + "é", "ü" + base[1:-1] + "é", base[:30] + base[31:], "é" * 12, "é" * 11]
+    nodes = L.with_letters(spark.createDataFrame(list(enumerate(lines)), "node long, line string"))
+    for r in nodes.collect():
+        assert [r.letters >> 6 * (9 - k) & 63 for k in range(10)] == [r.line.count(x) for x in L.LETTERS]
+    index = {(r.k, r.node) for r in L.keyed_parts(nodes, L.index_probes(2), 2).collect()}
+    met = {frozenset((r.node, n)) for r in L.keyed_parts(nodes, L.search_probes(2), 2).collect() for k, n in index if k == r.k and n != r.node}
+    want = {frozenset((a, b)) for a in range(6) for b in range(6) if a != b and distance(lines[a], lines[b]) <= 2}
+    assert want and want <= met
+    plan = L.keyed_parts(nodes, L.search_probes(2), 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UTF-32" not in plan

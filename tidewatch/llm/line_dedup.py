@@ -54,11 +54,6 @@ def key_of(line: Column) -> Column:
     return F.substring(F.unhex(F.sha2(line.cast("binary"), 256)), 1, 16)
 
 
-def coded(nodes: DataFrame) -> DataFrame:
-    """node, letters, l (code points) and the line with four bytes a code point, so that cutting it doesn't count characters anew."""
-    return nodes.select("node", "letters", F.encode("line", "UTF-32").alias("code")).select("node", "letters", "code", F.expr("octet_length(code) div 4").cast("int").alias("l"))
-
-
 def keyed_parts(nodes: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> DataFrame:
     """node, other, letters, k: a key for each probe (how much shorter the indexed line is, segment, shift) of each line.
 
@@ -66,14 +61,16 @@ def keyed_parts(nodes: DataFrame, probes: list[tuple[int, int, int]], edits: int
 
     Segments are even parts, the longer ones last. The probes are exploded first and one
     expression makes all keys: code for each of them would be too long to be compiled.
+    A segment is hashed as UTF-8. Where each code point is a byte it is cut from the bytes, without counting characters anew.
     """
     parts = edits + 1
     specs = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in probes])
-    each = coded(nodes).select("node", "letters", "l", "code", F.explode(specs).alias("p")).select("node", "letters", "l", "code", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
+    sizes = nodes.select("node", "letters", "line", F.length("line").alias("l"), F.octet_length("line").alias("bytes"))
+    each = sizes.select("node", "letters", "l", "bytes", "line", F.explode(specs).alias("p")).select("node", "letters", "l", "bytes", "line", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
     sized = each.select("*", F.expr(f"CAST(m div {parts} AS INT)").alias("even"), F.expr(f"m % {parts}").alias("longer"))
-    placed = sized.select("node", "letters", "l", "code", "m", "i", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
+    placed = sized.select("node", "letters", "l", "bytes", "line", "m", "i", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
     whole = placed.where("at >= 1 AND at + size - 1 <= l")
-    return whole.select("node", F.expr("IF(m < l, -1 - node, node)").alias("other"), "letters", F.expr("xxhash64(m, i, substring(code, at * 4 - 3, size * 4))").alias("k"))
+    return whole.select("node", F.expr("IF(m < l, -1 - node, node)").alias("other"), "letters", F.expr("xxhash64(m, i, IF(bytes = l, substring(CAST(line AS BINARY), at, size), CAST(substring(line, at, size) AS BINARY)))").alias("k"))
 
 
 def index_probes(edits: int) -> list[tuple[int, int, int]]:
@@ -138,10 +135,16 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
     return ended.select("a", "b", "n", found.alias("edits"))
 
 
-def letter_counts(line: Column) -> Column:
-    """Counts of ``LETTERS`` in a line, six bits each and modulo 64."""
-    counts = [(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x)))).cast("long").bitwiseAND(F.lit(63)) for x in LETTERS]
-    return reduce(lambda a, b: F.shiftleft(a, 6).bitwiseOR(b), counts)
+def with_letters(lines: DataFrame) -> DataFrame:
+    """``lines`` (line) with letters: counts of ``LETTERS`` in each line, six bits each and modulo 64.
+
+    Each letter is taken out of what the ones before it have left, so the commonest go first.
+    """
+    rest, counts = lines.withColumn("rest0", F.col("line")), []
+    for k, x in enumerate(LETTERS):
+        rest = rest.withColumn(f"rest{k + 1}", F.replace(F.col(f"rest{k}"), F.lit(x)))
+        counts.append((F.octet_length(f"rest{k}") - F.octet_length(f"rest{k + 1}")).cast("long").bitwiseAND(F.lit(63)))
+    return rest.select(*lines.columns, reduce(lambda a, b: F.shiftleft(a, 6).bitwiseOR(b), counts).alias("letters"))
 
 
 def counts_within(a: Column, b: Column, edits: int) -> Column:
@@ -187,11 +190,10 @@ def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT,
     docs, row_id = numbered(docs)
     lines = lines_of(docs, row_id).where("line <> ''")
     keyed = stored(lines.select("row_id", "doc_id", "line_no", key_of(F.col("line")).alias("key")), f"{folder}/keyed")
-    # written before they are numbered, so that each later scan gives a line the same number
-    distinct = stored(lines.where(F.length("line") >= per_edit - edits).select("line").distinct().withColumn("letters", letter_counts(F.col("line"))), f"{folder}/nodes")
+    # numbered once and written, so that each later scan gives a line the same number
+    distinct = with_letters(lines.where(F.length("line") >= per_edit - edits).select("line").distinct())
+    nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
     released(docs.sparkSession)
-    held, node = numbered(distinct)
-    nodes = held.select(F.col(node).alias("node"), "line", "letters")
     links = stored(near_pairs(nodes, folder, edits, per_edit), f"{folder}/links")
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links.select("a", "b"), f"{folder}/components")
