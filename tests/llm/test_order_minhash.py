@@ -111,3 +111,23 @@ def test_spent_tables_are_deleted(docs_of, tmp_path):
     before = set(os.listdir(shared))
     assert exact_dedup.deduplicated(docs).count() + M.deduplicated(docs).count() > 8
     assert {x.split("-")[0] for x in set(os.listdir(shared)) - before} <= {"marks", "numbered"}
+
+
+def test_wide_maps_settle_long_texts(spark):
+    """Unlike long texts of common words, which the fixed map leaves open; pairs within the limit stay, also across widths."""
+    rng = random.Random(15)
+    number = lambda t: mixed(np.array([int(w[1:]) for w in t], np.uint64))
+    texts, alike, unlike = [], [], []
+    for size in [40, 70, 240, 250, 1000, 1030, 2500] * 6:
+        base = [rng.choice(WORDS) for _ in range(size)]
+        more = edited(rng, base, size // 12) + [rng.choice(WORDS) for _ in range(size // 12)]
+        if M.similar(" ".join(base), " ".join(more)):
+            alike.append((len(texts), len(texts) + 1))
+        unlike.append((len(texts), len(texts) + 2))
+        texts += [base, more, [rng.choice(WORDS) for _ in range(size)]]
+    profiles = spark.createDataFrame([(k, len(t), M.wide_map(number(t)).tolist()) for k, t in enumerate(texts)], "node long, size long, wide array<long>")
+    left = {tuple(r) for r in M.wide_open(spark.createDataFrame(alike + unlike, "a long, b long"), profiles, M.SIMILARITY).collect()}
+    assert len(alike) > 36 and any(len(M.wide_map(number(texts[a]))) < len(M.wide_map(number(texts[b]))) for a, b in alike)
+    assert left == set(alike)
+    fixed = [[M.bit_map(number(texts[i])).view(np.uint64) for i in p] for p in unlike if len(texts[p[0]]) >= 1000]
+    assert all(max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) < 200 for x, y in fixed)

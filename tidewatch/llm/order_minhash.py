@@ -14,7 +14,9 @@ of 2-word k-mers, and agreement in one of the sketches with a probability over 0
 Candidates are verified by alignment of their words inside the band that
 ``SIMILARITY`` allows: similar means ``1 - edits / longer length >= SIMILARITY``.
 Exact bounds settle most unequal pairs before: on length and, with a bit map of each
-text's words, on the words that one text has and the other lacks, before texts are joined to pairs.
+text's words, on the words that one text has and the other lacks, before texts are joined to pairs. A bit map of fixed
+size says nothing of long texts, whose unlike pairs share a sketch most often; the pairs that it leaves open meet a
+wide one, as large as the text needs, with a bit for each occurrence of a word.
 
 Within a sketch's texts first each is verified against the least one, which joins
 groups of copies of any size in as many pairs as they have members: in the first ``FIRST``
@@ -52,8 +54,8 @@ SHORT, SHORT_SKETCHES, SHORT_PICKS = 24, 24, 3
 SIMILARITY = 0.8
 #: Sketches whose pairs with the least text are verified first; k-mers that are ranked at once.
 FIRST, PIECE = 6, 1 << 16
-#: Longs in the bit map of a text's words.
-MAPS = 8
+#: Longs in the bit map of a text's words; bits for each word of a text in its wide one, at least.
+MAPS, WIDE = 8, 2
 
 
 def labelled(prints: np.ndarray) -> np.ndarray:
@@ -120,6 +122,16 @@ def bit_map(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def wide_map(hashes: np.ndarray) -> np.ndarray:
+    """A bit for each word and its occurrence number, in a power of two of longs, so that a wider map folds to a narrower one."""
+    size = 64
+    while size < WIDE * len(hashes):
+        size *= 2
+    bits = np.zeros(size, np.uint8)
+    bits[(labelled(hashes) >> np.uint64(20)) % np.uint64(size)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def edits(a: list[str], b: list[str], most: int) -> int:
     """Edit distance of two word lists if at most ``most``, else ``most + 1``.
 
@@ -160,22 +172,23 @@ def similar(a: str, b: str, least: float = SIMILARITY) -> bool:
 
 
 def _sketched(texts: DataFrame, k: int, n: int, picks: int) -> DataFrame:
-    """node, size (words), maps (see ``bit_map``), found (sketches) of each text."""
+    """node, size (words), maps (see ``bit_map``), wide (see ``wide_map``), found (sketches) of each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, maps, size = [], [], []
+            found, maps, wide, size = [], [], [], []
             for _, data, offsets in chunks(batch.column(1)):
                 hashes, first = words(data, offsets)
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     found.append(all_sketches(hashes[a:b], k, n, picks))
                     maps.append(bit_map(hashes[a:b]))
+                    wide.append(wide_map(hashes[a:b]))
                 size.append(np.diff(first))
             size = np.concatenate([np.zeros(0, np.int64), *size])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(maps, longs), pa.array(found, longs)], ["node", "size", "maps", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(maps, longs), pa.array(wide, longs), pa.array(found, longs)], ["node", "size", "maps", "wide", "found"])
 
-    return texts.mapInArrow(cut, "node long, size long, maps array<long>, found array<long>")
+    return texts.mapInArrow(cut, "node long, size long, maps array<long>, wide array<long>, found array<long>")
 
 
 def _most(longer: Column, similarity: float) -> Column:
@@ -199,6 +212,23 @@ def _bounds(profiles: DataFrame, end: str) -> DataFrame:
     return profiles.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), *[F.get("maps", F.lit(i)).alias(f"m{i}_{end}") for i in range(MAPS)])
 
 
+def _folded(a: Column, b: Column) -> Column:
+    """The wide map ``a``, its halves laid over each other if it is wider than ``b``."""
+    half = F.size(a) / F.lit(2)
+    over = F.zip_with(F.slice(a, F.lit(1), half.cast("int")), F.slice(a, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseOR(y))
+    return F.when(F.size(a) > F.size(b), over).otherwise(a)
+
+
+def wide_open(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) that the wide maps leave open. Maps of more than twice the other's width, as a low limit allows, leave a pair open."""
+    wide = lambda end: profiles.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), F.col("wide").alias(f"wide_{end}"))
+    both = pairs.hint("merge").join(wide("a"), "a").hint("merge").join(wide("b"), "b")
+    x, y = _folded(F.col("wide_a"), F.col("wide_b")), _folded(F.col("wide_b"), F.col("wide_a"))
+    lacks = lambda x, y: F.aggregate(F.zip_with(x, y, lambda v, w: F.bit_count(v.bitwiseAND(F.bitwise_not(w)))), F.lit(0), lambda s, v: s + v)
+    most = _most(F.greatest("size_a", "size_b"), similarity)
+    return both.where((F.size(x) != F.size(y)) | (lacks(x, y) <= most) & (lacks(y, x) <= most)).select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """The pairs (a, b) whose texts (node, words) are similar."""
 
@@ -235,7 +265,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     shared = found.hint("merge").join(heads, "sketch").select("nth", "sketch", F.col("head.node").alias("head"), F.col("at.node").alias("node"), _as_long(F.col("head.size"), F.col("at.size"), similarity).alias("as_long"))
     shared = stored(shared, f"{folder}/shared")
     # sketches are read no more; only sizes and bit maps are
-    profiles = stored(profiles.select("node", "size", "maps"), f"{folder}/profiles")
+    profiles = stored(profiles.select("node", "size", "maps", "wide"), f"{folder}/profiles")
     removed(spark, f"{folder}/sketches", f"{folder}/heads")
     released(spark)
 
@@ -259,6 +289,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     rest = heads_of.where(F.col("nth") >= FIRST).select("a", "b").distinct()
     rest = with_root(with_root(rest, roots, "a", "root_a"), roots, "b", "root_b").where("root_a <> root_b").select("a", "b")
     rest = open_pairs(rest.hint("merge").join(first, ["a", "b"], "left_anti"), "rest")
+    rest = kept(wide_open(rest, profiles, similarity), "rest_wide")
     tried = first.unionByName(rest)
     links = kept(links.unionByName(verified(rest, texts, similarity)), "links")
     roots = components(links, f"{folder}/stars2")
@@ -268,13 +299,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     apart = rooted.groupBy("sketch").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sketch")
     left = rooted.hint("merge").join(apart, "sketch", "left_semi")
     left = kept(left.hint("merge").join(_bounds(profiles, "a"), F.col("node") == F.col("a")).drop("node"), "left")
-    removed(spark, f"{folder}/rooted", f"{folder}/profiles")
+    removed(spark, f"{folder}/rooted", f"{folder}/rest")
     other = left.select("sketch", F.col("root").alias("root_b"), *[F.col(c).alias(c[:-1] + "b") for c in left.columns if c == "a" or c.endswith("_a")])
     pairs = left.hint("merge").join(other, "sketch").where((F.col("root") < F.col("root_b")) & _like("a", "b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = kept(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), "second")
-    removed(spark, *[f"{folder}/{x}" for x in ("left", "first", "rest")])
+    pairs = kept(wide_open(pairs, profiles, similarity), "second_wide")
+    removed(spark, *[f"{folder}/{x}" for x in ("left", "first", "rest_wide", "second", "profiles")])
     more = kept(verified(pairs, texts, similarity), "links2")
-    removed(spark, f"{folder}/texts", f"{folder}/second")
+    removed(spark, f"{folder}/texts", f"{folder}/second_wide")
     roots = components(links.unionByName(more), f"{folder}/classes")
     classed = nodes.hint("merge").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     marked = kept(keys.hint("merge").join(classed, "digest").select("row_id", "doc_id", "root"), "marked")
