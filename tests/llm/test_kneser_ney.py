@@ -113,3 +113,24 @@ def test_toxic_words_in_clean_prose_go(docs_of, spark, tmp_path):
     docs = docs_of(texts)
     got = {r.doc_id: r.kept for r in K.classified(docs, labels).collect()}
     assert sum(got[i] for i in range(140)) >= 137 and not any(got[i] for i in range(140, 160))
+
+
+def test_training_and_lookup_take_few_tasks(spark, docs_of, corpus, tmp_path):
+    """Shuffles of 40 partitions: tables of one and two bytes and counts of counts aren't dealt over all of them, so the driver has fewer tasks to keep."""
+    texts, _ = corpus
+    docs, tracker = docs_of(texts), spark.sparkContext.statusTracker()
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(x) for x in names]
+    try:
+        for x, value in zip(names, ("40", "false"), strict=True):
+            spark.conf.set(x, value)
+        spark.sparkContext.setJobGroup("kneser-ney-tasks", "")
+        probs, backs = K.train(docs.select("text"), f"{tmp_path}/m", 4)
+        wanted = K.gram_counts(docs.select("text")).select("gram")
+        assert K.resolved(wanted, probs, backs).where("logp IS NULL").count() == 0 < wanted.count()
+        stages = {s for j in tracker.getJobIdsForGroup("kneser-ney-tasks") for s in tracker.getJobInfo(j).stageIds}
+        assert sum(i.numTasks for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks) < 600
+    finally:
+        for x, value in zip(names, before, strict=True):
+            spark.conf.set(x, value)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -6,7 +6,9 @@ totals are aggregations and joins over n-gram tables, sharded by n-gram. Every t
 document counts. For scoring, documents are dealt to blocks of about ``BLOCK_BYTES``. A
 block asks for its distinct n-grams; what all blocks ask for is joined with the sharded tables
 order by order, and each block meets the probabilities of its own n-grams only. So no
-task or driver holds the model, and what is gathered grows with the documents.
+task or driver holds the model, and what is gathered grows with the documents. Only tables of
+n-grams of one and two bytes, 65,536 rows at most for any input, are made by a few tasks and broadcast:
+each join less is a stage less, and the driver keeps figures of every task of every stage.
 
 Perplexity is ``exp(-mean log p)`` over a document's bytes. A few words that trusted text
 doesn't have move the mean of a long document little, so its worst passage is scored too:
@@ -47,9 +49,21 @@ SLACK = 1.0
 PASSAGE = 4
 #: Upper ends, in bytes, of the classes of length within which limits are taken.
 LENGTH_CLASSES = (64, 256, 1024)
+#: N-grams of up to so many bytes are at most ``256 ** SMALL_ORDER``; tasks that make their tables.
+SMALL_ORDER, FEW_TASKS = 2, 4
 _PAD = 10
 
 
+def _few(table: DataFrame, n: int) -> DataFrame:
+    """A table by n-grams of ``n`` bytes, in few partitions if it is bound to be small."""
+    return table.coalesce(FEW_TASKS) if n <= SMALL_ORDER else table
+
+
+def _met(table: DataFrame, n: int) -> DataFrame:
+    """A table by n-grams of ``n`` bytes, as the other side of a join."""
+    return F.broadcast(table) if n <= SMALL_ORDER else table.hint("merge")
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """For each byte the number that it and the ``order - 1`` bytes before it in its row make; rows begin after line ends."""
     n = len(data)
@@ -93,20 +107,21 @@ def train(texts: DataFrame, folder: str, order: int = ORDER) -> tuple[list[DataF
     seen = {order: stored(gram_counts(texts, order), f"{folder}/counts{order}")}
     for n in range(order - 1, 0, -1):  # below the top, how many different bytes come before
         low = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("gram")
-        seen[n] = stored(seen[n + 1].select(low).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), f"{folder}/counts{n}")
+        seen[n] = stored(_few(seen[n + 1].select(low).groupBy("gram").agg(F.count(F.lit(1)).alias("c")), n), f"{folder}/counts{n}")
     probs, backs, lower = [], [], None
     for n in range(1, order + 1):
-        few = {r["c"]: r["n"] for r in seen[n].where("c <= 4").groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
-        d1, d2, d3 = discounts([few.get(k, 0) for k in (1, 2, 3, 4)])
+        d1, d2, d3 = discounts(list(seen[n].agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()))
         cut = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
         rows = seen[n].select("gram", "c", F.shiftright("gram", 8).alias("context"), cut.alias("cut"))
-        back = stored(rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back")), f"{folder}/back{n}")
-        rows = rows.hint("merge").join(back, "context").withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
+        # a context has 256 n-grams at most, so they go with its totals instead of being joined with them
+        back = rows.groupBy("context").agg(F.sum("c").alias("total"), (F.sum("cut") / F.sum("c")).alias("back"), F.collect_list(F.struct("gram", "c", "cut")).alias("seen"))
+        back = stored(_few(back, n), f"{folder}/back{n}")
+        rows = back.select("total", "back", F.inline("seen")).withColumn("low", F.col("gram").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1)))
         own = (F.col("c") - F.col("cut")) / F.col("total")
         if lower is None:
             rows = rows.select("gram", (own + F.col("back") / 256).alias("p"))
         else:
-            rows = rows.hint("merge").join(lower.select(F.col("gram").alias("low"), F.col("p").alias("p_low")), "low").select("gram", (own + F.col("back") * F.col("p_low")).alias("p"))
+            rows = rows.join(_met(lower.select(F.col("gram").alias("low"), F.col("p").alias("p_low")), n - 1), "low").select("gram", (own + F.col("back") * F.col("p_low")).alias("p"))
         lower = stored(rows, f"{folder}/p{n}")
         probs.append(lower)
         backs.append(back.select("context", "back"))
@@ -121,10 +136,10 @@ def resolved(grams_: DataFrame, probs: list[DataFrame], backs: list[DataFrame])
     order = len(probs)
     rows = grams_.select("gram", F.lit(1.0).alias("weight"), F.lit(None).cast("double").alias("p"))
     for n in range(order, 0, -1):
-        part = F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
+        part = F.col("gram") if n == order else F.col("gram").bitwiseAND(F.lit((1 << 8 * n) - 1))
         rows = rows.withColumns({"part": part, "ctx": F.shiftright(part, 8)})
-        rows = rows.hint("merge").join(probs[n - 1].select(F.col("gram").alias("part"), F.col("p").alias("p_n")), "part", "left")
-        rows = rows.hint("merge").join(backs[n - 1].withColumnRenamed("context", "ctx"), "ctx", "left")
+        rows = rows.join(_met(probs[n - 1].select(F.col("gram").alias("part"), F.col("p").alias("p_n")), n), "part", "left")
+        rows = rows.join(_met(backs[n - 1].withColumnRenamed("context", "ctx"), n - 1), "ctx", "left")
         open_ = F.col("p").isNull()
         weight = F.when(open_ & F.col("p_n").isNull(), F.col("weight") * F.coalesce("back", F.lit(1.0))).otherwise(F.col("weight"))
         rows = rows.select("gram", weight.alias("weight"), F.coalesce("p", F.col("weight") * F.col("p_n")).alias("p"))
