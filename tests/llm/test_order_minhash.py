@@ -131,3 +131,36 @@ def test_wide_maps_settle_long_texts(spark):
     assert left == set(alike)
     fixed = [[M.bit_map(number(texts[i])).view(np.uint64) for i in p] for p in unlike if len(texts[p[0]]) >= 1000]
     assert all(max(np.bitwise_count(x & ~y).sum(), np.bitwise_count(y & ~x).sum()) < 200 for x, y in fixed)
+
+
+def test_bags_never_hide_a_similar_pair():
+    rng = random.Random(16)
+    number = lambda t: mixed(np.array([int(w[1:]) for w in t], np.uint64))
+    for _ in range(300):
+        a = [rng.choice(WORDS[:40]) for _ in range(rng.randint(1, 120))]
+        b = edited(rng, a, rng.randint(0, len(a))) + [rng.choice(WORDS) for _ in range(rng.randint(0, 5))]
+        lacks = len(np.setdiff1d(M.bag(number(b)), M.bag(number(a))))
+        assert lacks <= M.edits(a, b, len(a) + len(b))
+        assert lacks == sum((M.Counter(b) - M.Counter(a)).values())
+
+
+def test_pairs_of_a_group_grow_with_its_size(docs_of, monkeypatch):
+    """Texts with a passage in common and 23 % own words, which no class joins, and a chain of copies of copies."""
+    rng, plain, made = random.Random(17), M.verified, []
+
+    def verified(pairs, *rest):
+        made[-1] += pairs.count()
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(M, "verified", verified)
+    passage = [rng.choice(WORDS) for _ in range(230)]
+    group = [passage + [f"own{k}x{i}" for i in range(70)] for k in range(160)]
+    chain = [[rng.choice(WORDS) for _ in range(200)]]
+    while len(chain) < 30:
+        chain.append(edited(rng, chain[-1], 16))
+    for size in (80, 160):
+        made.append(0)
+        texts = [" ".join(t) for t in chain + group[:size]]
+        got = {r.doc_id: r.class_id for r in M.near_classes(docs_of(texts)).collect()}
+        assert got == {i: 0 if i < len(chain) else i for i in range(len(texts))}
+    assert made[1] < 2.5 * made[0], made

@@ -21,8 +21,11 @@ wide one, as large as the text needs, with a bit for each occurrence of a word.
 Within a sketch's texts first each is verified against the least one, which joins
 groups of copies of any size in as many pairs as they have members: in the first ``FIRST``
 sketches each, in the others where the two are still in different classes. Where
-texts of one sketch are then still in different classes, every pair across classes is
-verified too. So no link between candidates is lost, and a class never makes all its pairs.
+texts of one sketch are then still in different classes, each meets three more of them,
+of the least and of the greatest class and one by hash: classes that are linked all over become one in
+as many pairs as they have members. Of what is then still apart every pair
+across classes is verified that the bounds and, within the join, the words themselves (``bag``) leave open.
+So no link between candidates is lost, a class never makes all its pairs, and texts that share only a passage make none.
 
 Classes are connected components; the class id is the least ``doc_id`` in it. Texts
 shorter than K words have one k-mer, all their words. Texts without words (null,
@@ -132,6 +135,11 @@ def wide_map(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
+def bag(hashes: np.ndarray) -> np.ndarray:
+    """A number for each word with its occurrence number. Equal numbers of unequal words hide edits and never add any."""
+    return (labelled(hashes) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def edits(a: list[str], b: list[str], most: int) -> int:
     """Edit distance of two word lists if at most ``most``, else ``most + 1``.
 
@@ -191,6 +199,20 @@ def _sketched(texts: DataFrame, k: int, n: int, picks: int) -> DataFrame:
     return texts.mapInArrow(cut, "node long, size long, maps array<long>, wide array<long>, found array<long>")
 
 
+def _bagged(texts: DataFrame) -> DataFrame:
+    """node, words, bag (see ``bag``) of each text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bags = []
+            for _, data, offsets in chunks(batch.column(1)):
+                hashes, first = words(data, offsets)
+                bags += [bag(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags, pa.list_(pa.int32()))], ["node", "words", "bag"])
+
+    return texts.select("node", "words").mapInArrow(cut, "node long, words string, bag array<int>")
+
+
 def _most(longer: Column, similarity: float) -> Column:
     """The edits that the limit allows to texts of which the longer one has so many words."""
     return F.floor(longer * (1 - similarity) + 1e-6)
@@ -207,6 +229,26 @@ def _like(a: str, b: str, similarity: float) -> Column:
     return _as_long(F.col(f"size_{a}"), F.col(f"size_{b}"), similarity) & (lacks(a, b) <= most) & (lacks(b, a) <= most)
 
 
+def _bags_like(a: str, b: str, similarity: float) -> Column:
+    """Whether the words that the longer text has and the other lacks (size and bag columns of these endings) leave a pair open."""
+    longer = F.col(f"size_{a}") >= F.col(f"size_{b}")
+    x, y = F.col(f"bag_{a}"), F.col(f"bag_{b}")
+    lacks = F.size(F.array_except(F.when(longer, x).otherwise(y), F.when(longer, y).otherwise(x)))
+    return lacks <= _most(F.greatest(f"size_{a}", f"size_{b}"), similarity)
+
+
+def _other(left: DataFrame) -> DataFrame:
+    """``left`` (sketch, root, a and columns that end in _a) as the other side of its pairs."""
+    return left.select(F.col("sketch").alias("sketch_b"), F.col("root").alias("root_b"), *[F.col(c).alias(c[:-1] + "b") for c in left.columns if c == "a" or c.endswith("_a")])
+
+
+def _stars(left: DataFrame) -> DataFrame:
+    """Three texts of each sketch, as ``_other`` names them: one of its least class, one of its greatest and one by hash."""
+    row = F.struct("root", *[c for c in left.columns if c == "a" or c.endswith("_a")])
+    some = left.groupBy("sketch").agg(F.min(row).alias("x"), F.max(row).alias("y"), F.min(F.struct(F.xxhash64("a").alias("by"), row.alias("row"))).alias("z"))
+    return _other(some.select("sketch", F.explode(F.array_distinct(F.array("x", "y", "z.row"))).alias("row")).select("sketch", "row.*"))
+
+
 def _bounds(profiles: DataFrame, end: str) -> DataFrame:
     """Node, size and map columns with names of this ending."""
     return profiles.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}"), *[F.get("maps", F.lit(i)).alias(f"m{i}_{end}") for i in range(MAPS)])
@@ -293,24 +335,42 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, k: int = K, n:
     tried = first.unionByName(rest)
     links = kept(links.unionByName(verified(rest, texts, similarity)), "links")
     roots = components(links, f"{folder}/stars2")
-    # texts of one sketch that are still apart: all pairs across classes that the bounds leave open, not tried before
-    rooted = kept(with_root(shared.select("sketch", "node"), roots, "node", "root"), "rooted")
+    # texts of one sketch that are still apart, while one of another class is open to them; the sketch's head has met them all
+    rooted = kept(with_root(shared.where("node <> head").select("sketch", "node"), roots, "node", "root"), "rooted")
     removed(spark, *[f"{folder}/{x}" for x in ("shared", "links1", "roots1", "stars2")])
     apart = rooted.groupBy("sketch").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("sketch")
     left = rooted.hint("merge").join(apart, "sketch", "left_semi")
     left = kept(left.hint("merge").join(_bounds(profiles, "a"), F.col("node") == F.col("a")).drop("node"), "left")
-    removed(spark, f"{folder}/rooted", f"{folder}/rest")
-    other = left.select("sketch", F.col("root").alias("root_b"), *[F.col(c).alias(c[:-1] + "b") for c in left.columns if c == "a" or c.endswith("_a")])
-    pairs = left.hint("merge").join(other, "sketch").where((F.col("root") < F.col("root_b")) & _like("a", "b", similarity)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = kept(pairs.hint("merge").join(tried, ["a", "b"], "left_anti"), "second")
-    pairs = kept(wide_open(pairs, profiles, similarity), "second_wide")
-    removed(spark, *[f"{folder}/{x}" for x in ("left", "first", "rest_wide", "second", "profiles")])
+    removed(spark, *[f"{folder}/{x}" for x in ("rooted", "rest", "profiles")])
+    open_to = (F.col("sketch") == F.col("sketch_b")) & (F.col("root") != F.col("root_b")) & _like("a", "b", similarity)
+    left = kept(left.hint("merge").join(_other(left), open_to, "left_semi"), "open")
+    some = left.select(F.col("a").alias("node")).distinct()
+    texts = kept(_bagged(texts.join(some.hint("shuffle_hash"), "node", "left_semi")), "bags")
+    removed(spark, f"{folder}/left", f"{folder}/texts")
+
+    def untried(pairs: DataFrame, tried: DataFrame, name: str) -> DataFrame:
+        each = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[c for c in pairs.columns if c not in ("a", "b")]).distinct()
+        return kept(each.hint("merge").join(tried, ["a", "b"], "left_anti"), name)
+
+    # three of each sketch meet the others; a class takes the name of the least one it is found linked with
+    stars = left.hint("merge").join(_stars(left), open_to).select("a", "b", F.least("root", "root_b").alias("root"), F.greatest("root", "root_b").alias("other"))
+    stars = untried(stars, tried, "stars")
+    star_links = kept(verified(stars.select("a", "b"), texts, similarity), "star_links")
+    met = stars.hint("merge").join(star_links, ["a", "b"])
+    names = met.groupBy(F.col("other").alias("root")).agg(F.min("root").alias("name"))
+    left = left.hint("merge").join(names, "root", "left").withColumn("root", F.coalesce("name", "root")).drop("name")
+    # then all pairs across classes that the bounds and the words themselves leave open
+    left = kept(left.hint("merge").join(texts.select("node", F.col("bag").alias("bag_a")), F.col("a") == F.col("node")).drop("node"), "bagged")
+    removed(spark, f"{folder}/open")
+    across = (F.col("sketch") == F.col("sketch_b")) & (F.col("root") < F.col("root_b")) & _like("a", "b", similarity) & _bags_like("a", "b", similarity)
+    pairs = untried(left.hint("merge").join(_other(left), across).select("a", "b"), tried.unionByName(stars.select("a", "b")), "second")
+    removed(spark, *[f"{folder}/{x}" for x in ("bagged", "first", "rest_wide", "stars")])
     more = kept(verified(pairs, texts, similarity), "links2")
-    removed(spark, f"{folder}/texts", f"{folder}/second_wide")
-    roots = components(links.unionByName(more), f"{folder}/classes")
+    removed(spark, f"{folder}/bags", f"{folder}/second")
+    roots = components(links.unionByName(star_links).unionByName(more), f"{folder}/classes")
     classed = nodes.hint("merge").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     marked = kept(keys.hint("merge").join(classed, "digest").select("row_id", "doc_id", "root"), "marked")
-    removed(spark, *[f"{folder}/{x}" for x in ("keys", "nodes", "links", "links2", "classes")])
+    removed(spark, *[f"{folder}/{x}" for x in ("keys", "nodes", "links", "star_links", "links2", "classes")])
     # the least doc_id names the class, its least row is the one that stays; the class of a third of all rows is summed before it is dealt
     names = marked.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row_id")).alias("least"), F.count(F.lit(1)).alias("class_size"))
     return marked.hint("merge").join(names, "root").select("row_id", "doc_id", "class_id", "class_size", (F.col("row_id") == F.col("least.row_id")).alias("first"))
