@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewatch.functions import text, urls
 from tidewatch.operators import coverage as C
 from tidewatch.operators import programs as PG
 from tidewatch.operators.components import components
@@ -60,3 +61,29 @@ def test_coverage_joins_equal_titles_by_a_star(spark, tmp_path):
     assert roots == {k: 3 if k % 4 == 3 else 0 for k in range(400)}
     plain = [(a, b, len(set(words[a % 4]) & set(words[b % 4]))) for a in range(40) for b in range(a + 1, 40) if (a % 4 == 3) == (b % 4 == 3)]
     assert sorted(map(tuple, C.overlap_pairs(rows.where("row < 40")).collect())) == plain
+
+
+def test_coverage_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for x in batches:
+            made.add(x.num_rows)
+            yield x
+
+    schema = "row long, ids array<string>, block string, words array<string>, is_reference boolean, is_aggregator boolean, title string"
+    rows = spark.createDataFrame([(k, [f"x:{k % 50}"], "f", ["a", f"w{k % 7}"], k % 3 == 0, k % 2 == 0, "quant" if k < 60 else "") for k in range(200)], schema).mapInArrow(counted, schema)
+    found = C.coverage(rows, {"all": F.lit(True), "quant": F.col("title") == "quant"}, folder=f"{tmp_path}/coverage").collect()
+    assert made.value == 200
+    assert sorted(map(tuple, found)) == [("all", 1, 1, 0, 0, 0.0), ("quant", 1, 1, 0, 0, 0.0)]
+
+
+def test_parts_of_a_link_and_a_key_are_found_once(spark):
+    rows = spark.createDataFrame([("https://www.x.org/a/12345/", "Acme: (new) b", "acme", False), (None, None, None, None), ("https://a.greenhouse.io/x?gh_jid=77777", "[F](u) / T", "", None), ("https://h.org/a_R-123", "A / B / C", "A", True)], "url string, key string, company string, is_list boolean")
+    who = text.employer_position(F.col("key"), F.col("company"), F.col("is_list"))
+    found = rows.select(urls.url_identity(F.col("url")).alias("id"), who.alias("who")).select("id", "who.company", "who.position")
+    plan = found._jdf.queryExecution().analyzed().toString()
+    assert plan.count("gh_jid") == 1 and plan.count("[A-Za-z][A-Za-z0-9+.-]*://") <= 3
+    assert sorted(map(tuple, found.collect()), key=str) == [
+        ("greenhouse.io:77777", "F", "T"), ("h.org:R-123", "A", "B / C"), ("x.org:12345", "acme", "page updated (new) b"), (None, "", None),
+    ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,6 +27,11 @@ _COUNT_UNIT = r"(?i)^(days?|hours?|hrs?|minutes?|mins?|seconds?|secs?)$"
 STOP_WORDS = ("intern", "internship", "internships", "summer", "the", "and", "for", "with", "2027", "2026", "program", "programme", "co-op", "coop")
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that it reads more than once, as a variable: the value is made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\x{A0}]+", " "))
 
@@ -166,10 +172,22 @@ def employer_position(key: Column, company: Column, is_list: Column) -> Column:
     Else the company is the given one, whose name is taken off the key's beginning.
     """
     linked, plain = r"^\[([^\]]+)\]\([^)]*\)\s*/\s*(.+)$", r"^(.+?)\s+/\s+(.+)$"
-    pair = lambda pattern: F.struct(*[F.trim(unlinked(F.regexp_extract(key, pattern, k))).alias(n) for k, n in ((1, "company"), (2, "position"))])
-    bare, name = unlinked(key), F.coalesce(company, F.lit(""))
-    named = (name != "") & F.startswith(F.lower(bare), F.lower(name))
-    rest = F.btrim(F.when(named, F.regexp_replace(F.substring(bare, F.length(name) + 1, F.length(bare)), r"^[ \-\u2013\u2014:\u00b7,]+", "")).otherwise(bare))
-    rest = F.when(F.startswith(rest, F.lit("(")) & named, F.concat(F.lit("page updated "), rest)).otherwise(rest)
-    other = F.struct(name.alias("company"), F.when(rest == "", "page updated").otherwise(rest).alias("position"))
-    return F.when(key.rlike(linked), pair(linked)).when(F.coalesce(is_list, F.lit(False)) & key.rlike(plain), pair(plain)).otherwise(other)
+    name = F.coalesce(company, F.lit(""))
+    updated = F.lit("page updated")
+
+    def pair(key: Column, pattern: str) -> Column:
+        return F.named_struct(*[x for n, k in (("company", 1), ("position", 2)) for x in (F.lit(n), F.trim(unlinked(F.regexp_extract(key, pattern, k))))])
+
+    def rest(bare: Column) -> Column:
+        taken = (name != "") & F.startswith(F.lower(bare), F.lower(name))
+        left = F.btrim(F.when(taken, F.regexp_replace(F.substring(bare, F.length(name) + 1, F.length(bare)), r"^[ \-\u2013\u2014:\u00b7,]+", "")).otherwise(bare))
+        return named(left, lambda x: F.when(x == "", updated).when(F.startswith(x, F.lit("(")) & taken, F.concat(updated, F.lit(" "), x)).otherwise(x))
+
+    def of(key: Column) -> Column:
+        other = F.named_struct(F.lit("company"), name, F.lit("position"), named(unlinked(key), rest))
+        # what a pattern can't match without is looked for first
+        by_link = F.startswith(key, F.lit("[")) & key.rlike(linked)
+        by_bar = F.coalesce(is_list, F.lit(False)) & F.contains(key, F.lit("/")) & key.rlike(plain)
+        return F.when(by_link, pair(key, linked)).when(by_bar, pair(key, plain)).otherwise(other)
+
+    return named(key, of)

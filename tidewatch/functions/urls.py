@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tidewatch.functions.text import named
+
 _URL = r"https?://[^\s)\]<>]+"
 _UUID = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"
 _ERROR_PATH = r"(?i)/(404|410|error|not.?found|page.?not.?found|gone)(/|$|\.)"
@@ -37,22 +39,23 @@ def redirect_verdict(requested: Column, final: Column) -> Column:
 
 def _board(at: Column) -> Column:
     """One name for hosts that serve the same board."""
-    return F.when(F.endswith(at, F.lit("greenhouse.io")), "greenhouse.io").otherwise(at)
+    return named(at, lambda x: F.when(F.endswith(x, F.lit("greenhouse.io")), "greenhouse.io").otherwise(x))
 
 
 def url_identity(url: Column, digits: int = 5) -> Column:
-    """The posting that a link names, or null: the first of job parameter, UUID, requisition and trailing number."""
-    at, rest = _board(host(url)), F.regexp_extract(url, r"^https?://[^/]+(/.*)$", 1)
-    last = F.regexp_extract(rest, r"([^/]+)/*$", 1)
-    job = F.regexp_extract(rest, rf"[?&]gh_jid=(\d{{{digits},}})", 1)
-    uuid = F.regexp_extract(rest, f"({_UUID})", 1)
-    requisition = F.regexp_extract(rest, r"(?i)_(R-?\d{3,})\b", 1)
-    return (
-        F.when(job != "", F.concat(F.lit("greenhouse.io:"), job))
-        .when(uuid != "", F.concat_ws(":", at, F.lower(uuid)))
-        .when(requisition != "", F.concat_ws(":", at, F.upper(requisition)))
-        .when(last.rlike(rf"^\d{{{digits},}}$"), F.concat_ws(":", at, last))
-    )
+    """The posting that a link names, or null: the first of job parameter, UUID, requisition and trailing number.
+
+    Each is named as it is found: written out, a chain of conditions would look for each again where it is used.
+    """
+    at = _board(host(url))
+
+    def of(rest: Column) -> Column:
+        number = named(F.regexp_extract(rest, r"([^/]+)/*$", 1), lambda x: F.when(x.rlike(rf"^\d{{{digits},}}$"), F.concat_ws(":", at, x)))
+        requisition = named(F.regexp_extract(rest, r"(?i)_(R-?\d{3,})\b", 1), lambda x: F.when(x != "", F.concat_ws(":", at, F.upper(x))).otherwise(number))
+        uuid = named(F.regexp_extract(rest, f"({_UUID})", 1), lambda x: F.when(x != "", F.concat_ws(":", at, F.lower(x))).otherwise(requisition))
+        return named(F.regexp_extract(rest, rf"[?&]gh_jid=(\d{{{digits},}})", 1), lambda x: F.when(x != "", F.concat(F.lit("greenhouse.io:"), x)).otherwise(uuid))
+
+    return named(F.regexp_extract(url, r"^https?://[^/]+(/.*)$", 1), of)
 
 
 def posting_identities(*texts: Column, digits: int = 5) -> Column:

@@ -253,22 +253,24 @@ def coverage_of(snapshots: DataFrame, sources: DataFrame, listings: DataFrame, d
 
     Rows of lists name the employer themselves; bulk boards are named by their section, others by their source's program.
     """
+    folder = folder or work_folder(snapshots.sparkSession, "coverage")
     names = sources.select("source_id", "method", F.get(F.split(F.coalesce("program_names", F.lit("")), r"\|"), F.lit(0)).alias("program"))
     rows = snapshots.hint("merge").join(names, "source_id")
     is_list = F.col("method") == TABLES
     # a row's title and place: "Title @ Place"
     title = F.regexp_replace("key", r"\s@\s.*$", "")
-    who = employer_position(title, F.coalesce("program", F.lit("")), is_list)
+    rows = rows.select("*", title.alias("title")).withColumn("who", employer_position(F.col("title"), F.coalesce("program", F.lit("")), is_list))
     flat = rows.select(
         F.xxhash64("source_id", "section", "key").bitwiseAND(F.lit((1 << 62) - 1)).alias("row"),
         "url",
-        who["company"].alias("company"),
-        F.when(is_list, who["position"]).otherwise(title).alias("title"),
+        F.col("who.company").alias("company"),
+        F.when(is_list, F.col("who.position")).otherwise(F.col("title")).alias("title"),
         F.when(F.contains("key", F.lit(" @ ")), F.regexp_extract("key", r"\s@\s(.*)$", 1)).otherwise("").alias("location"),
         is_list.alias("is_aggregator"),
     )
-    ours = C.comparable(flat).drop("location")
+    # written, as the filter would find each row's title anew for each of its patterns
+    ours = C.comparable(stored(flat, f"{folder}/named")).drop("location")
     theirs = feeds.reference_postings(listings).where(F.col("title").rlike("(?iu)" + recruiting.COVERAGE_STUDENT))
-    theirs = theirs.withColumn("row", F.xxhash64("company", "title", "url").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1))).dropDuplicates(["row"])
+    theirs = theirs.distinct().withColumn("row", F.xxhash64("company", "title", "url").bitwiseOR(F.lit(1 << 62)).bitwiseAND(F.lit((1 << 63) - 1)))
     scopes = {"fields": F.col("title").rlike("(?iu)" + recruiting.COVERAGE_FIELDS), "quant": F.col("title").rlike("(?iu)" + recruiting.COVERAGE_QUANT)}
     return jobs.measure_coverage(ours, theirs, scopes, date, folder)
