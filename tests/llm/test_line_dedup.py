@@ -80,3 +80,26 @@ def test_keys_of_ascii_and_other_lines_meet(spark):
     assert want and want <= met
     plan = L.keyed_parts(nodes, L.search_probes(2), 2)._jdf.queryExecution().optimizedPlan().toString()
     assert "UTF-32" not in plan
+
+
+def test_only_lines_that_share_a_segment_are_counted(spark, tmp_path):
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(100)]
+    lines += [lines[0] + "x", "y" + lines[1][1:], lines[2][:30] + lines[2][31:], lines[3][:20] + lines[4][20:]]
+    nodes = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    got = {frozenset((r.a, r.b)): r.edits for r in L.near_pairs(nodes, f"{tmp_path}/near").collect()}
+    assert got == {frozenset((0, 100)): 1, frozenset((1, 101)): distance(lines[1], lines[101]), frozenset((2, 102)): 1}
+    texts = spark.read.parquet(f"{tmp_path}/near/texts")
+    assert "letters" in texts.columns
+    assert set(range(3)) <= {r.node for r in texts.collect()} <= {0, 1, 2, 3, 4, 100, 101, 102, 103}
+
+
+def test_what_lines_begin_and_end_with_is_not_aligned(spark):
+    rng = random.Random(5)
+    same = "".join(rng.choice("abé") for _ in range(9000))
+    pairs = [(same + "x" + same[:3000], same + "yz" + same[:3000]), ("aaaa", "aaa"), ("abab" * 5, "ab" + "abab" * 5), ("", "a"), (same, "q" + same), (same[:50] + "bb" + same[:50], "a" + same[:50] + "bb" + same[:49])]
+    rows = spark.createDataFrame([(i, -i, *x) for i, x in enumerate(pairs)], "a long, b long, x string, y string")
+    want = {0: 2, 1: 1, 2: 2, 3: 1, 4: 1, 5: 2}
+    assert {r.a: r.edits for r in L.distances(rows, 2).collect()} == want
+    plan = L.distances(rows, 2)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("reverse(") >= 4

@@ -11,8 +11,9 @@ The join (Li et al., Pass-Join, 2011): a line of length l is cut into ``EDITS +
 segments, so one at least stands unedited in a line near it. Segments are indexed by
 length, number and content. A line probes the index of each length from its own
 down to ``EDITS`` less with the substrings that the multi-match-aware bounds allow for each
-segment. Lines of many texts that share a segment would all meet; counts of ten letters, carried with each
-key, part those that no two edits could make equal within the join. What is left is
+segment. Most keys are of one line only: they go before anything more is made of their lines.
+Lines of many texts that share a segment would all meet; counts of ten letters of the lines that
+are left part those that no two edits could make equal within the join. What is left is
 verified, with its distance, by a banded bit-parallel automaton: a word for each
 number of edits holds the reachable diagonals of the band, and reading a
 character moves all diagonals at once.
@@ -26,7 +27,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.flat import numbered
@@ -35,6 +36,8 @@ from tidewatch.session import released, removed, stored, work_folder
 
 EDITS = 2
 PER_EDIT = 10
+#: What lines are trimmed of.
+BLANK = " \t\r"
 #: Common letters of Latin scripts. Any would be right; those that lines have part them best.
 LETTERS = "etanisrohd"
 #: Characters after which the automaton looks whether any state is left.
@@ -47,7 +50,9 @@ PARTS = (4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1)
 def lines_of(docs: DataFrame, row_id: str) -> DataFrame:
     """row_id, doc_id, line_no, line of each row."""
     cut = docs.select(F.col(row_id).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
-    return cut.select("row_id", "doc_id", "line_no", F.btrim("line", F.lit(" \t\r")).alias("line"))
+    # trimming copies and measures a line, so it is left to those that have something to trim
+    blank = reduce(lambda a, b: a | b, [f("line", F.lit(c)) for c in BLANK for f in (F.startswith, F.endswith)])
+    return cut.select("row_id", "doc_id", "line_no", F.when(blank, F.btrim("line", F.lit(BLANK))).otherwise(F.col("line")).alias("line"))
 
 
 def key_of(line: Column) -> Column:
@@ -55,9 +60,10 @@ def key_of(line: Column) -> Column:
 
 
 def keyed_parts(nodes: DataFrame, probes: list[tuple[int, int, int]], edits: int) -> DataFrame:
-    """node, other, letters, k: a key for each probe (how much shorter the indexed line is, segment, shift) of each line.
+    """node, other, own, k: a key for each probe (how much shorter the indexed line is, segment, shift) of each line.
 
-    ``other`` is the node too, or -1 less it where the indexed line is shorter.
+    ``other`` is the node too, or -1 less it where the indexed line is shorter. ``own`` keys are those
+    of the line's own segments, which the index has too.
 
     Segments are even parts, the longer ones last. The probes are exploded first and one
     expression makes all keys: code for each of them would be too long to be compiled.
@@ -65,12 +71,12 @@ def keyed_parts(nodes: DataFrame, probes: list[tuple[int, int, int]], edits: int
     """
     parts = edits + 1
     specs = F.array(*[F.struct(F.lit(a).alias("less"), F.lit(i).alias("i"), F.lit(s).alias("shift")) for a, i, s in probes])
-    sizes = nodes.select("node", "letters", "line", F.length("line").alias("l"), F.octet_length("line").alias("bytes"))
-    each = sizes.select("node", "letters", "l", "bytes", "line", F.explode(specs).alias("p")).select("node", "letters", "l", "bytes", "line", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
+    sizes = nodes.select("node", "line", F.length("line").alias("l"), F.octet_length("line").alias("bytes"))
+    each = sizes.select("*", F.explode(specs).alias("p")).select("node", "l", "bytes", "line", (F.col("l") - F.col("p.less")).alias("m"), "p.i", "p.shift")
     sized = each.select("*", F.expr(f"CAST(m div {parts} AS INT)").alias("even"), F.expr(f"m % {parts}").alias("longer"))
-    placed = sized.select("node", "letters", "l", "bytes", "line", "m", "i", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
+    placed = sized.select("node", "l", "bytes", "line", "m", "i", "shift", F.expr(f"1 + even * i + greatest(0, longer - ({parts} - i)) + shift").alias("at"), F.expr(f"even + IF(i >= {parts} - longer, 1, 0)").alias("size"))
     whole = placed.where("at >= 1 AND at + size - 1 <= l")
-    return whole.select("node", F.expr("IF(m < l, -1 - node, node)").alias("other"), "letters", F.expr("xxhash64(m, i, IF(bytes = l, substring(CAST(line AS BINARY), at, size), CAST(substring(line, at, size) AS BINARY)))").alias("k"))
+    return whole.select("node", F.expr("IF(m < l, -1 - node, node)").alias("other"), F.expr("m = l AND shift = 0").alias("own"), F.expr("xxhash64(m, i, IF(bytes = l, substring(CAST(line AS BINARY), at, size), CAST(substring(line, at, size) AS BINARY)))").alias("k"))
 
 
 def index_probes(edits: int) -> list[tuple[int, int, int]]:
@@ -86,17 +92,21 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
     """a, b, n (code points of y), edits of ``pairs`` (a, b and lines x, y): the distance if at most ``edits``, else null.
 
     Bit ``edits + d`` of word e says that diagonal d (place in x less place in y) is
-    reached with e edits. What both lines begin with never needs an edit: it is left out
-    by comparing halved parts. The fold runs over ``STOP`` characters, and
+    reached with e edits. What both lines begin with and what both end with never needs an edit: it is left out
+    by comparing halved parts, of the lines and of their rests reversed. The fold runs over ``STOP`` characters, and
     over the rest only where a bit is left. Arrays are made by projections of their own:
     inside the fold they would be made anew for each character.
     """
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    cut = pairs.select("a", "b", "x", "y", F.length("x").alias("m"), F.length("y").alias("n"), F.lit(0).alias("p"))
-    for size in PARTS:
-        part = lambda c: F.substring(c, F.col("p") + 1, F.lit(size))  # noqa: B023, E731
-        cut = cut.withColumn("p", F.when(part("x") == part("y"), F.col("p") + size).otherwise(F.col("p")))
+    rest = lambda c: F.substring(c, F.col("p") + 1, F.length(c))
+    cut = pairs.select("a", "b", "x", "y", F.length("x").alias("m"), F.length("y").alias("n"))
+    for _ in ("beginning", "end"):
+        cut = cut.withColumn("p", F.lit(0))
+        for size in PARTS:
+            part = lambda c: F.substring(c, F.col("p") + 1, F.lit(size))  # noqa: B023, E731
+            cut = cut.withColumn("p", F.when(part("x") == part("y"), F.col("p") + size).otherwise(F.col("p")))
+        cut = cut.withColumns({"x": F.reverse(rest("x")), "y": F.reverse(rest("y"))})
 
     def letters(text: Column) -> Column:
         return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, ""))
@@ -122,12 +132,10 @@ def distances(pairs: DataFrame, edits: int) -> DataFrame:
         return read
 
     begin = F.array(*[F.lit(sum(1 << edits + d for d in range(e + 1))) for e in range(edits + 1)])
-    at = F.col("p") + 1
-    cut = cut.withColumns({"head_x": letters(F.substring("x", at, F.lit(STOP + edits))), "head_y": placed(F.substring("y", at, F.lit(STOP)))})
+    cut = cut.withColumns({"head_x": letters(F.substring("x", 1, STOP + edits)), "head_y": placed(F.substring("y", 1, STOP))})
     headed = cut.withColumn("head", F.aggregate("head_y", begin, step("head_x")))
     alive = F.exists("head", lambda w: w != 0)
-    rest = lambda c: F.substring(c, at, F.length(c))
-    headed = headed.withColumns({"all_x": F.when(alive, letters(rest("x"))), "all_y": F.when(alive, placed(rest("y")))})
+    headed = headed.withColumns({"all_x": F.when(alive, letters(F.col("x"))), "all_y": F.when(alive, placed(F.col("y")))})
     tail = F.slice("all_y", F.lit(STOP + 1), F.greatest(F.size("all_y") - STOP, F.lit(0)))
     ended = headed.select("a", "b", "m", "n", F.aggregate(tail, F.col("head"), step("all_x")).alias("ends"))
     last = F.get(F.array(*[F.lit(1 << r) for r in range(width)]), F.lit(edits) + F.col("m") - F.col("n"))
@@ -156,22 +164,41 @@ def counts_within(a: Column, b: Column, edits: int) -> Column:
     return reduce(lambda x, y: x + y, apart) <= 2 * edits
 
 
+def node_of(other: Column) -> Column:
+    return F.when(other < 0, -1 - other).otherwise(other)
+
+
+def shared_keys(nodes: DataFrame, folder: str, edits: int = EDITS) -> DataFrame:
+    """node, other, own, k: the keys (see :func:`keyed_parts`) that an indexed line has and some other line too.
+
+    A line's own segments are among its probes, so one row is both. The segments are dealt one after the other,
+    so that only the keys of one are on disk; what they leave is written.
+    """
+    by_key, node = Window.partitionBy("k"), node_of(F.col("other"))
+    for i in range(edits + 1):
+        keys = keyed_parts(nodes, [x for x in search_probes(edits) if x[1] == i], edits).select("other", "own", "k")
+        seen = keys.select("*", F.min(node).over(by_key).alias("least"), F.max(node).over(by_key).alias("most"), F.max("own").over(by_key).alias("indexed"))
+        seen.where("least < most AND indexed").select(node.alias("node"), "other", "own", "k").write.parquet(f"{folder}/shared/segment={i}")
+        released(nodes.sparkSession)
+    return nodes.sparkSession.read.schema("node long, other long, own boolean, k long").parquet(f"{folder}/shared")
+
+
 def near_pairs(nodes: DataFrame, folder: str, edits: int = EDITS, per_edit: int = PER_EDIT) -> DataFrame:
-    """a, b, edits: pairs of ``nodes`` (node, line, letters; lines distinct, nodes not negative) within the edits that their length allows.
+    """a, b, edits: pairs of ``nodes`` (node, line; lines distinct, nodes not negative) within the edits that their length allows.
 
-    The segments are joined one after the other, so that only the keys of one are on disk.
+    The lines that share a key with another one are left in ``folder``/texts (node, line, letters).
     """
     spark = nodes.sparkSession
-    for i in range(edits + 1):
-        index = keyed_parts(nodes, [x for x in index_probes(edits) if x[1] == i], edits).select("k", "node", F.col("letters").alias("index_letters"))
-        probe = keyed_parts(nodes, [x for x in search_probes(edits) if x[1] == i], edits).select("k", "other", "letters")
-        # lines of equal length meet in both orders, of which one is taken; a probe of a shorter length has a number below 0
-        met = probe.hint("merge").join(index, "k").where(((F.col("other") < 0) | (F.col("node") < F.col("other"))) & counts_within(F.col("letters"), F.col("index_letters"), edits))
-        met.select(F.col("node").alias("a"), F.when(F.col("other") < 0, -1 - F.col("other")).otherwise(F.col("other")).alias("b")).distinct().write.parquet(f"{folder}/candidates/segment={i}")
-        released(spark)
-    pairs = stored(spark.read.parquet(f"{folder}/candidates").select("a", "b").distinct(), f"{folder}/pairs")
-    ends = pairs.select(F.col("a").alias("node")).distinct().unionByName(pairs.select(F.col("b").alias("node")).distinct()).distinct()
-    texts = stored(nodes.select("node", "line").join(ends.hint("shuffle_hash"), "node", "left_semi"), f"{folder}/texts")
+    shared = shared_keys(nodes, folder, edits)
+    some = shared.select("node").distinct()
+    texts = stored(with_letters(nodes.select("node", "line").join(some.hint("shuffle_hash"), "node", "left_semi")), f"{folder}/texts")
+    released(spark)
+    counted = stored(shared.hint("merge").join(texts.select("node", "letters"), "node"), f"{folder}/counted")
+    index = counted.where("own").select("k", "node", F.col("letters").alias("index_letters"))
+    # lines of equal length meet in both orders, of which one is taken; a probe of a shorter length has a number below 0
+    met = counted.select("k", "other", "letters").hint("merge").join(index, "k")
+    met = met.where((F.col("node") != node_of(F.col("other"))) & ((F.col("other") < 0) | (F.col("node") < F.col("other"))) & counts_within(F.col("letters"), F.col("index_letters"), edits))
+    pairs = stored(met.select(F.col("node").alias("a"), node_of(F.col("other")).alias("b")).distinct(), f"{folder}/pairs")
     both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("line").alias("x")), "a")
     both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("line").alias("y")), "b")
     # small in bytes but not in work: the number of tasks follows the number of pairs
@@ -191,17 +218,20 @@ def line_classes(docs: DataFrame, edits: int = EDITS, per_edit: int = PER_EDIT,
     lines = lines_of(docs, row_id).where("line <> ''")
     keyed = stored(lines.select("row_id", "doc_id", "line_no", key_of(F.col("line")).alias("key")), f"{folder}/keyed")
     # numbered once and written, so that each later scan gives a line the same number
-    distinct = with_letters(lines.where(F.length("line") >= per_edit - edits).select("line").distinct())
+    least = per_edit - edits
+    # of so many bytes a line is long enough in any case
+    distinct = lines.where((F.octet_length("line") >= 4 * least) | (F.length("line") >= least)).select("line").distinct()
     nodes = stored(distinct.withColumn("node", F.monotonically_increasing_id()), f"{folder}/nodes")
     released(docs.sparkSession)
     links = stored(near_pairs(nodes, folder, edits, per_edit), f"{folder}/links")
     counts = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     roots = components(links.select("a", "b"), f"{folder}/components")
     linked = counts.hint("merge").join(roots, "node")
-    keys = stored(nodes.join(roots.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", key_of(F.col("line")).alias("key")), f"{folder}/keys")
+    texts = docs.sparkSession.read.schema("node long, line string").parquet(f"{folder}/texts")
+    keys = stored(texts.join(roots.select("node").hint("shuffle_hash"), "node", "left_semi").select("node", key_of(F.col("line")).alias("key")), f"{folder}/keys")
     classes = linked.hint("merge").join(keys, "node").hint("merge").join(keys.select(F.col("node").alias("root"), F.col("key").alias("root_key")), "root")
     classes = stored(classes.select("key", "n_links", "root_key"), f"{folder}/classes")
-    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("nodes", "candidates", "texts", "verified")])
+    removed(docs.sparkSession, *[f"{folder}/{x}" for x in ("nodes", "shared", "counted", "texts", "verified")])
     released(docs.sparkSession)
     # one line may be a third of all lines: merge joins, whose large partitions Spark splits; minima are summed before they are dealt
     marked = keyed.hint("merge").join(classes, "key", "left").select("row_id", "doc_id", "line_no", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root_key", "key").alias("root"))
