@@ -6,6 +6,7 @@ from tidewatch.functions import text, urls
 from tidewatch.operators import coverage as C
 from tidewatch.operators import programs as PG
 from tidewatch.operators.components import components
+from tidewatch.plans import daily
 from tidewatch.sources import feeds, tables
 
 
@@ -87,3 +88,19 @@ def test_parts_of_a_link_and_a_key_are_found_once(spark):
     assert sorted(map(tuple, found.collect()), key=str) == [
         ("greenhouse.io:77777", "F", "T"), ("h.org:R-123", "A", "B / C"), ("x.org:12345", "acme", "page updated (new) b"), (None, "", None),
     ]
+
+
+def test_rows_of_one_list_are_dealt_over_tasks(spark, tmp_path):
+    key = F.concat(F.lit("F / Quant Intern "), (F.col("id") + 1000).cast("string"))
+    snapshots = spark.range(400).select(F.lit("list").alias("source_id"), F.lit("S").alias("section"), key.alias("key"), F.lit("").alias("value"), F.lit("").alias("url"))
+    sources = spark.createDataFrame([("list", daily.TABLES, "")], "source_id string, method string, program_names string")
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    spark.conf.set(coalesce, "false")
+    try:
+        found = daily.coverage_of(snapshots, sources, spark.createDataFrame([], "body string"), "2024-01-20", f"{tmp_path}/coverage").collect()
+    finally:
+        spark.conf.set(coalesce, before)
+    assert sorted((r.scope, r.ours) for r in found) == [("fields", 400), ("quant", 400)]
+    named = spark.read.parquet(f"{tmp_path}/coverage/named")
+    assert named.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 200

@@ -255,7 +255,8 @@ def coverage_of(snapshots: DataFrame, sources: DataFrame, listings: DataFrame, d
     """
     folder = folder or work_folder(snapshots.sparkSession, "coverage")
     names = sources.select("source_id", "method", F.get(F.split(F.coalesce("program_names", F.lit("")), r"\|"), F.lit(0)).alias("program"))
-    rows = snapshots.hint("merge").join(names, "source_id")
+    # one published list may have half of the rows: they are dealt anew, or one task would read all of its titles
+    rows = snapshots.hint("merge").join(names, "source_id").repartition("section", "key")
     is_list = F.col("method") == TABLES
     # a row's title and place: "Title @ Place"
     title = F.regexp_replace("key", r"\s@\s.*$", "")
